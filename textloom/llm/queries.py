@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import edit_counts, language_mixture, quality_classifier, sharding
+from textloom.llm import decontamination, edit_counts, language_mixture, quality_classifier, sharding
 from textloom.llm.shared import table
 
 
@@ -25,6 +25,10 @@ def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.score_quality(docs, model)
 
 
+def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op10_edit_aware_counts(spark: SparkSession, folder: str) -> DataFrame:
     return edit_counts.recount(table(spark, folder, "documents"))
 
