@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontamination, edit_counts, language_mixture, quality_classifier, sharding
+from textloom.llm import decontamination, edit_counts, language_mixture, near_duplicates, quality_classifier, sharding
 from textloom.llm.shared import table
 
 
@@ -29,6 +29,11 @@ def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return decontamination.find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    classes = near_duplicates.near_duplicate_classes(table(spark, folder, "documents"))
+    return classes.select("doc_id", "class_id", "n_copies", "n_links")
+
+
 def op10_edit_aware_counts(spark: SparkSession, folder: str) -> DataFrame:
     return edit_counts.recount(table(spark, folder, "documents"))
 
