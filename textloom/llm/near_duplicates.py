@@ -169,15 +169,15 @@ def _verify(docs: DataFrame, clusters: DataFrame, n: int, threshold: float, bloc
     blocks = F.greatest(F.ceil(F.col("_n") / block_texts), F.ceil(F.col("_w") / block_ngrams)).cast("int")
     wanted = clusters.join(sized.select("component", blocks.alias("blocks")), "component")
 
-    @F.pandas_udf("key binary, ngrams binary")
-    def ngrams(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("binary")
+    def ngrams(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         shingler = Shingler(n)
         for texts in batches:
-            yield pd.DataFrame({"key": [hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in texts], "ngrams": [np.unique(shingler.shingles(t)).tobytes() for t in texts]})
+            yield pd.Series([np.unique(shingler.shingles(t)).tobytes() for t in texts])
 
-    read = docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").select("key", "component", "blocks", ngrams(F.col("text")).alias("_s"))
+    read = docs.withColumn("key", F.unhex(F.md5(F.col("text").cast("binary")))).join(wanted.withColumnRenamed("rep", "doc_id"), ["doc_id", "key"])
     block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    own = read.where(F.col("key") == F.col("_s.key")).select("key", "component", "blocks", block.alias("block"), F.col("_s.ngrams").alias("ngrams"))
+    own = read.select("key", "component", "blocks", block.alias("block"), ngrams(F.col("text")).alias("ngrams"))
     met = own.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_x")).select("key", "component", "block", "ngrams", F.least("block", "_x").alias("i"), F.greatest("block", "_x").alias("j"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
