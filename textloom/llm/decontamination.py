@@ -24,26 +24,34 @@ def words_of(text: Column) -> Column:
     return F.transform(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _seeds(df: DataFrame, *kept: str) -> DataFrame:
-    """Every seed of the word hashes in ``words``, with its position."""
-    places = F.sequence(F.lit(0), F.size("words") - SPAN)
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often lambdas in ``use`` read it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    def of(k: int, mask: str) -> Column:
-        read = [j for j, c in enumerate(mask) if c == "1"]
-        return F.transform(places, lambda i: F.xxhash64(F.lit(k), *[F.get(F.col("words"), i + j) for j in read]))
 
-    each = df.where(F.size("words") >= SPAN).select(*kept, (F.size("words") - SPAN + 1).alias("_n"), F.concat(*[of(k, m) for k, m in enumerate(MASKS)]).alias("_seeds"))
-    return each.select(*kept, "_n", F.posexplode("_seeds").alias("_at", "seed")).select(*kept, (F.col("_at") % F.col("_n")).alias("at"), "seed")
+def _seeds(df: DataFrame, words: Column, *kept: str) -> DataFrame:
+    """Every seed of the word hashes, with its position; a row with a null seed where there are none.
+
+    The outer form matters: the optimiser guards a plain explode by a filter that computes all seeds once more.
+    """
+
+    reads = [[j for j, c in enumerate(mask) if c == "1"] for mask in MASKS]
+
+    def of(w: Column) -> Column:
+        at = lambda i: F.array(*[F.xxhash64(F.lit(k), *[F.get(w, i + j) for j in read]) for k, read in enumerate(reads)])
+        return F.when(F.size(w) >= SPAN, F.flatten(F.transform(F.sequence(F.lit(0), F.size(w) - SPAN), at)))
+
+    return df.select(*kept, F.posexplode_outer(_bound(words, of)).alias("_at", "seed")).select(*kept, F.floor(F.col("_at") / len(MASKS)).cast("int").alias("at"), "seed")
 
 
 def _overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_id_col: str, item_text_col: str) -> DataFrame:
     """``_key`` of documents with hits, and for each the items, diagonals and item words to compare."""
     items = written(benchmark.select(F.col(item_id_col).alias("item_id"), words_of(F.col(item_text_col)).alias("words")).where(F.size("words") >= SPAN), "benchmark-words")
-    item_seeds = _seeds(items, "item_id").distinct()
+    item_seeds = _seeds(items, F.col("words"), "item_id").distinct()
     if item_seeds.count() <= BROADCAST_SEEDS:
         item_seeds = F.broadcast(item_seeds)
-    read = docs.select(F.xxhash64(id_col, text_col).alias("_key"), words_of(F.col(text_col)).alias("words"))
-    hits = _seeds(read, "_key").join(item_seeds.withColumnRenamed("at", "item_at"), "seed")
+    read = docs.select(F.xxhash64(id_col, text_col).alias("_key"), F.col(text_col).alias("text"))
+    hits = _seeds(read, words_of(F.col("text")), "_key").join(item_seeds.withColumnRenamed("at", "item_at"), "seed")
     diagonals = hits.groupBy("_key", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.count("*").alias("_hits"))
     along = diagonals.join(items, "item_id").select("_key", F.struct("item_id", "diagonal", "words").alias("_hit"))
     return along.groupBy("_key").agg(F.collect_list("_hit").alias("_hits"))
@@ -54,17 +62,16 @@ def _best_window(words: Column, hit: Column, window: int) -> Column:
     agree = F.transform(hit["words"], lambda w, j: F.coalesce(F.get(words, j + hit["diagonal"]) == w, F.lit(False)).cast("int"))
     n = F.size(hit["words"])
     wide = F.least(n, F.lit(window))
-    # binding the agreement once: the inner lambdas would otherwise compute it anew at each place
-    return F.get(F.transform(F.array(agree), lambda a: F.array_max(F.transform(F.sequence(F.lit(1), n - wide + 1), lambda i: F.aggregate(F.slice(a, i, wide), F.lit(0), lambda s, x: s + x)))), F.lit(0))
+    return _bound(agree, lambda a: F.array_max(F.transform(F.sequence(F.lit(1), n - wide + 1), lambda i: F.aggregate(F.slice(a, i, wide), F.lit(0), lambda s, x: s + x))))
 
 
 def _compared(docs: DataFrame, benchmark: DataFrame, how: str, window: int, matches: int, id_col: str, text_col: str, item_id_col: str, item_text_col: str) -> DataFrame:
     hits = _overlaps(docs, benchmark, id_col, text_col, item_id_col, item_text_col)
     joined = docs.withColumn("_key", F.xxhash64(id_col, text_col)).join(hits, "_key", how)
-    with_words = joined.withColumn("_words", F.when(F.col("_hits").isNotNull(), words_of(F.col(text_col))))
     need = lambda h: F.when(F.size(h["words"]) < window, F.size(h["words"])).otherwise(matches)
-    scored = F.transform("_hits", lambda h: F.struct(h["item_id"].alias("item_id"), h["diagonal"].alias("diagonal"), _best_window(F.col("_words"), h, window).alias("agreeing"), need(h).alias("needed")))
-    return with_words.withColumn("_found", F.filter(scored, lambda h: h["agreeing"] >= h["needed"])).drop("_key", "_hits", "_words")
+    score = lambda words, h: F.struct(h["item_id"].alias("item_id"), h["diagonal"].alias("diagonal"), _best_window(words, h, window).alias("agreeing"), need(h).alias("needed"))
+    scored = _bound(words_of(F.col(text_col)), lambda words: F.filter(F.transform("_hits", lambda h: score(words, h)), lambda x: x["agreeing"] >= x["needed"]))
+    return joined.withColumn("_found", F.when(F.col("_hits").isNotNull(), scored)).drop("_key", "_hits")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, matches: int = 11, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -80,7 +87,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = _compared(narrow, benchmark, "inner", window, matches, "doc_id", "text", item_id_col, item_text_col)
-    each = found.select("doc_id", F.explode("_found").alias("f")).select("doc_id", "f.item_id", F.col("f.diagonal").alias("at"), "f.agreeing")
+    each = found.select("doc_id", F.explode_outer("_found").alias("f")).where("f is not null").select("doc_id", "f.item_id", F.col("f.diagonal").alias("at"), "f.agreeing")
     return each
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontamination, edit_counts, language_mixture, near_duplicates, quality_classifier, sharding
+from textloom.llm import decontamination, edit_counts, language_mixture, near_duplicates, quality_classifier, quality_rules, sharding
 from textloom.llm.shared import table
 
 
@@ -14,6 +14,10 @@ def op2_shard_documents(spark: SparkSession, folder: str) -> DataFrame:
     return put.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_robust_outliers(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judge_quality(table(spark, folder, "documents"))
+
+
 def op4_language_mixture(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return language_mixture.detect_languages(docs, *language_mixture.fit_languages(docs)).drop("languages")
