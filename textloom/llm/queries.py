@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontamination, edit_counts, language_mixture, near_duplicates, quality_classifier, quality_rules, sharding
+from textloom.llm import decontamination, edit_counts, language_mixture, mixing, near_duplicates, quality_classifier, quality_rules, sharding
 from textloom.llm.shared import table
 
 
@@ -29,6 +29,22 @@ def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return quality_classifier.score_quality(docs, model)
 
 
+#: Token shares wanted of the domains that the labelled table tells apart.
+MIXTURE = {"good": 0.97, "poor": 0.02, "toxic": 0.01}
+
+
+def domain_labels(spark: SparkSession, folder: str) -> DataFrame:
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").when(F.col("quality") == 1, "good")
+    return table(spark, folder, "labels").select("doc_id", domain.alias("domain"))
+
+
+def op6_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model, rates = mixing.fit_mixture(docs, domain_labels(spark, folder), MIXTURE)
+    rated = mixing.document_rates(docs, model, rates)
+    return rated.select("doc_id", "n_tokens", *[F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(MIXTURE)], "rate", "copies")
+
+
 def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
