@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontamination, edit_counts, language_mixture, mixing, near_duplicates, quality_classifier, quality_rules, sharding
+from textloom.llm import decontamination, edit_counts, language_mixture, line_dedup, mixing, near_duplicates, quality_classifier, quality_rules, sharding
 from textloom.llm.shared import table
 
 
@@ -54,6 +54,11 @@ def op8_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return classes.select("doc_id", "class_id", "n_copies", "n_links")
 
 
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    gone = line_dedup.line_decisions(table(spark, folder, "documents"))
+    return gone.select("doc_id", "n_lines", F.size("repeated").alias("n_repeated"), F.size("near").alias("n_near"), F.array_join(F.array_sort(F.concat("repeated", "near")), ",").alias("gone"))
+
+
 def op10_edit_aware_counts(spark: SparkSession, folder: str) -> DataFrame:
     return edit_counts.recount(table(spark, folder, "documents"))
 
