@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontamination, edit_counts, language_mixture, line_dedup, mixing, near_duplicates, quality_classifier, quality_rules, sharding
+from textloom.llm import decontamination, edit_counts, language_mixture, line_dedup, mixing, near_duplicates, quality_classifier, quality_rules, sharding, url_filters
 from textloom.llm.shared import table
 
 
+RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op1_path_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """A page's label is the quality of the document that it shows, whose id is the last number of its path."""
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    shown = F.regexp_extract(url_filters.path_of(F.col("url")), r"([0-9]+)[^0-9/]*/?$", 1)
+    quality = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("good"))
+    labels = pages.select("page_id", F.when(shown != "", shown.try_cast("long")).alias("doc_id")).join(quality, "doc_id").select("page_id", "good")
+    return url_filters.judge_urls(pages, labels, RULES)
+
+
 def op2_shard_documents(spark: SparkSession, folder: str) -> DataFrame:
     put = sharding.assign_shards(table(spark, folder, "documents"), n_shards=24)
     return put.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
