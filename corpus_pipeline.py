@@ -1,10 +1,11 @@
-"""A corpus pipeline of five stages. Each reads what its predecessor wrote."""
+"""A corpus pipeline of five stages. Each works on all that its predecessor kept and wrote."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import quality_classifier, sharding
+from textloom.llm import decontamination, mixing, near_duplicates, quality_classifier, sharding
+from textloom.llm.queries import MIXTURE, domain_labels
 from textloom.llm.shared import table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -16,14 +17,36 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality_classifier.score_quality(docs, model, keep=COLUMNS).where("predicted = 1").select(*COLUMNS)
 
 
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of exact and near copies."""
+    return near_duplicates.keep_one_of_each_class(docs.select(*COLUMNS))
+
+
+def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that repeat no benchmark passage."""
+    return decontamination.drop_contaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+
+
+def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents drawn at the rates that bring the domains near their target weights; none is repeated."""
+    docs = docs.select(*COLUMNS)
+    return mixing.mix(docs, *mixing.fit_mixture(docs, domain_labels(spark, sf_dir), MIXTURE))
+
+
 def put_into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The shard and place of each document left."""
     return sharding.assign_shards(docs, n_shards=24).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
-STAGES = [("quality classifier", keep_quality), ("sharding", put_into_shards)]
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("near duplicates", keep_one_of_each_group),
+    ("benchmark decontamination", keep_uncontaminated),
+    ("mixing to target weights", mix_to_targets),
+    ("sharding", put_into_shards),
+]
 
-#: Stages learn models and pack bins, which SQL can't express; the tests hold each against a brute-force version.
+#: Stages learn models, draw hashes and pack bins, which SQL can't express; tests hold them against plain versions.
 ORACLE_SQL = None
 
 

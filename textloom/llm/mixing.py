@@ -121,8 +121,9 @@ class Rates:
 def fit_rates(members: DataFrame, weights: list[float], total: float | None = None, max_rate: float = 1.0, reach: float = 1.05, iterations: int = 24, tolerance: float = 1e-3) -> Rates:
     """Fit rates to ``members`` (columns ``n_tokens`` and posterior ``p``).
 
-    Targets are ``weights`` of ``total`` tokens; without a total, of ``reach`` times the most that the scarcest
-    domain can give, so that its documents keep the largest rate. Few numbers a domain come to the driver each step.
+    Targets are ``weights`` of ``total`` tokens; without a total, of so many that the domain of the largest weight
+    falls short by ``reach`` at the largest rate: its documents then keep that rate, and the others go down to their
+    shares (or keep it too where they are scarcer still). One number a domain comes to the driver each step.
     """
     k = len(weights)
     scale = sum(weights)
@@ -130,7 +131,8 @@ def fit_rates(members: DataFrame, weights: list[float], total: float | None = No
     sums = lambda df, r: [float(x or 0) for x in df.agg(*[F.sum(F.col("n_tokens") * r * F.get("p", F.lit(j))) for j in range(k)]).first()]
     now = sums(members, F.lit(1.0))
     if total is None:
-        total = reach * max_rate * min((n / w for n, w in zip(now, weights, strict=True) if w > 0), default=0.0)
+        main = max(range(k), key=lambda j: weights[j])
+        total = reach * max_rate * now[main] / weights[main]
     targets = [w * total for w in weights]
     rates = Rates([], max_rate, now, targets, now)
     kept, first = members.withColumn("_r", F.lit(1.0)), 0
