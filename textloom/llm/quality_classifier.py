@@ -21,7 +21,8 @@ WORD_BUCKETS = 1 << 15
 BINS = 12
 #: Structure statistics (shares but for the first four) and metadata of a text.
 STATISTICS = ("log_chars", "log_words", "word_chars", "line_words", "distinct_words", "top_word", "same_as_previous", "repeated_lines", "upper", "digits", "marks", "pipes", "exclaim", "symbols")
-_MEMO_LIMIT = 500_000
+_MEMO_LIMIT = 200_000
+AT_ONCE = 256
 _UPPER, _DIGIT, _SYMBOL = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
 _UPPER[65:91], _DIGIT[48:58] = True, True
 _SYMBOL[[ord(c) for c in "#*$%&<>@^~=+\\{}[]_"]] = True
@@ -162,8 +163,12 @@ def score_quality(docs: DataFrame, model: FactorisationMachine, threshold: float
     @F.pandas_udf("double")
     def score(batches: pd.Series) -> pd.Series:
         memo: dict[str, int] = {}
-        got = [read_text(t, memo) for t in batches]
-        return pd.Series(FactorisationMachine(*shipped.value).score([x[0] for x in got], [x[1] for x in got], np.array([x[2] for x in got]).reshape(-1, len(STATISTICS))))
+        model = FactorisationMachine(*shipped.value)
+        out = np.empty(len(batches))
+        for at in range(0, len(batches), AT_ONCE):  # the factors of so many texts at most are in memory
+            got = [read_text(t, memo) for t in batches.iloc[at : at + AT_ONCE]]
+            out[at : at + AT_ONCE] = model.score([x[0] for x in got], [x[1] for x in got], np.array([x[2] for x in got]).reshape(-1, len(STATISTICS)))
+        return pd.Series(out)
 
     kept = keep or []
     scored = docs.select(*[F.col(c) for c in kept], F.col(id_col).alias("_id"), score(F.col(text_col)).alias("_score"))
