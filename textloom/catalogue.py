@@ -5,11 +5,11 @@ Each query reads whole tables. Long texts are compared by their SHA-256.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import chars, text
-from textloom.operators import capture, langid, patterns, pii, spot, stats, tokenize, vectors
+from textloom.operators import capture, langid, pii, spot, stats, tokenize, vectors
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -45,9 +45,7 @@ def _sha(x: Column) -> Column:
     return F.sha2(x, 256)
 
 
-TEXT = F.col
 _EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-_WORDS = r"[\p{L}\p{N}]+"
 _SQL_WORDS = "(SELECT doc_id, lang, i - 1 AS ix, w[i] AS term FROM (SELECT doc_id, lang, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, lang, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents)))"
 
 
@@ -205,7 +203,7 @@ def q_hash_emails(spark, folder):
     return found.select("doc_id", _sha(pii.anonymize(F.col("text"), F.col("findings"), "hash")).alias("hashed"))
 
 
-@register(f"SELECT value, 'EMAIL_ADDRESS_' || CAST(row_number() OVER (ORDER BY first_doc, first_at) AS VARCHAR) AS name FROM (SELECT value, min(doc_id) AS first_doc, min_by(at, (doc_id, at)) AS first_at FROM (SELECT doc_id, m AS value, instr(text, m) AS at FROM (SELECT doc_id, text, unnest(regexp_extract_all(text, '{_EMAIL}')) AS m FROM documents)) GROUP BY value)")
+@register(f"SELECT value, 'EMAIL_ADDRESS_' || CAST(row_number() OVER (ORDER BY first_doc, first_at) AS VARCHAR) AS name FROM (SELECT value, min(doc_id) AS first_doc, min(doc_id * 1000000 + pos) AS first_at FROM (SELECT doc_id, m AS value, instr(text, m) AS pos FROM (SELECT doc_id, text, unnest(regexp_extract_all(text, '{_EMAIL}')) AS m FROM documents)) GROUP BY value)")
 def q_cloak_names(spark, folder):
     return pii.cloak_dictionary(pii.Analyzer("en", [pii.EMAIL]).analyze(_docs(spark, folder)))
 
@@ -313,7 +311,7 @@ def q_collocations(spark, folder):
     return stats.collocations(_docs(spark, folder), 3)
 
 
-@register("""WITH s AS (SELECT doc_id, least(1.0, length(text) / 4000.0) AS score FROM documents), c AS (SELECT unnest([0.40, 0.45, 0.50, 0.55, 0.59]) AS cutoff), x AS (SELECT cutoff, CASE WHEN score >= cutoff THEN 1 ELSE 0 END AS p, quality AS y FROM s JOIN labels USING (doc_id), c)
+@register("""WITH s AS (SELECT doc_id, least(1.0, length(text) / 4000.0) AS score FROM documents), c AS (SELECT unnest([0.40::DOUBLE, 0.45::DOUBLE, 0.50::DOUBLE, 0.55::DOUBLE, 0.59::DOUBLE]) AS cutoff), x AS (SELECT cutoff, CASE WHEN score >= cutoff THEN 1 ELSE 0 END AS p, quality AS y FROM s JOIN labels USING (doc_id), c)
 SELECT cutoff, CAST(sum(p * y) AS BIGINT) AS tp, CAST(sum(p) AS BIGINT) AS positive, CAST(sum(y) AS BIGINT) AS actual, round(sum(p * y) / sum(p), 6) AS "precision", round(sum(p * y) / sum(y), 6) AS recall FROM x GROUP BY cutoff""")
 def q_precision_recall(spark, folder):
     scored = _docs(spark, folder).select("doc_id", F.least(F.lit(1.0), F.length("text") / 4000.0).alias("score")).join(_t(spark, folder, "labels"), "doc_id")
@@ -368,7 +366,7 @@ def q_centroids(spark, folder):
 def q_topics(spark, folder):
     docs = _docs(spark, folder).select("doc_id", vectors.topic_words(stats.words(F.col("text"))).alias("words"))
     model = vectors.fit_topics(docs, topics=8, iterations=5, vocabulary=5000)
-    return model.transform(docs).select("doc_id", F.expr("array_position(vector_to_array(topics), array_max(vector_to_array(topics)))").alias("topic")) if False else vectors.describe_topics(model)
+    return vectors.describe_topics(model)
 
 
 @register()
@@ -394,5 +392,3 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
     masked = pii.anonymize(F.col("text"), F.col("findings"))
     return found.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(F.size("findings")).alias("n_findings"), F.sum((masked != F.col("text")).cast("long")).alias("n_masked"))
 
-
-_ = (Window, patterns)

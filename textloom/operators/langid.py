@@ -14,8 +14,13 @@ def normalised(text: Column) -> Column:
 
 def char_ngrams(text: Column, sizes: tuple[int, ...] = (1, 2, 3)) -> Column:
     """All n-grams of the characters, each as often as it occurs; those of one blank left out."""
-    made = lambda t: F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i, n=n: F.substring(t, i, F.lit(n))) for n in sizes]))
-    return F.filter(F.get(F.transform(F.array(text), made), F.lit(0)), lambda g: F.trim(g) != "")
+
+    def of_size(c: Column, n: int) -> Column:
+        # of the characters as an array: a substring would count from the text's start each time
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - n, F.lit(0))), lambda i: F.concat(*[F.get(c, i + j) for j in range(n)]))
+
+    made = lambda c: F.flatten(F.array(*[of_size(c, n) for n in sizes]))
+    return F.filter(F.get(F.transform(F.array(F.split(text, "")), made), F.lit(0)), lambda g: F.trim(g) != "")
 
 
 def gram_counts(docs: DataFrame, *keys: str, text_col: str = "text", sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -39,7 +44,7 @@ def detect_all(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", tex
     names = [r.lang for r in langs.orderBy("lang").limit(500).collect()]
     sums = [F.sum(F.col("n") * F.log(F.coalesce(F.try_element_at("ps", F.lit(x)), F.lit(0.0)) + floor)).alias(f"_{k}") for k, x in enumerate(names)]
     scored = counts.join(known, "gram").groupBy("doc_id").agg(*sums) if names else counts.groupBy("doc_id").agg(F.lit(0.0).alias("_0"))
-    rows = F.array(*[F.struct(F.lit(x).alias("lang"), F.col(f"_{k}").alias("log_p")) for k, x in enumerate(names)]) if names else F.array().cast("array<struct<lang:string,log_p:double>>")
+    rows = F.array(*[F.named_struct(F.lit("lang"), F.lit(x), F.lit("log_p"), F.col(f"_{k}")) for k, x in enumerate(names)]) if names else F.array().cast("array<struct<lang:string,log_p:double>>")
     top = F.array_max(F.transform(rows, lambda r: r["log_p"]))
     each = scored.select("doc_id", top.alias("_top"), F.aggregate(rows, F.lit(0.0), lambda acc, r: acc + F.exp(r["log_p"] - top)).alias("_sum"), F.inline_outer(rows)).where("lang is not null")
     return each.select("doc_id", "lang", "log_p", (F.exp(F.col("log_p") - F.col("_top")) / F.col("_sum")).alias("p")).where(F.col("p") > threshold)
@@ -58,10 +63,10 @@ def fit_linear_detector(docs: DataFrame, lang_col: str = "lang", text_col: str =
     from pyspark.ml.feature import HashingTF, IndexToString, SQLTransformer, StringIndexer
 
     labels = StringIndexer(inputCol=lang_col, outputCol="_label", handleInvalid="skip", stringOrderType="alphabetAsc").fit(docs)
-    grams = "flatten(transform(sequence(2, 4), n -> transform(sequence(1, greatest(length(_t) - n + 1, 1)), i -> substring(_t, i, n))))"
+    grams = "flatten(transform(sequence(2, 4), n -> transform(sequence(1, greatest(size(_c) - n + 1, 1)), i -> array_join(slice(_c, i, n), ''))))"
     text = f"concat(' ', trim(regexp_replace(lower(coalesce({text_col}, '')), '[^\\\\p{{L}}]+', ' ')), ' ')"
     stages = [
-        SQLTransformer(statement=f"SELECT *, transform(array({text}), _t -> {grams})[0] AS _grams FROM __THIS__"),
+        SQLTransformer(statement=f"SELECT *, transform(array(split({text}, '')), _c -> {grams})[0] AS _grams FROM __THIS__"),
         HashingTF(inputCol="_grams", outputCol="_features", numFeatures=buckets),
         LogisticRegression(featuresCol="_features", labelCol="_label", maxIter=iterations, regParam=1e-4),
         IndexToString(inputCol="prediction", outputCol="prediction_lang", labels=labels.labels),

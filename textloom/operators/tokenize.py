@@ -174,13 +174,19 @@ def fast_tokens(text: Column, lang: str | None = "en", more_exceptions: dict[str
     return cut(text)
 
 
+_SPACED = re.compile("[^ ]+")
+
+
 def space_tokens(text: Column) -> Column:
-    """Pieces between U+0020, those of white space alone left out, with offsets: built-in expressions only."""
-    pieces = F.split(F.coalesce(text, F.lit("")), " ")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<begin:int,end:int,value:string>>").alias("out"))
-    token = lambda acc, p: F.struct(acc["at"].alias("begin"), (acc["at"] + F.length(p) - 1).alias("end"), p.alias("value"))
-    step = lambda acc, p: F.struct((acc["at"] + F.length(p) + 1).alias("at"), F.when(p.rlike(r"^\s*$"), acc["out"]).otherwise(F.array_append(acc["out"], token(acc, p))).alias("out"))
-    return F.aggregate(pieces, start, step, lambda acc: F.transform(acc["out"], lambda t, i: F.struct(i.alias("ix"), t["begin"].alias("begin"), t["end"].alias("end"), t["value"].alias("value"), F.lit("word").alias("kind"))))
+    """Pieces between U+0020, those of white space alone left out, with their offsets."""
+
+    @F.pandas_udf(f"array<{PIECE}>")
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            found = ([m for m in _SPACED.finditer(t) if not m[0].isspace()] if t else [] for t in texts)
+            yield pd.Series([[{"ix": i, "begin": m.start(), "end": m.end() - 1, "value": m[0], "kind": "word"} for i, m in enumerate(ms)] for ms in found])
+
+    return cut(text)
 
 
 def exploded(df: DataFrame, tokens_col: str = "tokens", *kept: str) -> DataFrame:

@@ -9,13 +9,23 @@ from pyspark.sql import functions as F
 def subwords(word: Column, least: int = 3, most: int = 6, buckets: int = 2_000_000) -> Column:
     """Buckets of the character n-grams of ``<word>``."""
     marked = F.concat(F.lit("<"), word, F.lit(">"))
-    made = lambda t: F.flatten(F.array(*[F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i, n=n: F.substring(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(least, most + 1)]))
+
+    def of_size(t: Column, n: int) -> Column:
+        parts = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(n)))
+        return F.when(F.length(t) >= n, parts).otherwise(F.array().cast("array<string>"))
+
+    made = lambda t: F.flatten(F.array(*[of_size(t, n) for n in range(least, most + 1)]))
     return F.transform(F.get(F.transform(F.array(marked), made), F.lit(0)), lambda g: F.pmod(F.xxhash64(g), F.lit(buckets)))
 
 
 def word_ngrams(words: Column, most: int = 2) -> Column:
     """Word n-grams of 2 to ``most`` words."""
-    return F.flatten(F.array(*[F.transform(F.slice(words, 1, F.greatest(F.size(words) - n + 1, F.lit(0))), lambda x, i, n=n: F.array_join(F.slice(words, i + 1, n), " ")) for n in range(2, most + 1)]))
+
+
+    def of_size(n: int) -> Column:
+        return F.transform(F.slice(words, 1, F.greatest(F.size(words) - n + 1, F.lit(0))), lambda x, i: F.array_join(F.slice(words, i + 1, n), " "))
+
+    return F.flatten(F.array(*[of_size(n) for n in range(2, most + 1)]))
 
 
 def dot(a: Column, b: Column) -> Column:
