@@ -24,7 +24,8 @@ from textloom.llm.components import connected_components
 from textloom.llm.shared import written
 
 _WORD = re.compile(r"\w+")
-_MEMO_LIMIT = 1_000_000
+_MEMO_LIMIT = 400_000
+AT_ONCE = 1000
 #: Word n-grams hashed at once, so that they stay in a core's cache.
 _STRETCH = 1 << 15
 
@@ -106,7 +107,7 @@ def _sign(docs: DataFrame, n: int, rows: int, bands: int) -> DataFrame:
         a = draw.integers(1 << 62, 1 << 63, rows * bands, np.uint64) * np.uint64(2) + np.uint64(1)
         b = draw.integers(0, 1 << 63, rows * bands, np.uint64)
         spread = draw.integers(1 << 62, 1 << 63, (bands, rows), np.uint64) * np.uint64(2) + np.uint64(1)
-        for texts in batches:
+        for texts in (b.iloc[k : k + AT_ONCE] for b in batches for k in range(0, len(b), AT_ONCE)):
             sets = [shingler.shingles(t) for t in texts]
             some = [i for i, s in enumerate(sets) if len(s)]
             keys: list[bytes | None] = [None] * len(sets)
