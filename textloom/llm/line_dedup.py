@@ -27,8 +27,10 @@ def _lines(docs: DataFrame, *more: Column) -> DataFrame:
     """Every line that isn't blank, trimmed: ``doc_id, row_key, n_lines, line_no, line``; a null line for a row without any."""
     text = F.coalesce(F.col("text"), F.lit(""))
     each = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line_no"), F.btrim(x, F.lit(BLANKS)).alias("line")))
-    row = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), F.when(F.col("text").isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).alias("n_lines"), F.explode_outer(F.filter(each, lambda x: x["line"] != "")).alias("_x"))
-    return row.select("doc_id", "row_key", "n_lines", "_x.line_no", "_x.line")
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1)
+    # what is computed from the whole text comes first: beside the explode it would be computed for each line
+    row = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), n_lines.alias("n_lines"), F.filter(each, lambda x: x["line"] != "").alias("_lines"))
+    return row.select("doc_id", "row_key", "n_lines", F.explode_outer("_lines").alias("_x")).select("doc_id", "row_key", "n_lines", "_x.line_no", "_x.line")
 
 
 def _names(line: Column) -> list[Column]:
