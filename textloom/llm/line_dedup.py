@@ -43,14 +43,14 @@ def _half_keys(line: Column) -> Column:
     out = []
     for role, m in (("short", n), ("long", n - 1)):
         p = F.floor(m / 2).cast("int")
-        out += [F.struct(F.xxhash64(F.lit(side), m, part(p)).alias("k"), F.lit(role == "short").alias("short"), F.lit(side).alias("side")) for side, part in (("head", lambda p: F.substring(line, F.lit(1), p)), ("tail", lambda p: F.right(line, p)))]
+        out += [F.struct(F.xxhash64(F.lit(side), m, part(p)).alias("k"), F.lit(role == "short").alias("short"), F.lit(side == "head").alias("head")) for side, part in (("head", lambda p: F.substring(line, F.lit(1), p)), ("tail", lambda p: F.right(line, p)))]
     return F.array(*out)
 
 
 def _with_partner(rows: DataFrame) -> DataFrame:
     """Rows whose key ``k`` another row shares, one of the group being the shorter line."""
     met = rows.groupBy("k").agg(F.count("*").alias("_n"), F.max("short").alias("_s")).where("_n > 1 and _s").select("k")
-    return rows.join(met, "k", "left_semi")
+    return rows.join(met.hint("merge"), "k", "left_semi")  # the keys grow with the lines: never broadcast
 
 
 def _halved(rows: DataFrame) -> DataFrame:
@@ -75,13 +75,15 @@ def _variants(rows: DataFrame) -> DataFrame:
 
 def _near_lines(lines: DataFrame, first: DataFrame, min_chars: int) -> DataFrame:
     """``h, g`` of lines that have an earlier line one edit away."""
-    keyed = first.where(F.col("n") >= min_chars).select("h", "g", "o", "n", F.explode_outer("halves").alias("_k")).select("h", "g", "o", "n", "_k.*")
-    chosen = written(_with_partner(keyed), "line-halves")
-    wanted = written(chosen.select("h", "g", "o.doc_id", "o.row_key", "o.line_no").distinct(), "line-names")
+    keyed = first.where(F.col("n") >= min_chars).select("h", "g", F.explode_outer("halves").alias("_k")).select("h", "g", "_k.*")
+    halves = written(_with_partner(keyed), "line-halves")
+    places = written(first.select("h", "g", "o", "n").join(halves.select("h", "g").distinct().hint("merge"), ["h", "g"], "left_semi"), "line-places")
+    wanted = places.select("o.doc_id", "o.row_key", "o.line_no").hint("merge")
     texts = written(lines.join(wanted, ["doc_id", "row_key", "line_no"], "left_semi").select(*_names(F.col("line")), "line").distinct(), "line-texts")
+    chosen = halves.join(places, ["h", "g"])
     m = F.when(F.col("short"), F.col("n")).otherwise(F.col("n") - 1)
     p = F.floor(m / 2).cast("int")
-    rest = F.when(F.col("side") == "head", F.substring(F.col("line"), p + 1, F.length("line"))).otherwise(F.substring(F.col("line"), F.lit(1), F.length("line") - p))
+    rest = F.when(F.col("head"), F.substring(F.col("line"), p + 1, F.length("line"))).otherwise(F.substring(F.col("line"), F.lit(1), F.length("line") - p))
     rows = written(chosen.join(texts, ["h", "g"]).select("h", "g", "o", "short", (m - p).cast("int").alias("m"), "k", rest.alias("r")), "line-parts")
     done = [rows.where(F.col("m") <= SHORT)]
     # each round halves what differs: as many rounds as the longest line with a partner has doublings
