@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import chars, text
-from textloom.operators import capture, langid, pii, spot, stats, tokenize, vectors
+from textloom.operators import capture, langid, normalize, pii, sentences, spot, stats, tokenize, vectors
+from textloom.plans import pipeline as plans
+from textloom.sources import readers
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -376,6 +378,63 @@ def q_classifier(spark, folder):
     return model.transform(labelled).select("doc_id", "label", "prediction")
 
 
+# --- documents, weights and sets ---------------------------------------------------------------------------------
+
+
+@register("SELECT doc_id, sha256(text) AS back FROM documents")
+def q_json_round_trip(spark, folder):
+    made = _docs(spark, folder).select(readers.to_json(_docs(spark, folder).select("doc_id", "lang", "text")).alias("json"))
+    return readers.from_json(made).select("doc_id", _sha(F.col("text")).alias("back"))
+
+
+@register()
+def q_html_text(spark, folder):
+    return _t(spark, folder, "pages").select("page_id", _sha(normalize.html_to_text(F.col("html"))).alias("read"))
+
+
+@register()
+def q_sentences(spark, folder):
+    found = _docs(spark, folder).select("doc_id", F.posexplode_outer(sentences.sentence_texts(F.col("text"))).alias("ix", "sentence")).where("sentence is not null")
+    return found.select("doc_id", F.col("ix").cast("long").alias("ix"), _sha(F.col("sentence")).alias("sentence"))
+
+
+@register(f"SELECT doc_id, CAST(sum(CASE WHEN regexp_matches(x, '^[0-9]+$') THEN 1 ELSE 0 END) AS BIGINT) AS n_numbers FROM (SELECT doc_id, unnest(list_filter(string_split(text, ' '), lambda x: NOT regexp_matches(x, '^\\s*$'))) AS x FROM documents) GROUP BY doc_id HAVING n_numbers > 0")
+def q_number_tokens(spark, folder):
+    put = normalize.number_to_word(tokenize.space_tokens(F.col("text")))
+    counted = _docs(spark, folder).select("doc_id", F.size(F.filter(put, lambda t: t["replacement"].isNotNull())).cast("long").alias("n_numbers"))
+    return counted.where("n_numbers > 0")
+
+
+@register(f"WITH v AS (SELECT term, count(*) AS n FROM {_SQL_WORDS} GROUP BY term HAVING count(*) >= 5) SELECT term, round(sqrt(n) / (SELECT sum(sqrt(n)) FROM v), 9) AS p FROM v")
+def q_negative_sampling(spark, folder):
+    return stats.negative_sampling(stats.vocabulary(stats.exploded_words(_docs(spark, folder)), 5)).select("term", F.round("p", 9).alias("p"))
+
+
+@register(f"WITH v AS (SELECT term, count(*) AS n FROM {_SQL_WORDS} GROUP BY term), t AS (SELECT sum(n) AS t FROM v) SELECT term, round(greatest(0.0, 1 - sqrt(0.0001 / (n / t.t))), 6) AS p FROM v, t")
+def q_discard_probability(spark, folder):
+    counted = stats.vocabulary(stats.exploded_words(_docs(spark, folder)), 1)
+    total = counted.agg(F.sum("n")).first()[0] or 1
+    return counted.select("term", F.round(stats.discard_probability(F.col("n") / total), 6).alias("p"))
+
+
+@register("SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x >= 0 THEN '1' ELSE '0' END), '') AS signs FROM embeddings")
+def q_quantised(spark, folder):
+    signs = F.transform(vectors.quantise(F.col("embedding")), lambda x: F.when(x > 0, "1").otherwise("0"))
+    return _t(spark, folder, "embeddings").select("vec_id", F.array_join(signs, "").alias("signs"))
+
+
+@register("SELECT lang, source FROM documents WHERE length(text) > 10000 INTERSECT SELECT lang, source FROM documents WHERE length(text) < 100")
+def q_set_intersection(spark, folder):
+    docs = _docs(spark, folder)
+    return docs.where(F.length("text") > 10000).select("lang", "source").intersect(docs.where(F.length("text") < 100).select("lang", "source"))
+
+
+@register()
+def q_pipeline_annotations(spark, folder):
+    made = plans.Pipeline.for_many(["en", "de", "fr", "es"]).add(plans.personal_data(None, ["EMAIL_ADDRESS", "IP_ADDRESS"])).transform(_docs(spark, folder))
+    return made.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(F.size("tokens")).alias("n_tokens"), F.sum(F.size("findings")).alias("n_findings"))
+
+
 # --- events ------------------------------------------------------------------------------------------------------
 
 
