@@ -103,18 +103,23 @@ def anonymize(text: Column, findings: Column, how: str = "mask", mask_char: str
     return _spliced(text, without_overlaps(findings, text), put)
 
 
-def cloak_dictionary(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", findings_col: str = "findings") -> DataFrame:
+def cloak_dictionary(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", findings_col: str = "findings", strips: int = 4096) -> DataFrame:
     """``value, name``: each value found gets a name ``TYPE_n``, numbered by type in the order of first use.
 
-    A value found under two types has the name of its first use. Numbering is over the values found, a small part of
-    the corpus: one window for each type, of a row for each value.
+    A value found under two types has the name of its first use. Ids are numbers; values are numbered in ``strips``
+    ranges of ids at once, each going on from the counts of those before it, so no type is numbered by one task.
     """
     text = F.col(text_col)
     found = df.select(F.col(id_col).alias("_id"), text.alias("_text"), F.explode_outer(without_overlaps(F.col(findings_col), text)).alias("_f")).where("_f is not null")
     used = found.select(F.struct(F.col("_id"), F.col("_f.start").alias("start")).alias("at"), F.col("_f.entity_type").alias("type"), F.substring(F.col("_text"), F.col("_f.start") + 1, F.col("_f.end") - F.col("_f.start") + 1).alias("value"))
     first = used.groupBy("value").agg(F.min(F.struct("at", "type")).alias("first"))
-    n = F.row_number().over(Window.partitionBy("first.type").orderBy("first.at"))
-    return first.select("value", F.concat(F.upper("first.type"), F.lit("_"), n.cast("string")).alias("name"))
+    low, high = df.agg(F.min(id_col), F.max(id_col)).first()
+    width = max(1, ((high or 0) - (low or 0)) // strips + 1)
+    each = first.select("value", F.upper("first.type").alias("type"), "first.at", F.floor((F.col("first.at._id") - (low or 0)) / width).alias("strip"))
+    counts = each.groupBy("type", "strip").agg(F.count("*").alias("n"))
+    before = counts.select("type", "strip", F.coalesce(F.sum("n").over(Window.partitionBy("type").orderBy("strip").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = each.withColumn("n", F.row_number().over(Window.partitionBy("type", "strip").orderBy("at")))
+    return own.join(before, ["type", "strip"]).select("value", F.concat("type", F.lit("_"), (F.col("n") + F.col("before")).cast("string")).alias("name"))
 
 
 def cloak(df: DataFrame, names: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", findings_col: str = "findings") -> DataFrame:

@@ -45,43 +45,47 @@ def centroids(vectors: DataFrame, key: str, vec: str = "embedding") -> DataFrame
     return vectors.select(key, F.posexplode_outer(vec).alias("ix", "x")).where("ix is not null").groupBy(key, "ix").agg(F.avg(F.col("x").cast("double")).alias("mean"))
 
 
-def most_similar(queries: DataFrame, vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vec: str = "embedding", block_rows: int = 4096) -> DataFrame:
+def most_similar(queries: DataFrame, vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vec: str = "embedding", block_rows: int = 65_536) -> DataFrame:
     """``query_id, vec_id, cosine, rank``: the k nearest by cosine of each of a stated set of queries, exactly.
 
-    Queries are packed into blocks that meet the vectors by hash of a block number, so a task holds one block and
-    streams vectors; each task keeps its own k best before they are shuffled.
+    Queries go out in blocks of about ``block_rows``, one pass over the vectors each; a task keeps its own k best of
+    every query before they are shuffled. Ids are integers.
     """
     import numpy as np
     import pandas as pd
 
-    packed = queries.select(F.col(id_col).alias("query_id"), F.col(vec).alias("q")).where("q is not null")
-    block = F.floor(F.monotonically_increasing_id() / block_rows)
-    blocks = packed.withColumn("_b", block).groupBy("_b").agg(F.collect_list("query_id").alias("ids"), F.collect_list("q").alias("qs"))
-    rows = blocks.select("ids", "qs").collect()  # the stated queries, sent to every executor in blocks
-    sets = [(np.asarray(r.ids), np.asarray(r.qs, np.float32)) for r in rows]
-    for ids, q in sets:
+    packed = queries.select(F.col(id_col).alias("id"), F.col(vec).alias("q")).where("q is not null and id is not null")
+    n_blocks = max(1, -(-packed.count() // block_rows))
+
+    def pass_over(block: int) -> DataFrame:
+        rows = packed.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == block).collect()  # block_rows bounds them
+        ids, q = np.asarray([r.id for r in rows], np.int64), np.asarray([r.q for r in rows], np.float32).reshape(len(rows), -1)
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-    shipped = queries.sparkSession.sparkContext.broadcast(sets)
-
-    def best(batches):
-        held: dict = {}
-        for pdf in batches:
-            pdf = pdf[pdf["v"].notna()]
-            if not len(pdf):
-                continue
-            v = np.stack(pdf["v"].to_numpy()).astype(np.float32)
-            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-            own = pdf["id"].to_numpy()
-            for b, (ids, q) in enumerate(shipped.value):
-                score = q @ v.T
-                take = np.argpartition(-score, min(k, score.shape[1] - 1), axis=1)[:, : k + 1]
-                for i, cols in enumerate(take):
-                    held.setdefault((b, i), []).extend((float(score[i, c]), int(own[c])) for c in cols if own[c] != ids[i])
-                    held[b, i] = sorted(held[b, i], key=lambda x: (-x[0], x[1]))[:k]
-        out = [(int(shipped.value[b][0][i]), c, s) for (b, i), xs in held.items() for s, c in xs]
-        yield pd.DataFrame(out, columns=["query_id", "vec_id", "cosine"])
-
-    near = vectors.select(F.col(id_col).alias("id"), F.col(vec).alias("v")).mapInPandas(best, "query_id long, vec_id long, cosine double")
+        shipped = queries.sparkSession.sparkContext.broadcast((ids, q))
+
+        def best(batches):
+            ids, q = shipped.value
+            held = [[] for _ in ids]
+            for pdf in batches:
+                pdf = pdf[pdf["v"].notna() & pdf["id"].notna()]
+                if not len(pdf) or not len(ids):
+                    continue
+                v = np.stack(pdf["v"].to_numpy()).astype(np.float32)
+                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+                own = pdf["id"].to_numpy()
+                for at in range(0, len(ids), 1024):
+                    score = q[at : at + 1024] @ v.T
+                    near = np.argpartition(-score, min(k, score.shape[1] - 1), axis=1)[:, : k + 1]
+                    for i, cols in enumerate(near, at):
+                        more = [(float(score[i - at, c]), int(own[c])) for c in cols if own[c] != ids[i]]
+                        held[i] = sorted(held[i] + more, key=lambda x: (-x[0], x[1]))[:k]
+            yield pd.DataFrame([(int(i), c, s) for i, xs in zip(ids, held, strict=True) for s, c in xs], columns=["query_id", "vec_id", "cosine"])
+
+        return vectors.select(F.col(id_col).alias("id"), F.col(vec).alias("v")).mapInPandas(best, "query_id long, vec_id long, cosine double")
+
+    near = pass_over(0)
+    for block in range(1, n_blocks):
+        near = near.union(pass_over(block))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
