@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -161,15 +163,30 @@ class Tokenizer:
         return out
 
 
+def _as_arrow(batches: Iterator[pa.Array], cut) -> Iterator[pa.Array]:
+    """Lists of token structs, made column by column. cut: begin, end (exclusive), value and kind of a text's tokens."""
+    for texts in batches:
+        offsets, flat = [0], []
+        for text in texts.to_pylist():
+            if text:
+                flat += cut(text)
+            offsets.append(len(flat))
+        begin, end, value, kind = zip(*flat, strict=True) if flat else ((), (), (), ())
+        begin, end = pa.array(begin, pa.int32()), pa.array(end, pa.int32())
+        bounds = pa.array(offsets, pa.int32())
+        starts = np.repeat(np.array(offsets[:-1], np.int64), np.diff(offsets))
+        ix = pa.array((np.arange(len(flat)) - starts).astype(np.int32))
+        tokens = pa.StructArray.from_arrays([ix, begin, pc.subtract(end, pa.scalar(1, pa.int32())), pa.array(value, pa.string()), pa.array(kind, pa.string())], ["ix", "begin", "end", "value", "kind"])
+        yield pa.ListArray.from_arrays(bounds, tokens)
+
+
 def fast_tokens(text: Column, lang: str | None = "en", more_exceptions: dict[str, list[str] | None] | None = None) -> Column:
     """``array<struct<ix, begin, end, value, kind>>``, ends inclusive. Null gives an empty array."""
     exceptions = exceptions_for(lang) | (more_exceptions or {})
 
-    @F.pandas_udf(f"array<{PIECE}>")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokenizer = Tokenizer(exceptions)
-        for texts in batches:
-            yield pd.Series([[{"ix": i, "begin": b, "end": e - 1, "value": v, "kind": k} for i, (b, e, v, k) in enumerate(tokenizer.cut(t or ""))] for t in texts])
+    @F.arrow_udf(f"array<{PIECE}>")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return _as_arrow(batches, Tokenizer(exceptions).cut)
 
     return cut(text)
 
@@ -180,11 +197,11 @@ _SPACED = re.compile("[^ ]+")
 def space_tokens(text: Column) -> Column:
     """Pieces between U+0020, those of white space alone left out, with their offsets."""
 
-    @F.pandas_udf(f"array<{PIECE}>")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            found = ([m for m in _SPACED.finditer(t) if not m[0].isspace()] if t else [] for t in texts)
-            yield pd.Series([[{"ix": i, "begin": m.start(), "end": m.end() - 1, "value": m[0], "kind": "word"} for i, m in enumerate(ms)] for ms in found])
+    pieces = lambda t: [(m.start(), m.end(), m[0], "word") for m in _SPACED.finditer(t) if not m[0].isspace()]
+
+    @F.arrow_udf(f"array<{PIECE}>")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return _as_arrow(batches, pieces)
 
     return cut(text)
 
