@@ -50,7 +50,8 @@ def _half_keys(line: Column) -> Column:
 def _with_partner(rows: DataFrame) -> DataFrame:
     """Rows whose key ``k`` another row shares, one of the group being the shorter line."""
     met = rows.groupBy("k").agg(F.count("*").alias("_n"), F.max("short").alias("_s")).where("_n > 1 and _s").select("k")
-    return rows.join(met.hint("merge"), "k", "left_semi")  # the keys grow with the lines: never broadcast
+    # the keys grow with the lines, so they are never broadcast; a table of their own lets Spark split a frequent one
+    return rows.join(written(met, "shared-halves").hint("merge"), "k", "left_semi")
 
 
 def _halved(rows: DataFrame) -> DataFrame:

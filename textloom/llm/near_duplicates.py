@@ -166,7 +166,9 @@ def compare_block(keys: list[bytes], sets: list[np.ndarray], first: np.ndarray,
 
 def _verify(docs: DataFrame, clusters: DataFrame, n: int, threshold: float, block_texts: int, block_ngrams: int) -> DataFrame:
     """``key, other, links``: rows with ``other`` are links of a spanning forest, the others count links."""
-    sized = clusters.groupBy("component").agg(F.count("*").alias("_n"), F.sum("n_words").alias("_w"))
+    # tables of their own, so that Spark can split a large cluster when they are joined
+    clusters = written(clusters, "clusters")
+    sized = written(clusters.groupBy("component").agg(F.count("*").alias("_n"), F.sum("n_words").alias("_w")), "cluster-sizes")
     blocks = F.greatest(F.ceil(F.col("_n") / block_texts), F.ceil(F.col("_w") / block_ngrams)).cast("int")
     wanted = clusters.join(sized.select("component", blocks.alias("blocks")), "component")
 
