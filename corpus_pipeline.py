@@ -30,7 +30,7 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn at the rates that bring the domains near their target weights; none is repeated."""
     docs = docs.select(*COLUMNS)
-    return mixing.mix(docs, *mixing.fit_mixture(docs, domain_labels(spark, sf_dir), MIXTURE))
+    return mixing.mix(docs, *mixing.fit_mixture(docs, domain_labels(spark, sf_dir), MIXTURE, lang_col="lang"))
 
 
 def put_into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from textloom.llm import mixing as M
+from textloom.llm import queries
 
 
 def corpus():
@@ -62,3 +63,32 @@ def test_without_labels_or_rows(spark):
     got = M.document_rates(docs, model, rates).first()
     assert np.allclose(got.p, [0.5, 0.5]) and got.rate == 1
     assert M.mix(docs.limit(0), *M.fit_mixture(docs.limit(0), none, {"a": 1.0})).count() == 0
+
+
+def test_clean_documents_of_every_language_are_kept(spark, tmp_path):
+    draw = random.Random(8)
+    own = {g: [f"{g}{i}" for i in range(40)] for g in ("en", "de", "fr", "pt")}
+    rude = {g: [f"{g}idiot", f"{g}clown", f"{g}moron"] for g in own}
+    rows, labels, of = [], [], {}
+    for d in range(1500):
+        lang = "pt" if d % 100 == 99 else "en" if d % 10 < 7 else "de" if d % 10 < 9 else "fr"
+        words = [own[lang][min(int(draw.expovariate(0.12)), 39)] for _ in range(draw.randrange(40, 400))]
+        kind = draw.choices(["good", "poor", "toxic"], [8, 2, 2])[0] if lang != "pt" else "good"
+        if kind == "toxic":
+            for _ in range(6):
+                words.insert(draw.randrange(len(words)), draw.choice(rude[lang]))
+        if kind == "poor":
+            words = [w + "$$$" for w in words[:40]]
+        rows.append((d, " ".join(words), lang))
+        of[d] = kind, lang
+        labels.append((d, int(kind != "poor"), int(kind == "toxic")))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rate = {r.doc_id: r.rate for r in queries.op6_soft_mixing(spark, str(tmp_path)).collect()}
+    for lang in own:
+        clean = [rate[d] for d, x in of.items() if x == ("good", lang)]
+        assert sum(clean) > 0.97 * len(clean), lang
+    toxic = [rate[d] for d, (k, _) in of.items() if k == "toxic"]
+    assert sum(toxic) < 0.25 * len(toxic)
+    left = {k: sum(rate[d] * len(t.split()) for d, t, _ in rows if of[d][0] == k) for k in ("good", "poor", "toxic")}
+    assert left["good"] > 0.94 * sum(left.values())

@@ -5,6 +5,9 @@ documents, not negative and at most ``max_rate``, are then fitted so that the ex
 sum r n p, come near their targets: projected gradient steps on sum_k (tokens_k - target_k)^2 / 2 tokens_now_k. In the
 metric of the documents' tokens n the step is r - sum_k p_k (tokens_k - target_k) / tokens_now_k, and its largest
 eigenvalue is 1, so the step length 1 needs no search. A step needs one sum for each domain over all documents.
+
+The evidence of words is fitted within a language, and only words that mark a domain other than the largest give any: a
+text may lack the common words for many reasons, its language and its length among them.
 """
 
 from __future__ import annotations
@@ -40,65 +43,94 @@ def _shares(text: Column, words: Column) -> list[Column]:
 
 @dataclass
 class DomainModel:
-    """Log weights of a naive Bayes classifier; of a bounded size by ``n_words``."""
+    """Log weights of a naive Bayes classifier; of a bounded size by ``n_words`` a language."""
 
     domains: list[str]
-    words: dict[str, list[float]]
-    base: list[float]
+    tables: dict[str | None, tuple[list[float], dict[str, list[float]]]]  # language (None: any other), start and words
     bins: list[list[list[float]]]  # share, bin, domain
+    lang_col: str | None = None
 
     def posterior(self, text: Column) -> Column:
         """``n_tokens`` and the posterior ``p`` (in the order of ``domains``) of a text, as a struct."""
         row = lambda x: F.array(*[F.lit(float(v)) for v in x])
-        vocabulary = F.array(*[F.lit(w) for w in self.words]) if self.words else F.array().cast("array<string>")
-        weights = F.create_map(*[x for w, v in self.words.items() for x in (F.lit(w), row(v))]) if self.words else None
+
+        def table_of(lang: str | None) -> Column:
+            base, words = self.tables[lang]
+            vocabulary = F.array(*[F.lit(w) for w in words]).cast("array<string>")
+            return F.struct(row(base).alias("base"), vocabulary.alias("words"), F.map_from_arrays(vocabulary, F.array(*[row(v) for v in words.values()]).cast("array<array<double>>")).alias("weights"))
+
+        own = [x for lang in self.tables if lang is not None for x in (F.lit(lang), table_of(lang))]
+        table = F.coalesce(F.element_at(F.create_map(*own), F.col(self.lang_col)), table_of(None)) if own else table_of(None)
         plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
 
-        def from_words(words: Column) -> Column:
-            total = row(self.base)
-            for share, table in zip(_shares(text, words), self.bins, strict=True):
-                total = plus(total, F.get(F.array(*[row(x) for x in table]), share))
-            if weights is not None:
-                total = F.aggregate(F.array_intersect(words, vocabulary), total, lambda acc, w: plus(acc, F.element_at(weights, w)))
+        def from_words(words: Column, table: Column) -> Column:
+            total = table["base"]
+            for share, logs in zip(_shares(text, words), self.bins, strict=True):
+                total = plus(total, F.get(F.array(*[row(x) for x in logs]), share))
+            total = F.aggregate(F.array_intersect(words, table["words"]), total, lambda acc, w: plus(acc, F.element_at(table["weights"], w)))
             likely = lambda s: bound(F.array_max(s), lambda top: F.transform(s, lambda x: F.exp(x - top)))
             even = lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
             return F.struct(F.size(words).cast("long").alias("n_tokens"), bound(bound(total, likely), even).alias("p"))
 
-        return bound(_words(text), from_words)
+        return bound(table, lambda t: bound(_words(text), lambda words: from_words(words, t)))
+
+
+def _word_table(counted: DataFrame, totals: list[int], n_words: int, prior: list[float], lacking: bool) -> tuple[list[float], dict[str, list[float]]]:
+    """Start and log weights of the ``n_words`` words that tell the domains apart best, without those most frequent in
+    the largest domain.
+
+    counted: ``word`` and the documents of each domain that have it, ``n0`` and on. Unless ``lacking``, all words
+    stay and weights are shares among them, so that a text with none of them gives no evidence.
+    """
+    n, scores = sum(totals), []
+    for k, own in enumerate(totals):
+        total = sum((F.col(f"n{j}") for j in range(len(totals))), F.lit(0))
+        p, q, all_ = F.col(f"n{k}") / max(1, own), (total - F.col(f"n{k}")) / max(1, n - own), total / max(1, n)
+        scores.append((p - q) * (p - q) / (all_ * (1 - all_) + 1.0 / max(1, n)) * min(max(1, own), max(1, n - own)))
+    top = counted.withColumn("_score", F.greatest(*scores) if len(scores) > 1 else scores[0]).orderBy(F.desc("_score"), "word").limit(n_words).collect()
+    start, words, main = list(prior), {}, totals.index(max(totals))
+    met = [sum(r[f"n{k}"] for r in top) for k in range(len(totals))]
+    for r in top:
+        ps = [(r[f"n{k}"] + 0.5) / (of + 1.0) for k, of in enumerate(totals)]
+        if not lacking:
+            words[r.word] = [math.log((r[f"n{k}"] + 0.5) / (met[k] + 0.5 * len(top))) for k in range(len(totals))]
+        elif max(ps) > ps[main]:
+            words[r.word] = [math.log(p / (1 - p)) for p in ps]
+            start = [b + math.log(1 - p) for b, p in zip(start, ps, strict=True)]
+    return start, words
 
 
-def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], sample_rows: int = 6000, n_words: int = 64, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain") -> DomainModel:
+def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], sample_rows: int = 6000, n_words: int = 64, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", lang_col: str | None = None, least: int = 10) -> DomainModel:
     """Fit on at most ``sample_rows`` labelled documents, those whose ids hash lowest.
 
     Held-out ids, null ids, null domains and domains not named are left out; of several domains of an id the least
     counts. Without any labelled document every domain is equally likely.
+
+    With ``lang_col`` each language that has ``least`` labelled documents of every domain has words of its own. The
+    other languages and null share words of all the labelled documents, and what a text lacks says nothing there.
     """
     known = labelled.where(F.col(domain_col).isin(domains) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_id")).agg(F.min(domain_col).alias("domain"))
     picked = known.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "_id")  # sample_rows bounds the broadcast
-    read = written(texts.select("domain", F.array_distinct(_words(F.col("text"))).alias("words"), F.array(*_shares(F.col("text"), _words(F.col("text")))).alias("bins")), "labelled-texts")
-    totals = {r.domain: r.n for r in read.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    lang = F.col(lang_col) if lang_col else F.lit(None)
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), lang.cast("string").alias("lang")).join(F.broadcast(picked), "_id")  # sample_rows bounds the broadcast
+    read = written(texts.select("domain", "lang", F.array_distinct(_words(F.col("text"))).alias("words"), F.array(*_shares(F.col("text"), _words(F.col("text")))).alias("bins")), "labelled-texts")
+    by_lang: dict[str | None, dict[str, int]] = {}
+    for r in read.groupBy("lang", "domain").agg(F.count("*").alias("n")).collect():
+        by_lang.setdefault(r.lang, {})[r.domain] = r.n
+    totals = {d: sum(t.get(d, 0) for t in by_lang.values()) for d in domains}
     n = sum(totals.values())
     here = [F.sum((F.col("domain") == d).cast("long")).alias(f"n{k}") for k, d in enumerate(domains)]
-    counted = read.select("domain", F.explode_outer("words").alias("word")).where("word is not null").groupBy("word").agg(*here)
-    scores = []
-    for k, d in enumerate(domains):
-        own, rest = max(1, totals.get(d, 0)), max(1, n - totals.get(d, 0))
-        total = sum((F.col(f"n{j}") for j in range(len(domains))), F.lit(0))
-        p, q, all_ = F.col(f"n{k}") / own, (total - F.col(f"n{k}")) / rest, total / max(1, n)
-        scores.append((p - q) * (p - q) / (all_ * (1 - all_) + 1.0 / max(1, n)) * min(own, rest))
-    top = counted.withColumn("_score", F.greatest(*scores) if len(scores) > 1 else scores[0]).orderBy(F.desc("_score"), "word").limit(n_words).collect()
-    smooth = lambda count, of: (count + 0.5) / (of + 1.0)
-    base = [math.log((totals.get(d, 0) + 1) / (n + len(domains))) for d in domains]
-    words = {}
-    for r in top:
-        ps = [smooth(r[f"n{k}"], totals.get(d, 0)) for k, d in enumerate(domains)]
-        words[r.word] = [math.log(p / (1 - p)) for p in ps]
-        base = [b + math.log(1 - p) for b, p in zip(base, ps, strict=True)]
+    prior = [math.log((totals[d] + 1) / (n + len(domains))) for d in domains]
+    known_langs = sorted(g for g, t in by_lang.items() if g is not None and all(t.get(d, 0) >= least for d in domains if totals[d]))
+    tables = {}
+    for g in [None, *known_langs]:  # at most sample_rows / least languages
+        own = read if g is None else read.where(F.col("lang") == g)
+        in_domain = totals if g is None else by_lang[g]
+        tables[g] = _word_table(own.select("domain", F.explode("words").alias("word")).groupBy("word").agg(*here), [in_domain.get(d, 0) for d in domains], n_words, prior, lacking=g is not None or lang_col is None)
     bins = read.select("domain", F.posexplode_outer("bins").alias("share", "bin")).groupBy("share", "bin").agg(*here).collect()
     table = {(r.share, r.bin): [r[f"n{k}"] for k in range(len(domains))] for r in bins}
-    logs = [[[math.log((table.get((s, b), [0] * len(domains))[k] + 0.5) / (totals.get(d, 0) + 0.5 * BINS)) for k, d in enumerate(domains)] for b in range(BINS)] for s in range(3)]
-    return DomainModel(list(domains), words, base, logs)
+    logs = [[[math.log((table.get((s, b), [0] * len(domains))[k] + 0.5) / (totals[d] + 0.5 * BINS)) for k, d in enumerate(domains)] for b in range(BINS)] for s in range(3)]
+    return DomainModel(list(domains), tables, logs, lang_col)
 
 
 @dataclass
@@ -148,8 +180,8 @@ def fit_rates(members: DataFrame, weights: list[float], total: float | None = No
     return rates
 
 
-def fit_mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", max_rate: float = 1.0, **options) -> tuple[DomainModel, Rates]:
-    model = fit_domains(docs, labelled, list(targets), id_col=id_col, text_col=text_col, domain_col=domain_col)
+def fit_mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", lang_col: str | None = None, max_rate: float = 1.0, **options) -> tuple[DomainModel, Rates]:
+    model = fit_domains(docs, labelled, list(targets), id_col=id_col, text_col=text_col, domain_col=domain_col, lang_col=lang_col)
     members = written(docs.select(model.posterior(F.col(text_col)).alias("_m")).select("_m.*"), "memberships")
     return model, fit_rates(members, list(targets.values()), max_rate=max_rate, **options)
 
@@ -159,7 +191,7 @@ def document_rates(docs: DataFrame, model: DomainModel, rates: Rates, id_col: st
 
     ``copies`` is the rate rounded down, and one more with the probability of the rest, drawn from the id and the
     text: the same in every run, and for repeated rows. Null and empty texts have no tokens and the rate of their
-    posterior, which rests on the classifier's priors. Other columns of ``docs`` aren't read.
+    posterior, which rests on the classifier's priors. Of other columns of ``docs`` the model's ``lang_col`` alone is read.
     """
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), model.posterior(F.col(text_col)).alias("_m"))
     rated = read.select("doc_id", unit_hash(F.col("doc_id"), F.col("_text")).alias("_u"), "_m.n_tokens", "_m.p").withColumn("rate", rates.of(F.col("p")))

@@ -52,7 +52,7 @@ def domain_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    model, rates = mixing.fit_mixture(docs, domain_labels(spark, folder), MIXTURE)
+    model, rates = mixing.fit_mixture(docs, domain_labels(spark, folder), MIXTURE, lang_col="lang")
     rated = mixing.document_rates(docs, model, rates)
     return rated.select("doc_id", "n_tokens", *[F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(MIXTURE)], "rate", "copies")
 
