@@ -67,3 +67,15 @@ def test_fixed_capacity_and_empty(spark):
     got = S.assign_shards(docs, None, capacity=1030).collect()
     assert len({r.shard for r in got}) == 10
     assert S.assign_shards(docs.limit(0), 4).count() == 0
+
+
+def test_shards_beside_large_groups_are_even(spark):
+    draw = random.Random(4)
+    rows = [(d, "x" * draw.randrange(100, 300) + str(d)) for d in range(2000)] + [(5000, "big " * 50_000), (5001, "large " * 20_000), (5002, "huge " * 200_000)]
+    got = S.assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), 12).collect()
+    check(rows, got)
+    sizes, own = defaultdict(int), {r.shard for r in got if r.doc_id >= 5000}
+    for r in got:
+        sizes[r.shard] += r.size
+    others = [sizes[k] for k in range(12) if k not in own]
+    assert set(sizes) == set(range(12)) and len(own) == 3 and max(others) < 1.02 * min(others)

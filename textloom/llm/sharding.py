@@ -99,7 +99,7 @@ def assign_shards(docs: DataFrame, n_shards: int | None = 24, capacity: int | No
 
     ``n_shards`` asks for that many shards of nearly equal bytes; with ``n_shards=None`` shards of ``capacity``
     bytes are opened as needed. A row's size is the UTF-8 bytes of its text plus 8. Equal texts share a shard;
-    a group larger than a shard stays whole and has a shard to itself. ``slot`` counts from 0 in each shard
+    a group larger than a shard stays whole and has a shard to itself, and the others are of nearly equal bytes. ``slot`` counts from 0 in each shard
     without gaps.
 
     A null text has size 8, a null checksum and forms one group with other null texts; so do empty texts. Repeated
@@ -120,17 +120,29 @@ def assign_shards(docs: DataFrame, n_shards: int | None = 24, capacity: int | No
         "shard-rows",
     )
     total = rows.agg(F.sum("size")).first()[0] or 0
-    room = capacity or max(1, math.ceil(total / n_shards))
+    groups = rows.groupBy("group_hash").agg(F.sum("size").alias("bytes"))
+    # groups above an even share of what the larger ones leave have a shard each; the others share the rest evenly
+    alone: dict[object, int] = {}
+    if n_shards:
+        left = total
+        for g in groups.orderBy(F.desc("bytes"), "group_hash").limit(n_shards - 1).collect():
+            if g["bytes"] * (n_shards - len(alone)) <= left:
+                break
+            alone["g", g["group_hash"]] = len(alone)
+            left -= g["bytes"]
+        room = max(1, math.ceil(left / (n_shards - len(alone))))
+    else:
+        room = capacity
     n_bins = n_shards or max(1, math.ceil(total / room))
     parcels = grain * n_bins
     limit = max(1, room // grain)
     parcel = F.pmod(F.col("group_hash"), F.lit(parcels)).cast("int")
-    groups = rows.groupBy("group_hash").agg(F.sum("size").alias("bytes"))
     large = F.col("bytes") >= limit
-    # at most `parcels` rows come back, and at most total / limit large groups in them
+    # at most `parcels` rows come back, and in them the groups alone and at most their rest / limit large ones
     met = groups.groupBy(parcel.alias("parcel")).agg(F.sum(F.when(~large, F.col("bytes"))).alias("bytes"), F.collect_list(F.when(large, F.struct("group_hash", "bytes"))).alias("large")).collect()
     items = [(r["bytes"], ("p", r["parcel"])) for r in met if r["bytes"]] + [(g["bytes"], ("g", g["group_hash"])) for r in met for g in r["large"]]
-    placed = best_fit_decreasing(items, room, n_shards)
+    packed = best_fit_decreasing([x for x in items if x[1] not in alone], room, n_shards and n_shards - len(alone))
+    placed = alone | {k: s + len(alone) for k, s in packed.items()}
     spark = docs.sparkSession
     of_group = spark.createDataFrame([(k, s) for (kind, k), s in placed.items() if kind == "g"], "group_hash long, group_shard int")
     of_parcel = spark.createDataFrame([(k, s) for (kind, k), s in placed.items() if kind == "p"], "parcel int, parcel_shard int")
