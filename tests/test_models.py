@@ -131,3 +131,12 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.term, r.n) for r in spark.table("terms").collect()} == {("a", 2), ("b", 2), ("c", 1)}
+
+
+def test_topics_are_fitted_on_all_documents(spark):
+    draw = random.Random(2)
+    rows = [(d, [f"{'ab'[d % 2]}{draw.randrange(30)}" for _ in range(40)]) for d in range(200)]
+    model = vectors.fit_topics(spark.createDataFrame(rows, "doc_id long, words array<string>"), topics=2)
+    assert model.stages[1].getSubsamplingRate() == 1
+    for topic in (0, 1):
+        assert len({r.term[0] for r in vectors.describe_topics(model).collect() if r.topic == topic}) == 1

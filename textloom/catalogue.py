@@ -367,7 +367,7 @@ def q_centroids(spark, folder):
 @register()
 def q_topics(spark, folder):
     docs = _docs(spark, folder).select("doc_id", vectors.topic_words(stats.words(F.col("text"))).alias("words"))
-    model = vectors.fit_topics(docs, topics=8, iterations=5, vocabulary=5000)
+    model = vectors.fit_topics(docs)
     return vectors.describe_topics(model)
 
 

@@ -156,12 +156,15 @@ def fit_word_vectors(docs: DataFrame, words_col: str = "words", dim: int = 64, m
 
 
 def fit_topics(docs: DataFrame, words_col: str = "words", topics: int = 20, vocabulary: int = 20_000, iterations: int = 20, seed: int = 7):
-    """A pipeline model of counts and latent Dirichlet allocation; the vector of a document is in ``topics``."""
+    """A pipeline model of counts and latent Dirichlet allocation; the vector of a document is in ``topics``.
+
+    Every iteration reads all documents, so steps start large (``learningOffset`` 1).
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
 
-    return Pipeline(stages=[CountVectorizer(inputCol=words_col, outputCol="counts", vocabSize=vocabulary, minDF=2), LDA(featuresCol="counts", topicDistributionCol="topics", k=topics, maxIter=iterations, seed=seed)]).fit(docs)
+    return Pipeline(stages=[CountVectorizer(inputCol=words_col, outputCol="counts", vocabSize=vocabulary, minDF=2), LDA(featuresCol="counts", topicDistributionCol="topics", k=topics, maxIter=iterations, optimizer="online", subsamplingRate=1.0, learningOffset=1.0, seed=seed)]).fit(docs)
 
 
 def describe_topics(model, terms: int = 10) -> DataFrame:
