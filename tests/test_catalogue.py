@@ -37,3 +37,11 @@ def test_every_sql_has_a_query():
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables here")
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables here")
+def test_classifier_predicts_every_document(spark):
+    got = catalogue.queries()["q_classifier"](spark, FOLDER).collect()
+    assert len(got) == spark.read.parquet(f"{FOLDER}/documents.parquet").count()
+    assert sum(r.label is not None for r in got) == spark.read.parquet(f"{FOLDER}/labels.parquet").count()
+    assert all(r.prediction in (0, 1) for r in got)

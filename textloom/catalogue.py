@@ -373,9 +373,9 @@ def q_topics(spark, folder):
 
 @register()
 def q_classifier(spark, folder):
-    labelled = _docs(spark, folder).join(_t(spark, folder, "labels"), "doc_id").select("doc_id", F.col("toxic").cast("double").alias("label"), stats.words(F.col("text")).alias("words"))
-    model = vectors.fit_classifier(labelled, "label", iterations=10)
-    return model.transform(labelled).select("doc_id", "label", "prediction")
+    docs = _docs(spark, folder).join(_t(spark, folder, "labels"), "doc_id", "left").select("doc_id", F.col("toxic").cast("double").alias("label"), stats.words(F.col("text")).alias("words"))
+    model = vectors.fit_classifier(docs.where("label is not null"), "label")
+    return model.transform(docs).select("doc_id", "label", "prediction")
 
 
 # --- documents, weights and sets ---------------------------------------------------------------------------------
