@@ -102,3 +102,11 @@ def test_components_of_a_long_chain_and_a_star(spark):
     got = {r.node: r.component for r in connected_components(df).collect()}
     chain, star = [names[k] for k in range(61)], [names[1000 + k] for k in range(50)]
     assert got == {k: min(chain) for k in chain} | {k: min(star) for k in star}
+
+
+def test_empty_blocks_add_no_links(spark):
+    words = [f"w{k}" for k in range(400)]
+    rows = [(d, " ".join([*words, f"end{d}"])) for d in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = N.near_duplicate_classes(docs, block_ngrams=300).select("doc_id", "class_id", "n_copies", "n_links")
+    assert sorted(map(tuple, got.collect())) == brute(rows) == [(d, 0, 1, 5) for d in range(6)]

@@ -187,7 +187,8 @@ def _verify(docs: DataFrame, clusters: DataFrame, n: int, threshold: float, bloc
         pdf = pdf.drop_duplicates("key")
         keys = pdf["key"].tolist()
         first = (pdf["block"] == pdf["i"]).to_numpy()
-        if len(keys) < 2 or not first.any():
+        # where one of two blocks is empty, the other's own pairs are those of another task
+        if len(keys) < 2 or not first.any() or (pdf["i"].iloc[0] != pdf["j"].iloc[0] and first.all()):
             return pd.DataFrame({"key": [], "other": [], "links": []})
         links, forest = compare_block(keys, [np.frombuffer(x, np.uint64) for x in pdf["ngrams"]], first, threshold)
         some = np.flatnonzero(links)
