@@ -63,3 +63,11 @@ def test_recount_with_edits_given(spark, counter):
     got = {r.doc_id: r for r in E.recount(docs, rule=None, edits_col="e").collect()}
     assert got[1].n_tokens_edited == len(counter.encoding.encode_ordinary("zero one 2 three"))
     assert got[2].n_edits == 0
+
+
+def test_repeated_lines_go_with_the_masks_in_them():
+    line = "mail a@b.org or 10.0.0.1"
+    text = f"{line}\nother\n{line}\n{line}\nlast c@d.org"
+    for start, end, by in E.cleaning_edits(text):
+        text = text[:start] + by + text[end:]
+    assert text == "mail <EMAIL> or <IP>\nother\nlast <EMAIL>"

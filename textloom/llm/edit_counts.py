@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -178,6 +179,10 @@ def cleaning_edits(text: str) -> list[tuple[int, int, str]]:
         at += len(line) + 1
     for pattern, mask in MASKS:
         found += [(m.start(), m.end(), mask) for m in pattern.finditer(text)]
+    # a line that goes takes its masks with it; no mask spans lines, so the last line begun at its start decides
+    begins = [start for start, _, _ in gone]
+    inside = lambda start, end: (k := bisect_right(begins, start)) > 0 and end <= gone[k - 1][1]
+    found = [e for e in found if not inside(e[0], e[1])]
     edits, free = [], len(text) + 1
     for start, end, by in sorted(gone + found, key=lambda e: (-e[0], -e[1])):
         if end <= free:
