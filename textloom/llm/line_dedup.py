@@ -110,7 +110,7 @@ def line_decisions(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id",
 
     Lines are the parts between newlines, trimmed; blank ones stay. A line goes as ``repeated`` if an equal line
     comes earlier, and as ``near`` if its earliest occurrence has an earlier line one edit away (a character put in,
-    taken out or changed) and it has ``min_chars`` characters or more. Earlier is by id, then text hash for texts
+    taken out or changed) and both have ``min_chars`` characters or more. Earlier is by id, then text hash for texts
     that share an id, then line.
 
     Lines are judged against all of those before them, gone or not. Rows with null or empty text have no lines to
