@@ -1,6 +1,8 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
+
+import pytest
 
 from textloom.llm import sharding as S
 
@@ -22,13 +24,24 @@ def plain_best_fit(items, capacity, n_bins=None):
     return out
 
 
-def test_tree_packs_as_a_scan_of_all_bins_does():
+def test_counted_sizes_pack_as_a_scan_of_all_bins_does():
     draw = random.Random(1)
     for n_bins in (None, 3, 8):
-        items = [(draw.randrange(1, 90), k) for k in range(400)]
-        assert S.best_fit_decreasing(items, 100, n_bins) == plain_best_fit(items, 100, n_bins)
-    assert S.best_fit_decreasing([], 5) == {}
-    assert S.best_fit_decreasing([(9, "a")], 5) == {"a": 0}
+        items = [(draw.randrange(1, 90), k) for k in range(400)] + [(150, 400)]
+        want = plain_best_fit([(size, f"{k:03}") for size, k in items], 100, n_bins)
+        got = defaultdict(list)
+        for size, first, end, at in S.pack_sizes(list(Counter(size for size, _ in items).items()), 100, n_bins):
+            got[size] += [at] * (end - first)
+        for size in got:
+            assert got[size] == [want[f"{k:03}"] for s, k in sorted(items, key=lambda x: x[1]) if s == size], (n_bins, size)
+    assert S.pack_sizes([], 5) == []
+    assert S.pack_sizes([(9, 1)], 5) == [(9, 0, 1, 0)]
+
+
+def test_sizes_of_a_class_are_close_and_few(spark):
+    sizes = [1, 8, 65535, 65536, 65567, 65568, 10**6, 10**6 + 300, 2**40 + 5]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in sizes], "x long").select(S._size_class(S.F.col("x"))).collect()]
+    assert got[:3] == sizes[:3] and all(c <= x < c * (1 + 1 / 2048) for c, x in zip(got, sizes)) and got[3] == got[4] != got[5]
 
 
 def check(rows, got):
@@ -79,3 +92,24 @@ def test_shards_beside_large_groups_are_even(spark):
         sizes[r.shard] += r.size
     others = [sizes[k] for k in range(12) if k not in own]
     assert set(sizes) == set(range(12)) and len(own) == 3 and max(others) < 1.02 * min(others)
+
+
+def test_written_shards_hold_every_row_with_all_its_columns(spark, tmp_path):
+    rows = [(d % 40, f"text {d % 50}", d) for d in range(90)] + [(None, None, 1), (3, "", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _group int")
+    S.write_shards(docs, S.assign_shards(docs, 3), f"{tmp_path}/out")
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(map(str, got.select("doc_id", "text", "_group").collect())) == sorted(map(str, docs.collect()))
+    assert got.groupBy("text").agg(S.F.countDistinct("shard").alias("n")).where("n > 1").count() == 0
+    with pytest.raises(ValueError):
+        S.write_shards(docs.withColumnRenamed("_group", "Shard"), S.assign_shards(docs, 3), f"{tmp_path}/no")
+
+
+def test_very_long_texts_and_many_of_one_size(spark):
+    rows = [(d, f"{d:04}") for d in range(1000)] + [(2000 + d, f"{d} " + "long " * 40_000) for d in range(7)]
+    got = S.assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), 3).collect()
+    check(rows, got)
+    sizes = defaultdict(int)
+    for r in got:
+        sizes[r.shard] += r.size
+    assert len(sizes) == 3 and sum(sizes.values()) == sum(len(t) + 8 for _, t in rows)

@@ -1,20 +1,25 @@
 """Sharding: best-fit-decreasing bin packing of indivisible groups.
 
-A group is all rows with equal text. Groups above a fixed share of a shard enter the packing one by one; the
-others are first put together, by the hash of their text, into a fixed number of small parcels. Either kind of
-item is at most ``1 / grain`` of a shard (or is one large group), so the packing sees at most
-``2 * grain * n_shards`` items however many rows there are, and no group is ever divided.
+A group is all rows with equal text. The packing works on sizes with the number of groups that have them: where
+several groups are of one size, the tightest bin that takes the first of them stays the tightest, so it takes as many
+as it has room for at once. Sizes under 65,536 bytes are exact; larger ones are rounded up to the largest met among
+those that share their twelve leading bits, so the driver holds a bounded number of sizes however many groups there
+are. The groups of a size are then numbered in place and each finds its bin by its number. No group is ever divided.
 """
 
 from __future__ import annotations
 
-import math
 import random
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.shared import written
+from textloom.llm.shared import discard, free_names, written
+
+#: Sizes below this many bytes are packed as they are.
+EXACT = 1 << 16
+#: Parts, by hash, in which the groups of one size are numbered.
+PARTS = 4096
 
 
 class RoomTree:
@@ -73,38 +78,51 @@ def _join(a, b):
     return b
 
 
-def best_fit_decreasing(items: list[tuple[int, object]], capacity: int, n_bins: int | None = None) -> dict[object, int]:
-    """Bin of each (size, key). Without ``n_bins`` a bin is opened when no open one has room, so an item above the
-    capacity gets a bin of its own. With ``n_bins`` what fits nowhere goes to the bin with the most room left."""
-    tree, bins = RoomTree(), 0
+def pack_sizes(sizes: list[tuple[int, int]], capacity: int, n_bins: int | None = None) -> list[tuple[int, int, int, int]]:
+    """Best fit of ``(size, how many)``, the largest size first: ``(size, first, end, bin)``, the items from ``first``
+    up to ``end`` of that size being in a bin.
+
+    Without ``n_bins`` a bin is opened when no open one has room, so an item above the capacity gets a bin of its own.
+    With ``n_bins`` what fits nowhere goes to the bin with the most room left. Of bins with equal room the first counts.
+    """
+    tree, bins, placed = RoomTree(), 0, []
     for b in range(n_bins or 0):
         tree.add((capacity, b))
         bins += 1
-    placed = {}
-    for size, key in sorted(items, key=lambda x: (-x[0], str(x[1]))):
-        at = tree.tightest(size)
-        if at is None and n_bins:
-            at = tree.roomiest()
-        if at is None:
-            at, bins = (capacity, bins), bins + 1
-        else:
-            tree.remove(at)
-        tree.add((at[0] - size, at[1]))
-        placed[key] = at[1]
+    for size, n in sorted(sizes, reverse=True):
+        done = 0
+        while done < n:
+            at = tree.tightest(size)
+            if at is None and n_bins:
+                at = tree.roomiest()
+            if at is None:
+                at, bins = (capacity, bins), bins + 1
+            else:
+                tree.remove(at)
+            many = min(n - done, max(1, at[0] // size)) if size else n - done
+            tree.add((at[0] - many * size, at[1]))
+            placed.append((size, done, done + many, at[1]))
+            done += many
     return placed
 
 
-def assign_shards(docs: DataFrame, n_shards: int | None = 24, capacity: int | None = None, grain: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _size_class(size: Column) -> Column:
+    """The size itself, or its twelve leading bits."""
+    step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(size, F.lit(1)))) - 11).cast("long")
+    return F.when(size < EXACT, size).otherwise(size - size % step)
+
+
+def assign_shards(docs: DataFrame, n_shards: int | None = 24, capacity: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Shard and place of every row: ``doc_id, size, text_crc32, group_hash, shard, slot``.
 
     ``n_shards`` asks for that many shards of nearly equal bytes; with ``n_shards=None`` shards of ``capacity``
     bytes are opened as needed. A row's size is the UTF-8 bytes of its text plus 8. Equal texts share a shard;
-    a group larger than a shard stays whole and has a shard to itself, and the others are of nearly equal bytes. ``slot`` counts from 0 in each shard
-    without gaps.
+    a group larger than a shard stays whole and has a shard to itself, and the others are of nearly equal bytes.
+    ``slot`` counts from 0 in each shard without gaps.
 
-    A null text has size 8, a null checksum and forms one group with other null texts; so do empty texts. Repeated
-    rows are rows of their own. Null ids are kept. An empty table gives an empty result. Other columns of ``docs``
-    aren't read.
+    Groups of one size are taken in the order of their hashes, and of bins with equal room the first is filled. A null text has size 8, a null checksum and forms one group with other null texts; so do empty
+    texts. Very long texts are groups like others. Repeated rows are rows of their own. Null ids are kept. An empty
+    table gives an empty result. Other columns of ``docs`` aren't read.
     """
     if (n_shards is None) == (capacity is None):
         raise ValueError("give n_shards or capacity")
@@ -119,46 +137,48 @@ def assign_shards(docs: DataFrame, n_shards: int | None = 24, capacity: int | No
         ),
         "shard-rows",
     )
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    groups = rows.groupBy("group_hash").agg(F.sum("size").alias("bytes"))
+    summed = rows.groupBy("group_hash").agg(F.sum("size").alias("bytes"))
+    groups = written(summed.select("group_hash", "bytes", _size_class(F.col("bytes")).alias("class"), F.pmod("group_hash", F.lit(PARTS)).cast("int").alias("_part")), "shard-groups")
     # groups above an even share of what the larger ones leave have a shard each; the others share the rest evenly
-    alone: dict[object, int] = {}
+    alone: list[tuple[int, int]] = []
     if n_shards:
-        left = total
+        left = groups.agg(F.sum("bytes")).first()[0] or 0
         for g in groups.orderBy(F.desc("bytes"), "group_hash").limit(n_shards - 1).collect():
             if g["bytes"] * (n_shards - len(alone)) <= left:
                 break
-            alone["g", g["group_hash"]] = len(alone)
+            alone.append((g["group_hash"], len(alone)))
             left -= g["bytes"]
-        room = max(1, math.ceil(left / (n_shards - len(alone))))
-    else:
-        room = capacity
-    n_bins = n_shards or max(1, math.ceil(total / room))
-    parcels = grain * n_bins
-    limit = max(1, room // grain)
-    parcel = F.pmod(F.col("group_hash"), F.lit(parcels)).cast("int")
-    large = F.col("bytes") >= limit
-    # at most `parcels` rows come back, and in them the groups alone and at most their rest / limit large ones
-    met = groups.groupBy(parcel.alias("parcel")).agg(F.sum(F.when(~large, F.col("bytes"))).alias("bytes"), F.collect_list(F.when(large, F.struct("group_hash", "bytes"))).alias("large")).collect()
-    items = [(r["bytes"], ("p", r["parcel"])) for r in met if r["bytes"]] + [(g["bytes"], ("g", g["group_hash"])) for r in met for g in r["large"]]
-    packed = best_fit_decreasing([x for x in items if x[1] not in alone], room, n_shards and n_shards - len(alone))
-    placed = alone | {k: s + len(alone) for k, s in packed.items()}
     spark = docs.sparkSession
-    of_group = spark.createDataFrame([(k, s) for (kind, k), s in placed.items() if kind == "g"], "group_hash long, group_shard int")
-    of_parcel = spark.createDataFrame([(k, s) for (kind, k), s in placed.items() if kind == "p"], "parcel int, parcel_shard int")
-    put = (
-        rows.withColumn("parcel", parcel)
-        .join(F.broadcast(of_group), "group_hash", "left")
-        .join(F.broadcast(of_parcel), "parcel", "left")
-        .select("doc_id", "size", "text_crc32", "group_hash", F.coalesce("group_shard", "parcel_shard").alias("shard"), F.shiftright("_row", 33).cast("int").alias("_part"), "_row")
-    )
-    # the place in a shard: rows of earlier input partitions, then the place among those of the same partition
+    by_itself = F.broadcast(spark.createDataFrame(alone, "group_hash long, alone int"))  # fewer than n_shards
+    packed = written(groups.join(by_itself, "group_hash", "left_anti"), "shard-groups")
+    met = packed.groupBy("class").agg(F.max("bytes").alias("most"), F.count("*").alias("n")).collect()  # of bounded number, see above
+    room = capacity or max(1, -(-sum(r["most"] * r["n"] for r in met) // (n_shards - len(alone))))
+    of_size = {r["most"]: r["class"] for r in met}
+    bins = [(of_size[size], first, end, at + len(alone)) for size, first, end, at in pack_sizes([(r["most"], r["n"]) for r in met], room, n_shards and n_shards - len(alone))]
+    # a group's number in its class: the groups of earlier parts, then its place among those of its own
+    counts = packed.groupBy("class", "_part").agg(F.count("*").alias("_n"))
+    before = counts.select("class", "_part", F.coalesce(F.sum("_n").over(Window.partitionBy("class").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("class", "_part").orderBy("group_hash")) - 1
+    numbered = packed.withColumn("_own", own).join(before, ["class", "_part"]).select("group_hash", "class", (F.col("_own") + F.col("_before")).alias("_number"))
+    # at most one row a class and one a bin, but for what fits nowhere
+    ranges = F.broadcast(spark.createDataFrame(bins, "class long, _first long, _end long, shard int"))
+    found = numbered.join(ranges, "class").where((F.col("_number") >= F.col("_first")) & (F.col("_number") < F.col("_end"))).select("group_hash", "shard")
+    shards = written(found.union(by_itself.select("group_hash", "alone")), "shards")
+    discard(groups, packed)
+    put = rows.join(shards, "group_hash").select("doc_id", "size", "text_crc32", "group_hash", "shard", F.shiftright("_row", 33).cast("int").alias("_part"), "_row")
+    # the place in a shard in the same way
     counts = put.groupBy("shard", "_part").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     own = F.row_number().over(Window.partitionBy("shard", "_part").orderBy("_row")) - 1
     return put.withColumn("_own", own).join(before, ["shard", "_part"]).select("doc_id", "size", "text_crc32", "group_hash", "shard", (F.col("_own") + F.col("_before")).cast("long").alias("slot"))
 
 
-def write_shards(docs: DataFrame, assignment: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Write ``docs`` as one folder for each shard. Rows are told apart by id: with repeated ids use the assignment alone."""
-    docs.join(assignment.select(F.col("doc_id").alias(id_col), "shard"), id_col).repartition("shard", id_col).write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, assignment: DataFrame, path: str, text_col: str = "text", shard_col: str = "shard") -> None:
+    """Write ``docs``, all columns, as one folder for each shard. Rows find their shard by their text, which is what a
+    group is. ``shard_col`` names the folders, so ``docs`` can't have a column of that name."""
+    if shard_col.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs has a column {shard_col}; give shard_col another name")
+    (key,) = free_names(docs, "_group")
+    of_group = assignment.groupBy(F.col("group_hash").alias(key)).agg(F.first("shard").alias(shard_col))
+    put = docs.join(of_group, F.xxhash64(F.col(text_col)) == F.col(key)).drop(key)
+    put.repartition(F.col(shard_col), F.xxhash64(F.col(text_col))).write.partitionBy(shard_col).parquet(path)
