@@ -74,6 +74,8 @@ def test_equals_comparing_all_texts(spark, block_texts):
         assert (None, rows[0][1]) in left
         assert N.near_duplicate_classes(docs.limit(0)).count() == 0
         assert N.keep_one_of_each_class(docs.limit(0)).count() == 0
+        odd = docs.selectExpr("doc_id", "text", "1 as _id", "2 as _key", "3 as head", "4 as _head")
+        assert N.keep_one_of_each_class(odd).columns == odd.columns and N.keep_one_of_each_class(odd).count() == len(left)
 
 
 def test_block_comparison_counts_pairs_across_blocks_once():
@@ -110,3 +112,29 @@ def test_empty_blocks_add_no_links(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = N.near_duplicate_classes(docs, block_ngrams=300).select("doc_id", "class_id", "n_copies", "n_links")
     assert sorted(map(tuple, got.collect())) == brute(rows) == [(d, 0, 1, 5) for d in range(6)]
+
+
+def test_texts_that_a_chain_of_bands_connects_do_not_meet(spark):
+    names = [bytes([k]) for k in range(30)]
+    # each text shares a band with the next alone
+    rows = [(k, key, 100, [1000 + i, 1001 + i]) for i, (k, key) in enumerate(zip(range(30), names))]
+    texts = spark.createDataFrame(rows, "rep long, key binary, n_words int, bands array<long>")
+    got = N._meetings(texts, block_texts=5, block_ngrams=10**6).collect()
+    met = {}
+    for r in got:
+        for m in r.meets:
+            met.setdefault((m.i, m.j), set()).add((r.rep, r.block))
+    for i, j in zip(range(29), range(1, 30)):
+        both = [m for m, there in met.items() if {r for r, _ in there} >= {i, j} and {b for r, b in there if r in (i, j)} == set(m)]
+        assert len(both) == 1, (i, j)
+    assert max(len(r.meets) for r in got) <= 3 and max(map(len, met.values())) <= 4
+
+
+def test_a_large_group_fills_even_blocks(spark):
+    rows = [(k, k.to_bytes(2, "big"), 100, [7, 8 + k % 2, 100 + k]) for k in range(1000)]
+    texts = spark.createDataFrame(rows, "rep long, key binary, n_words int, bands array<long>")
+    sizes = {}
+    for r in N._meetings(texts, block_texts=50, block_ngrams=10**6).collect():
+        sizes[r.block] = sizes.get(r.block, 0) + 1
+        assert len(r.meets) == 20
+    assert len(sizes) == 20 and max(sizes.values()) < 90

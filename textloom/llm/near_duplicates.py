@@ -1,10 +1,10 @@
 """N-gram Jaccard join: MinHash bands find candidates, full n-gram sets decide.
 
 1. One pass over the texts makes each row's text key (128 bits) and band hashes; equal texts are one text from here.
-2. Texts that share a band hash are tied to the least of them: candidate clusters are the components of these ties.
-3. The n-gram sets of clustered texts alone are made, and compared pair by pair inside tasks. A cluster above a fixed
-   size is dealt into blocks and every two blocks meet in a task of their own; a task gives back the number of links
-   of each text and a spanning forest of its links, never the pairs.
+2. Texts that share a band hash are candidates. A text is at home in its most frequent band, whose texts are dealt
+   into blocks of a fixed size, and meets the blocks of all texts with which it shares a band.
+3. The n-gram sets of candidates alone are made, sent to each pair of blocks that meets, and compared inside tasks; a
+   task gives back the number of links of each text and a spanning forest of its links, never the pairs.
 4. Classes are the components of those forests.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.components import connected_components
-from textloom.llm.shared import written
+from textloom.llm.shared import discard, free_names, written
 
 _WORD = re.compile(r"\w+")
 _MEMO_LIMIT = 400_000
@@ -164,13 +164,34 @@ def compare_block(keys: list[bytes], sets: list[np.ndarray], first: np.ndarray,
     return out, [(int(order[p]), int(order[q])) for p, q in forest]
 
 
-def _verify(docs: DataFrame, clusters: DataFrame, n: int, threshold: float, block_texts: int, block_ngrams: int) -> DataFrame:
+def _meetings(texts: DataFrame, block_texts: int, block_ngrams: int) -> DataFrame:
+    """``key, rep, block, meets`` of texts that share a band: their block, and the pairs of blocks in which they are compared.
+
+    A text is at home in its most frequent band. The texts at home in a band are dealt into blocks of a fixed size, and
+    a text meets a block if one of its bands has a text of that block. So any two texts that share a band meet in one
+    pair of blocks and in no other, and texts that only a chain of bands connects don't meet.
+    """
+    banded = texts.select("key", "n_words", F.explode("bands").alias("band"))
+    # tables of their own, so that Spark can split a frequent band when they are joined
+    met = banded.groupBy("band").agg(F.min("key").alias("_a"), F.max("key").alias("_z"), F.count("*").alias("n"), F.sum("n_words").alias("w")).where("_a <> _z")
+    buckets = written(met.select("band", F.struct("n", "band", F.greatest(F.ceil(F.col("n") / block_texts), F.ceil(F.col("w") / block_ngrams)).cast("int").alias("blocks")).alias("_home")), "bands")
+    shared = written(banded.join(buckets, "band").select("key", "band", "_home"), "shared-bands")
+    home = shared.groupBy("key").agg(F.max("_home").alias("_h"))
+    placed = written(home.select("key", F.xxhash64("_h.band", F.pmod(F.xxhash64("key"), F.col("_h.blocks"))).alias("block")), "homes")
+    inside = shared.select("key", "band").join(placed, "key")
+    # as many blocks a band as its texts fill, and those of texts with a more frequent band
+    several = written(inside.groupBy("band").agg(F.collect_set("block").alias("_blocks")).where(F.size("_blocks") > 1), "blocks-of-bands")
+    # a text has a fixed number of bands, which bounds the list
+    others = inside.join(several, "band").groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("_blocks"))).alias("_blocks"))
+    pair = lambda x: F.struct(F.least("block", x).alias("i"), F.greatest("block", x).alias("j"))
+    meets = F.transform(F.array_union(F.array("block"), F.coalesce("_blocks", F.array().cast("array<long>"))), pair)
+    made = written(placed.join(others, "key", "left").join(texts.select("key", "rep"), "key").select("key", "rep", "block", meets.alias("meets")), "meetings")
+    discard(buckets, shared, placed, several)
+    return made
+
+
+def _verify(docs: DataFrame, meetings: DataFrame, n: int, threshold: float) -> DataFrame:
     """``key, other, links``: rows with ``other`` are links of a spanning forest, the others count links."""
-    # tables of their own, so that Spark can split a large cluster when they are joined
-    clusters = written(clusters, "clusters")
-    sized = written(clusters.groupBy("component").agg(F.count("*").alias("_n"), F.sum("n_words").alias("_w")), "cluster-sizes")
-    blocks = F.greatest(F.ceil(F.col("_n") / block_texts), F.ceil(F.col("_w") / block_ngrams)).cast("int")
-    wanted = clusters.join(sized.select("component", blocks.alias("blocks")), "component")
 
     @F.pandas_udf("binary")
     def ngrams(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -178,10 +199,9 @@ def _verify(docs: DataFrame, clusters: DataFrame, n: int, threshold: float, bloc
         for texts in batches:
             yield pd.Series([np.unique(shingler.shingles(t)).tobytes() for t in texts])
 
-    read = docs.withColumn("key", F.unhex(F.md5(F.col("text").cast("binary")))).join(wanted.withColumnRenamed("rep", "doc_id"), ["doc_id", "key"])
-    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    own = read.select("key", "component", "blocks", block.alias("block"), ngrams(F.col("text")).alias("ngrams"))
-    met = own.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_x")).select("key", "component", "block", "ngrams", F.least("block", "_x").alias("i"), F.greatest("block", "_x").alias("j"))
+    read = docs.withColumn("key", F.unhex(F.md5(F.col("text").cast("binary")))).join(meetings.withColumnRenamed("rep", "doc_id"), ["doc_id", "key"])
+    own = read.select("key", "block", "meets", ngrams(F.col("text")).alias("ngrams"))
+    met = own.select("key", "block", "ngrams", F.explode("meets").alias("_m")).select("key", "block", "ngrams", "_m.i", "_m.j")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("key")
@@ -194,10 +214,10 @@ def _verify(docs: DataFrame, clusters: DataFrame, n: int, threshold: float, bloc
         some = np.flatnonzero(links)
         return pd.DataFrame({"key": [keys[p] for p, _ in forest] + [keys[k] for k in some], "other": [keys[q] for _, q in forest] + [None] * len(some), "links": [0] * len(forest) + links[some].tolist()})
 
-    return met.groupBy("component", "i", "j").applyInPandas(compare, "key binary, other binary, links long")
+    return met.groupBy("i", "j").applyInPandas(compare, "key binary, other binary, links long")
 
 
-def near_duplicate_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, hashes: int = 128, block_texts: int = 400, block_ngrams: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, hashes: int = 128, block_texts: int = 150, block_ngrams: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, key, class_id, class_key, n_copies, n_links`` for every row.
 
     Texts are linked if the Jaccard similarity of their word n-gram sets (lower case; runs of letters, digits and
@@ -207,39 +227,43 @@ def near_duplicate_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8,
     surely; what is found is decided on full sets.
 
     A text of fewer than ``n`` words has one n-gram, of all its words. Null, empty and wordless texts, and rows
-    without an id, are classes of their own with no links (their ``key`` is null). Repeated rows are copies. An
-    empty table gives an empty result. Other columns aren't read.
+    without an id, are classes of their own with no links (their ``key`` is null). Very long texts are hashed in
+    stretches and fill blocks of their own. Repeated rows are copies. An empty table gives an empty result. Other
+    columns aren't read.
     """
     rows, bands = choose_bands(threshold, recall, hashes)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     signed = written(_sign(docs, n, rows, bands), "signatures")
-    texts = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.max("n_words").alias("n_words"))
-    banded = signed.where("key is not null").select("key", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("key").alias("least"), F.max("key").alias("_most")).where(F.col("least") != F.col("_most")).drop("_most")
-    ties = banded.join(buckets, "band").where(F.col("key") != F.col("least")).select(F.col("key").alias("a"), F.col("least").alias("b"))
-    clusters = connected_components(ties).withColumnRenamed("node", "key").join(texts, "key").select("key", "component", "rep", "n_words")
-    verified = written(_verify(docs, clusters, n, threshold, block_texts, block_ngrams), "links")
+    # copies of a text are one from here, so that a large group of them is no frequent band
+    texts = written(signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.max("n_words").alias("n_words"), F.first("bands").alias("bands")), "texts")
+    meetings = _meetings(texts, block_texts, block_ngrams)
+    verified = written(_verify(docs, meetings, n, threshold), "links")
     classes = connected_components(verified.where("other is not null"), "key", "other").withColumnRenamed("node", "key").withColumnRenamed("component", "class")
     counts = verified.where("other is null").groupBy("key").agg(F.sum("links").alias("n_links"))
-    known = texts.join(classes, "key", "left").join(counts, "key", "left").withColumn("class", F.coalesce("class", "key"))
-    known = written(known.select("key", "rep", "n_copies", "class", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "texts")
+    known = texts.drop("bands").join(classes, "key", "left").join(counts, "key", "left").withColumn("class", F.coalesce("class", "key"))
+    known = written(known.select("key", "rep", "n_copies", "class", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "classes")
+    discard(texts, meetings, verified)
     heads = known.groupBy("class").agg(F.min(F.struct("rep", "key")).alias("_head"))
     per_text = known.join(heads, "class").select("key", "n_copies", "n_links", F.col("_head.rep").alias("class_id"), F.col("_head.key").alias("class_key"))
     return signed.select("doc_id", "key").join(per_text, "key", "left").select("doc_id", "key", F.coalesce("class_id", "doc_id").alias("class_id"), "class_key", F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def keep_one_of_each_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, but one of each class: the one with the least id (of a repeated row, one).
+    """The rows of ``docs``, all columns whatever their names, but one of each class: the one with the least id (of a
+    repeated row, one).
 
-    Rows that are classes of their own, as null texts, all stay.
+    Rows that are classes of their own, as null texts, all stay. An empty table stays empty.
     """
     classes = written(near_duplicate_classes(docs, id_col=id_col, text_col=text_col, **options).where("class_key is not null"), "classes")
     head = (F.col("doc_id") == F.col("class_id")) & (F.col("key") == F.col("class_key"))
     once = classes.groupBy("doc_id", "key").agg(F.first(head).alias("_head"), F.count("*").alias("_times")).where("not _head or _times > 1")
-    odd = written(once.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_head"), "odd-rows")
-    at = (F.col(id_col) == F.col("_id")) & (F.unhex(F.md5(F.col(text_col).cast("binary"))) == F.col("_key"))
-    kept = docs.join(odd.select("_id", "_key"), at, "left_anti")
-    if not odd.where("_head").isEmpty():
-        repeated = docs.join(odd.where("_head").select("_id", "_key"), at, "left_semi")
+    id_name, key_name = free_names(docs, "_id", "_key")
+    odd = written(once.select(F.col("doc_id").alias(id_name), F.col("key").alias(key_name), F.col("_head").alias("head")), "odd-rows")
+    discard(classes)
+    at = (docs[id_col] == odd[id_name]) & (F.unhex(F.md5(docs[text_col].cast("binary"))) == odd[key_name])
+    kept = docs.join(odd, at, "left_anti")
+    heads = odd.where("head").select(id_name, key_name)
+    if not heads.isEmpty():
+        repeated = docs.join(heads, (docs[id_col] == heads[id_name]) & (F.unhex(F.md5(docs[text_col].cast("binary"))) == heads[key_name]), "left_semi")
         kept = kept.union(repeated.dropDuplicates([id_col, text_col]))
     return kept
