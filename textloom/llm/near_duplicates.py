@@ -1,8 +1,8 @@
 """N-gram Jaccard join: MinHash bands find candidates, full n-gram sets decide.
 
 1. One pass over the texts makes each row's text key (128 bits) and band hashes; equal texts are one text from here.
-2. Texts that share a band hash are candidates. A text is at home in its most frequent band, whose texts are dealt
-   into blocks of a fixed size, and meets the blocks of all texts with which it shares a band.
+2. Texts that share a band hash are candidates. A text is at home in the most frequent band of any of them; the texts
+   of a home are dealt into blocks of a fixed size, and each meets the blocks of all texts with which it shares a band.
 3. The n-gram sets of candidates alone are made, sent to each pair of blocks that meets, and compared inside tasks; a
    task gives back the number of links of each text and a spanning forest of its links, never the pairs.
 4. Classes are the components of those forests.
@@ -167,26 +167,31 @@ def compare_block(keys: list[bytes], sets: list[np.ndarray], first: np.ndarray,
 def _meetings(texts: DataFrame, block_texts: int, block_ngrams: int) -> DataFrame:
     """``key, rep, block, meets`` of texts that share a band: their block, and the pairs of blocks in which they are compared.
 
-    A text is at home in its most frequent band. The texts at home in a band are dealt into blocks of a fixed size, and
-    a text meets a block if one of its bands has a text of that block. So any two texts that share a band meet in one
-    pair of blocks and in no other, and texts that only a chain of bands connects don't meet.
+    A text is at home in the most frequent band of any text with which it shares one. The texts of a home are dealt into
+    blocks of a fixed size, and a text meets a block if one of its bands has a text of that block. So any two texts that
+    share a band meet in one pair of blocks and in no other, and texts that only a chain of bands connects don't meet
+    unless they are at home together.
     """
-    banded = texts.select("key", "n_words", F.explode("bands").alias("band"))
+    banded = texts.select("key", F.explode("bands").alias("band"))
     # tables of their own, so that Spark can split a frequent band when they are joined
-    met = banded.groupBy("band").agg(F.min("key").alias("_a"), F.max("key").alias("_z"), F.count("*").alias("n"), F.sum("n_words").alias("w")).where("_a <> _z")
-    buckets = written(met.select("band", F.struct("n", "band", F.greatest(F.ceil(F.col("n") / block_texts), F.ceil(F.col("w") / block_ngrams)).cast("int").alias("blocks")).alias("_home")), "bands")
-    shared = written(banded.join(buckets, "band").select("key", "band", "_home"), "shared-bands")
-    home = shared.groupBy("key").agg(F.max("_home").alias("_h"))
-    placed = written(home.select("key", F.xxhash64("_h.band", F.pmod(F.xxhash64("key"), F.col("_h.blocks"))).alias("block")), "homes")
-    inside = shared.select("key", "band").join(placed, "key")
-    # as many blocks a band as its texts fill, and those of texts with a more frequent band
+    met = banded.groupBy("band").agg(F.min("key").alias("_a"), F.max("key").alias("_z"), F.count("*").alias("n")).where("_a <> _z")
+    buckets = written(met.select("band", F.struct("n", "band").alias("_own")), "bands")
+    shared = written(banded.join(buckets, "band").select("key", "band", "_own"), "shared-bands")
+    own = shared.groupBy("key").agg(F.max("_own").alias("_own"))
+    best = written(shared.select("key", "band").join(own, "key").groupBy("band").agg(F.max("_own").alias("_home")), "homes-of-bands")
+    home = shared.select("key", "band").join(best, "band").groupBy("key").agg(F.max("_home").alias("_home")).select("key", F.col("_home.band").alias("home"))
+    home = written(home.join(texts.select("key", "rep", "n_words"), "key"), "homes")
+    sizes = written(home.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / block_texts), F.ceil(F.sum("n_words") / block_ngrams)).cast("int").alias("blocks")), "home-sizes")
+    placed = written(home.join(sizes, "home").select("key", "rep", F.xxhash64("home", F.pmod(F.xxhash64("key"), F.col("blocks"))).alias("block")), "blocks")
+    inside = shared.select("key", "band").join(placed.select("key", "block"), "key")
+    # a band has few blocks beside its texts: those that they fill, and those of more frequent bands
     several = written(inside.groupBy("band").agg(F.collect_set("block").alias("_blocks")).where(F.size("_blocks") > 1), "blocks-of-bands")
     # a text has a fixed number of bands, which bounds the list
     others = inside.join(several, "band").groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("_blocks"))).alias("_blocks"))
     pair = lambda x: F.struct(F.least("block", x).alias("i"), F.greatest("block", x).alias("j"))
     meets = F.transform(F.array_union(F.array("block"), F.coalesce("_blocks", F.array().cast("array<long>"))), pair)
-    made = written(placed.join(others, "key", "left").join(texts.select("key", "rep"), "key").select("key", "rep", "block", meets.alias("meets")), "meetings")
-    discard(buckets, shared, placed, several)
+    made = written(placed.join(others, "key", "left").select("key", "rep", "block", meets.alias("meets")), "meetings")
+    discard(buckets, shared, best, home, sizes, placed, several)
     return made
 
 
@@ -199,7 +204,8 @@ def _verify(docs: DataFrame, meetings: DataFrame, n: int, threshold: float) -> D
         for texts in batches:
             yield pd.Series([np.unique(shingler.shingles(t)).tobytes() for t in texts])
 
-    read = docs.withColumn("key", F.unhex(F.md5(F.col("text").cast("binary")))).join(meetings.withColumnRenamed("rep", "doc_id"), ["doc_id", "key"])
+    # the meetings grow with the texts, so they are never broadcast
+    read = docs.withColumn("key", F.unhex(F.md5(F.col("text").cast("binary")))).join(meetings.withColumnRenamed("rep", "doc_id").hint("merge"), ["doc_id", "key"])
     own = read.select("key", "block", "meets", ngrams(F.col("text")).alias("ngrams"))
     met = own.select("key", "block", "ngrams", F.explode("meets").alias("_m")).select("key", "block", "ngrams", "_m.i", "_m.j")
 
