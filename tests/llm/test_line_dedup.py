@@ -63,3 +63,15 @@ def test_equals_comparing_all_lines(spark):
         assert (d, t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in again + close)) in text
     assert L.line_decisions(docs.limit(0)).count() == 0
     assert L.dedup_lines(docs.limit(0)).columns == docs.columns
+
+
+def test_clashing_columns_very_long_texts_and_shared_ids(spark):
+    line = "a line of more than twenty characters"
+    rows = [(1, line + "\n" + "x" * 300_000), (1, "first\n" + line), (2, "\n".join(f"row {k} of a text with very many rows" for k in range(5000)) + "\n" + line), (None, line)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as _row", "2 as _gone", "3 as _id", "4 as row_key")
+    got = L.dedup_lines(docs)
+    assert got.columns == docs.columns
+    left = sorted((r.doc_id or 0, r.text) for r in got.collect())
+    assert all(r._row == 1 and r._gone == 2 and r._id == 3 for r in got.collect())
+    assert sum(line in t for _, t in left) == 2 and left[0] == (0, line) and len(left) == 4
+    assert L.dedup_lines(docs.limit(0)).count() == 0

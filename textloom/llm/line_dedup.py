@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.shared import written
+from textloom.llm.shared import discard, free_names, written
 
 #: Parts of no more characters get variants.
 SHORT = 48
@@ -86,10 +86,12 @@ def _near_lines(lines: DataFrame, first: DataFrame, min_chars: int) -> DataFrame
     p = F.floor(m / 2).cast("int")
     rest = F.when(F.col("head"), F.substring(F.col("line"), p + 1, F.length("line"))).otherwise(F.substring(F.col("line"), F.lit(1), F.length("line") - p))
     rows = written(chosen.join(texts, ["h", "g"]).select("h", "g", "o", "short", (m - p).cast("int").alias("m"), "k", rest.alias("r")), "line-parts")
+    parts = [rows]
     done = [rows.where(F.col("m") <= SHORT)]
     # each round halves what differs: as many rounds as the longest line with a partner has doublings
     while not (rows := rows.where(F.col("m") > SHORT)).isEmpty():
         rows = written(_with_partner(_halved(rows)), "line-parts")
+        parts.append(rows)
         done.append(rows.where(F.col("m") <= SHORT))
     short = done[0]
     for more in done[1:]:
@@ -102,7 +104,9 @@ def _near_lines(lines: DataFrame, first: DataFrame, min_chars: int) -> DataFrame
     earlier = texts.select(F.col("h").alias("eh"), F.col("g").alias("eg"), F.col("line").alias("_earlier"))
     # hashes may collide: the distance decides, in time linear in the line for so small a bound
     sure = pairs.join(texts, ["h", "g"]).join(earlier, ["eh", "eg"]).where(F.levenshtein("line", "_earlier", 1) == 1)
-    return sure.select("h", "g").distinct()
+    made = written(sure.select("h", "g").distinct(), "near-lines")
+    discard(halves, places, texts, *parts, variants)
+    return made
 
 
 def line_decisions(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,7 +117,7 @@ def line_decisions(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id",
     taken out or changed) and both have ``min_chars`` characters or more. Earlier is by id, then text hash for texts
     that share an id, then line.
 
-    Lines are judged against all of those before them, gone or not. Rows with null or empty text have no lines to
+    Lines are judged against all of those before them, gone or not. Very long lines and texts are read whole. Rows with null or empty text have no lines to
     lose; rows without an id lose none and no line is compared with theirs. Repeated rows share one row of the
     result. An empty table gives an empty result. Other columns aren't read.
     """
@@ -124,6 +128,7 @@ def line_decisions(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id",
     first = written(known.select(*_names(F.col("line")), F.length("line").alias("n"), place, _half_keys(F.col("line")).alias("halves")).groupBy("h", "g", "n").agg(F.min(F.struct("o", "halves")).alias("_f")).select("h", "g", "n", "_f.o", "_f.halves"), "lines")
     near = _near_lines(known, first, min_chars).withColumn("_near", F.lit(True))
     judged = written(first.select("h", "g", "o").join(near, ["h", "g"], "left").select("h", "g", F.col("o").alias("_o"), F.coalesce("_near", F.lit(False)).alias("_near")), "judged-lines")
+    discard(first)
     named = lines.select("doc_id", "row_key", "n_lines", "line_no", *[F.when(F.col("doc_id").isNotNull(), c).alias(a) for c, a in zip((F.xxhash64("line"), F.xxhash64("line", F.lit(1))), ("h", "g"), strict=True)])
     beside = named.join(judged, ["h", "g"], "left").select("doc_id", "row_key", "n_lines", "line_no", (F.struct("doc_id", "row_key", "line_no") != F.col("_o")).alias("_again"), "_near")
     numbers = lambda condition: F.array_sort(F.collect_set(F.when(condition, F.col("line_no"))))
@@ -131,8 +136,13 @@ def line_decisions(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id",
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``, all columns, with the lines taken out that ``line_decisions`` says go. Null texts stay null."""
-    gone = line_decisions(docs, min_chars, id_col, text_col).select(F.col("row_key").alias("_row"), F.concat("repeated", "near").alias("_gone")).where(F.size("_gone") > 0)
-    rest = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    joined = docs.withColumn("_row", F.xxhash64(id_col, text_col)).join(gone, "_row", "left")
-    return joined.select(*[(F.when(F.col("_gone").isNotNull(), rest).otherwise(F.col(text_col)).alias(c) if c == text_col else F.col(c)) for c in docs.columns])
+    """``docs``, all columns whatever their names, with the lines taken out that ``line_decisions`` says go.
+
+    Rows are found by id and text hash together. Null texts stay null, rows without an id stay as they are, repeated
+    rows lose the same lines, and an empty table stays empty.
+    """
+    id_name, row, lines = free_names(docs, "_id", "_row", "_gone")
+    gone = line_decisions(docs, min_chars, id_col, text_col).select(F.col("doc_id").alias(id_name), F.col("row_key").alias(row), F.concat("repeated", "near").alias(lines)).where(F.size(lines) > 0)
+    rest = F.array_join(F.filter(F.split(docs[text_col], "\n"), lambda x, i: ~F.array_contains(gone[lines], i)), "\n")
+    joined = docs.join(gone, (docs[id_col] == gone[id_name]) & (F.xxhash64(docs[id_col], docs[text_col]) == gone[row]), "left")
+    return joined.select(*[(F.when(gone[lines].isNotNull(), rest).otherwise(docs[c]).alias(c) if c == text_col else docs[c]) for c in docs.columns])
