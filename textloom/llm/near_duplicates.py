@@ -24,8 +24,8 @@ from textloom.llm.components import connected_components
 from textloom.llm.shared import discard, free_names, written
 
 _WORD = re.compile(r"\w+")
-_MEMO_LIMIT = 400_000
-AT_ONCE = 1000
+_MEMO_LIMIT = 100_000
+AT_ONCE = 250
 #: Word n-grams hashed at once, so that they stay in a core's cache.
 _STRETCH = 1 << 15
 
@@ -201,7 +201,7 @@ def _verify(docs: DataFrame, meetings: DataFrame, n: int, threshold: float) -> D
     @F.pandas_udf("binary")
     def ngrams(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         shingler = Shingler(n)
-        for texts in batches:
+        for texts in (b.iloc[k : k + AT_ONCE] for b in batches for k in range(0, len(b), AT_ONCE)):
             yield pd.Series([np.unique(shingler.shingles(t)).tobytes() for t in texts])
 
     # the meetings grow with the texts, so they are never broadcast
@@ -223,7 +223,7 @@ def _verify(docs: DataFrame, meetings: DataFrame, n: int, threshold: float) -> D
     return met.groupBy("i", "j").applyInPandas(compare, "key binary, other binary, links long")
 
 
-def near_duplicate_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, hashes: int = 128, block_texts: int = 150, block_ngrams: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, hashes: int = 128, block_texts: int = 150, block_ngrams: int = 400_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, key, class_id, class_key, n_copies, n_links`` for every row.
 
     Texts are linked if the Jaccard similarity of their word n-gram sets (lower case; runs of letters, digits and
