@@ -2,7 +2,7 @@
 
 Each word's likelihood under a language is the product of its byte trigrams' probabilities (with a blank on either
 side). A text is a mixture of languages with unknown shares; EM finds the shares, and the set of languages is the one
-of the least penalised likelihood -2 log L + (languages - 1) log(words).
+of the least penalised likelihood -2 log L + (languages - 1) log(words) among those met on the way from all to one.
 """
 
 from __future__ import annotations
@@ -25,12 +25,12 @@ _WORD_BYTES[97:123] = np.arange(97, 123)
 _WORD_BYTES[128:] = np.arange(128, 256)
 
 
-def _pieces(text: str) -> list[bytes]:
+def _pieces(text: str, size: int) -> list[bytes]:
     data = text.lower().encode("utf-8", "surrogatepass")
     out = []
-    while len(data) > PIECE:
-        cut = data.rfind(b" ", PIECE // 2, PIECE)
-        cut = cut if cut > 0 else PIECE
+    while len(data) > size:
+        cut = data.rfind(b" ", size // 2, size)
+        cut = cut if cut > 0 else size
         out.append(data[:cut])
         data = data[cut:]
     return [*out, data]
@@ -48,12 +48,12 @@ def _grams(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return gram, starts, np.searchsorted(ends, at[starts] - 1, side="right")
 
 
-def _together(texts):
-    """Lists of (place of the text, piece) of about PIECE bytes each."""
+def _together(texts, size: int):
+    """Lists of (place of the text, piece) of about so many bytes each."""
     some, room = [], 0
     for i, text in enumerate(texts):
-        for piece in _pieces(text) if text else ():
-            if some and room + len(piece) > PIECE:
+        for piece in _pieces(text, size) if text else ():
+            if some and room + len(piece) > size:
                 yield some
                 some, room = [], 0
             some.append((i, piece))
@@ -67,14 +67,14 @@ def _count(batches):
     for pdf in batches:
         for lang, texts in pdf.groupby("lang")["text"]:
             into = held.setdefault(lang, np.zeros(GRAMS, np.int64))
-            for some in _together(texts):
+            for some in _together(texts, PIECE):
                 into += np.bincount(_grams([p for _, p in some])[0], minlength=GRAMS)
     for lang, into in held.items():
         some = np.flatnonzero(into)
         yield pd.DataFrame({"lang": lang, "gram": some.astype(np.int32), "n": into[some]})
 
 
-def fit_languages(docs: DataFrame, max_languages: int = 256, smoothing: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
+def fit_languages(docs: DataFrame, max_languages: int = 128, smoothing: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Language values in order, and log P(trigram | language) as an array (trigrams, languages).
 
     Learns from every row with text, language and an id that isn't held out. The result has at most
@@ -93,51 +93,74 @@ def fit_languages(docs: DataFrame, max_languages: int = 256, smoothing: float =
     return names, np.log((counts + smoothing) / (counts.sum(0) + smoothing * GRAMS)).astype(np.float32)
 
 
-def _em(ratio: np.ndarray, starts: np.ndarray, of: np.ndarray, share: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shares after so many steps, and each text's log likelihood (less the constant of ``ratio``). A share of 0 stays 0."""
-    words = np.diff(np.append(starts, len(ratio)))[:, None]
+def _em(ratio: np.ndarray, starts: np.ndarray, share: np.ndarray, tolerance: float = 1e-3, steps: int = 500) -> tuple[np.ndarray, np.ndarray]:
+    """Shares when no step moves one by ``tolerance`` any more, and each text's log likelihood (less the constant of
+    ``ratio``). A share of 0 stays 0. Texts that have settled take no more steps."""
+    whole = ratio, starts
+    words = np.diff(np.append(starts, len(ratio)))
+    out, open_, own = share.copy(), np.arange(len(starts)), words
+    of = np.repeat(np.arange(len(starts)), words)
     for _ in range(steps):
         part = ratio * share[of]
         part /= part.sum(1, keepdims=True)
-        share = np.add.reduceat(part, starts, axis=0) / words
-    return share, np.add.reduceat(np.log((ratio * share[of]).sum(1)), starts)
+        new = np.add.reduceat(part, starts, axis=0) / own[:, None]
+        moving = np.abs(new - share).max(1) >= tolerance
+        share = new
+        if moving.mean() > 0.7:
+            continue
+        out[open_] = share
+        if not moving.any():
+            break
+        ratio, open_, own, share = ratio[moving[of]], open_[moving], own[moving], share[moving]
+        starts = np.concatenate([[0], np.cumsum(own)[:-1]])
+        of = np.repeat(np.arange(len(starts)), own)
+    else:
+        out[open_] = share
+    ratio, starts = whole
+    return out, np.add.reduceat(np.log((ratio * out[np.repeat(np.arange(len(starts)), words)]).sum(1)), starts)
+
 
+def mixture(ratio: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Shares of the languages in each text. ratio: each word's likelihood over its best language's; starts: of texts.
 
-def mixture(ratio: np.ndarray, starts: np.ndarray, most: int, steps: int = 8) -> np.ndarray:
-    """Shares of the languages in each text. ratio: each word's likelihood over its best language's; starts: of texts."""
+    From all languages on, those of less than half a word go, or else that of the least share, down to one language;
+    of all the sets met the cheapest is taken. No word is likelier than under its best language, so a set of k costs
+    (k - 1) log(words) at least, and texts whose best set costs less already than two languages could are settled.
+    """
     n_texts, n_langs = len(starts), ratio.shape[1]
     words = np.diff(np.append(starts, len(ratio)))
-    of = np.repeat(np.arange(n_texts), words)
     alone = np.add.reduceat(np.log(ratio), starts, axis=0)
     best = np.argmax(alone, axis=1)
     out = np.zeros((n_texts, n_langs))
     out[np.arange(n_texts), best] = 1
-    if n_langs == 1:
-        return out
-    cost = -2 * alone[np.arange(n_texts), best]
-    order_by, _ = _em(ratio, starts, of, np.full((n_texts, n_langs), 1 / n_langs), 3)
-    order_by[np.arange(n_texts), best] = 2
-    order = np.argsort(-order_by, axis=1, kind="stable")
-    open_ = np.arange(n_texts)
-    for k in range(2, min(most, n_langs) + 1):
+    penalty = np.log(words)
+    cost = -2.0 * alone[np.arange(n_texts), best]
+    open_ = np.flatnonzero((cost > penalty) & (n_langs > 1))
+    share = np.full((len(open_), n_langs), 1 / n_langs)
+    while len(open_):
         keep = np.zeros(n_texts, bool)
         keep[open_] = True
-        sub = keep[of]
-        own_starts = np.concatenate([[0], np.cumsum(words[open_])[:-1]])
-        own_of = np.repeat(np.arange(len(open_)), words[open_])
-        share = np.zeros((len(open_), n_langs))
-        np.put_along_axis(share, order[open_, :k], 1 / k, axis=1)
-        share, fit = _em(ratio[sub], own_starts, own_of, share, steps)
-        now = -2 * fit + (k - 1) * np.log(words[open_])
+        own = words[open_]
+        share, fit = _em(ratio[np.repeat(keep, words)], np.concatenate([[0], np.cumsum(own)[:-1]]), share)
+        now = -2 * fit + ((share > 0).sum(1) - 1) * penalty[open_]
         better = now < cost[open_]
         out[open_[better]], cost[open_[better]] = share[better], now[better]
-        open_ = open_[better]
-        if not len(open_):
-            break
+        few = (share * own[:, None] < 0.5) & (share > 0) & (share < share.max(1, keepdims=True))
+        none = ~few.any(1)
+        few[np.flatnonzero(none), np.where(share[none] > 0, share[none], 2).argmin(1)] = True
+        share[few] = 0
+        left = ((share > 0).sum(1) > 1) & (cost[open_] > penalty[open_])
+        open_, share = open_[left], share[left] / share[left].sum(1, keepdims=True)
     return out
 
 
-def shares_of(texts: list[str | None], table: np.ndarray, most: int) -> np.ndarray:
+def has_letter(text: str | None) -> bool:
+    found = _LETTER.search(text) if text else None
+    # the pattern takes numerals such as a superscript for letters too
+    return found is not None and (found[0].isalpha() or any(map(str.isalpha, text)))
+
+
+def shares_of(texts: list[str | None], table: np.ndarray) -> np.ndarray:
     """Language shares of each text, zero where it has no letter."""
     out = np.zeros((len(texts), table.shape[1]))
     rows: list[int] = []
@@ -147,18 +170,19 @@ def shares_of(texts: list[str | None], table: np.ndarray, most: int) -> np.ndarr
     def settle():
         if rows:
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-            out[rows] = mixture(np.concatenate(ratios), starts, most)
+            out[rows] = mixture(np.concatenate(ratios), starts)
         for x in (rows, ratios, sizes):
             x.clear()
 
-    for some in _together([t if t and _LETTER.search(t) else None for t in texts]):
+    # a trigram's row has a number for each language, so pieces are shorter where there are many
+    for some in _together([t if has_letter(t) else None for t in texts], max(1 << 14, min(PIECE, (1 << 23) // table.shape[1]))):
         if rows and some[0][0] != rows[-1]:  # the last text is complete
             settle()
         gram, starts, piece = _grams([p for _, p in some])
         if not len(starts):
             continue
         ll = np.add.reduceat(table[gram], starts, axis=0)
-        ratio = np.exp(np.maximum(ll - ll.max(1, keepdims=True), -60))
+        ratio = np.exp(np.maximum(ll - ll.max(1, keepdims=True), np.float32(-60)))
         n = np.bincount(piece, minlength=len(some))
         edges = np.concatenate([[0], np.cumsum(n)])
         for p in np.flatnonzero(n):
@@ -172,27 +196,28 @@ def shares_of(texts: list[str | None], table: np.ndarray, most: int) -> np.ndarr
     return out
 
 
-def detect_languages(docs: DataFrame, names: list[str], log_p: np.ndarray, most: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def detect_languages(docs: DataFrame, names: list[str], log_p: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, lang_pred, score, languages`` for every row, from its whole text alone.
 
-    ``languages`` are the chosen languages with their shares, largest first; ``lang_pred`` is the first (ties: by
+    ``languages`` are all of the chosen set with their shares, largest first; ``lang_pred`` is the first (ties: by
     name) and ``score`` its share. A null text, one without a letter and any text when nothing was learned give
-    ``und``, 0 and an empty list. ``most`` bounds the languages of one text. Other columns of ``docs`` aren't read.
+    ``und``, 0 and an empty list. Very long texts are read in pieces that count together. Repeated rows are each judged.
+    An empty table gives an empty result. Other columns of ``docs`` aren't read.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(log_p)  # bounded by max_languages
 
     @F.pandas_udf("lang_pred string, score double, languages array<struct<lang:string,share:double>>")
     def detect(texts: pd.Series) -> pd.DataFrame:
-        share = shares_of(texts.tolist(), shipped.value, most) if names else np.zeros((len(texts), 1))
+        share = shares_of(texts.tolist(), shipped.value) if names else np.zeros((len(texts), 1))
         best, top = share.argmax(1), share.max(1)
-        order = np.argsort(-share, axis=1, kind="stable")[:, :most]
+        order = np.argsort(-share, axis=1, kind="stable")
         return pd.DataFrame(
             {
                 "lang_pred": [names[b] if t > 0 else "und" for b, t in zip(best, top, strict=True)],
                 "score": np.minimum(top, 1.0),
-                "languages": [[{"lang": names[j], "share": float(row[j])} for j in o if row[j] > 0] for row, o in zip(share, order, strict=True)],
+                "languages": [[{"lang": names[j], "share": float(row[j])} for j in o[: np.count_nonzero(row)]] for row, o in zip(share, order, strict=True)],
             }
         )
 
-    found = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), detect(F.col(text_col)).alias("_found"))
-    return found.select("doc_id", "held_out", "_found.lang_pred", "_found.score", "_found.languages")
+    found = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), detect(F.col(text_col)).alias("found"))
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score", "found.languages")
