@@ -1,4 +1,4 @@
-"""Quality classifier: a factorisation machine over hashed words and binned structure statistics.
+"""Quality classifier: a factorisation machine over hashed words, binned structure statistics and hashed metadata.
 
 score(x) = sigmoid(w0 + sum_i w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)), in time linear in the
 number of features that a document has.
@@ -12,22 +12,25 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.shared import held_out
 
 WORD_BUCKETS = 1 << 15
+META_BUCKETS = 1 << 12
 BINS = 12
-#: Structure statistics (shares but for the first four) and metadata of a text.
-STATISTICS = ("log_chars", "log_words", "word_chars", "line_words", "distinct_words", "top_word", "same_as_previous", "repeated_lines", "upper", "digits", "marks", "pipes", "exclaim", "symbols")
+#: Structure statistics of a text (shares but for the first four).
+STATISTICS = ("log_chars", "log_words", "word_chars", "line_words", "distinct_words", "top_word", "same_as_previous", "repeated_lines", "upper", "digits", "marks", "symbols")
 _MEMO_LIMIT = 200_000
 AT_ONCE = 256
 _UPPER, _DIGIT, _SYMBOL = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
 _UPPER[65:91], _DIGIT[48:58] = True, True
-_SYMBOL[[ord(c) for c in "#*$%&<>@^~=+\\{}[]_"]] = True
+# of the ASCII marks, those of sentences and brackets, and the others
 _MARK = np.zeros(256, bool)
-_MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+_MARK[[ord(c) for c in "!\"'(),-.:;?[]"]] = True
+_SYMBOL[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+_SYMBOL &= ~_MARK
 
 
 def _bucket(word: str, memo: dict[str, int]) -> int:
@@ -57,7 +60,7 @@ def read_text(text: str | None, memo: dict[str, int]) -> tuple[np.ndarray, np.nd
     lines = [x for x in text.split("\n") if x.strip()]
     stats = [
         np.log1p(len(text)), np.log1p(n), len(text) / max(1, n), np.log1p(n / max(1, len(lines))), len(counts) / max(1, n), max(counts.values(), default=0) / max(1, n),
-        sum(map(eq, words, words[1:])) / max(1, n), 1 - len(set(lines)) / max(1, len(lines)), hist[_UPPER].sum() / size, hist[_DIGIT].sum() / size, hist[_MARK].sum() / size, hist[124] / size, hist[33] / size, hist[_SYMBOL].sum() / size,
+        sum(map(eq, words, words[1:])) / max(1, n), 1 - len(set(lines)) / max(1, len(lines)), hist[_UPPER].sum() / size, hist[_DIGIT].sum() / size, hist[_MARK].sum() / size, hist[_SYMBOL].sum() / size,
     ]
     return ids, values, stats
 
@@ -69,15 +72,18 @@ class FactorisationMachine:
     w: np.ndarray
     v: np.ndarray
 
-    def encode(self, ids: list[np.ndarray], values: list[np.ndarray], stats: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Features and values of all texts one after another, and where each text starts."""
-        binned = np.stack([np.searchsorted(e, stats[:, j], side="right") for j, e in enumerate(self.edges)], axis=1) + WORD_BUCKETS + np.arange(len(STATISTICS)) * BINS
-        sizes = np.array([len(x) + len(STATISTICS) for x in ids])
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(ids) else np.zeros(0, int)
-        one = np.full(len(STATISTICS), 1 / np.sqrt(len(STATISTICS)))
-        feature = np.concatenate([y for x, b in zip(ids, binned, strict=True) for y in (x, b)]) if len(ids) else np.zeros(0, int)
-        value = np.concatenate([y for x in values for y in (x, one)]) if len(ids) else np.zeros(0)
-        return feature, value, starts
+    def encode(self, ids: list[np.ndarray], values: list[np.ndarray], stats: np.ndarray, meta: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Features and values of all texts one after another, and where each text starts. meta: a bucket a column of metadata."""
+        if not len(ids):
+            return np.zeros(0, int), np.zeros(0), np.zeros(0, int)
+        binned = np.stack([np.searchsorted(e, stats[:, j], side="right") for j, e in enumerate(self.edges)], axis=1) + WORD_BUCKETS + META_BUCKETS + np.arange(len(STATISTICS)) * BINS
+        if meta is not None:
+            binned = np.concatenate([binned, meta + WORD_BUCKETS], axis=1)
+        sizes = np.array([len(x) + binned.shape[1] for x in ids])
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        one = np.full(binned.shape[1], 1 / np.sqrt(len(STATISTICS)))
+        feature = np.concatenate([y for x, b in zip(ids, binned, strict=True) for y in (x, b)])
+        return feature, np.concatenate([y for x in values for y in (x, one)]), starts
 
     def raw(self, feature: np.ndarray, value: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Raw scores, each text's sums over v, and v x of each feature."""
@@ -86,16 +92,16 @@ class FactorisationMachine:
         pairs = 0.5 * ((sums**2).sum(1) - np.add.reduceat((vx**2).sum(1), starts))
         return self.w0 + np.add.reduceat(self.w[feature] * value, starts) + pairs, sums, vx
 
-    def score(self, ids: list[np.ndarray], values: list[np.ndarray], stats: np.ndarray) -> np.ndarray:
+    def score(self, ids: list[np.ndarray], values: list[np.ndarray], stats: np.ndarray, meta: np.ndarray | None = None) -> np.ndarray:
         if not len(ids):
             return np.zeros(0)
-        return 1 / (1 + np.exp(-np.clip(self.raw(*self.encode(ids, values, stats))[0], -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(self.raw(*self.encode(ids, values, stats, meta))[0], -40, 40)))
 
 
-def fit(ids: list[np.ndarray], values: list[np.ndarray], stats: np.ndarray, labels: np.ndarray, rank: int = 8, epochs: int = 8, rate: float = 0.15, decay: float = 1e-5, batch: int = 64, seed: int = 11) -> FactorisationMachine:
+def fit(ids: list[np.ndarray], values: list[np.ndarray], stats: np.ndarray, labels: np.ndarray, meta: np.ndarray | None = None, rank: int = 8, epochs: int = 8, rate: float = 0.15, decay: float = 1e-5, batch: int = 64, seed: int = 11) -> FactorisationMachine:
     """Minimise log loss by AdaGrad over mini-batches. Labels may be anything from 0 to 1. With no rows every score is 1/2."""
     draw = np.random.default_rng(seed)
-    n_features = WORD_BUCKETS + len(STATISTICS) * BINS
+    n_features = WORD_BUCKETS + META_BUCKETS + len(STATISTICS) * BINS
     n = len(ids)
     grid = np.linspace(0, 1, BINS + 1)[1:-1]
     edges = np.quantile(stats, grid, axis=0).T if n else np.zeros((len(STATISTICS), BINS - 1))
@@ -110,7 +116,7 @@ def fit(ids: list[np.ndarray], values: list[np.ndarray], stats: np.ndarray, labe
         order = draw.permutation(n)
         for at in range(0, n, batch):
             pick = order[at : at + batch]
-            feature, value, starts = m.encode([ids[i] for i in pick], [values[i] for i in pick], stats[pick])
+            feature, value, starts = m.encode([ids[i] for i in pick], [values[i] for i in pick], stats[pick], None if meta is None else meta[pick])
             raw, sums, vx = m.raw(feature, value, starts)
             err = (1 / (1 + np.exp(-np.clip(raw, -40, 40))) - labels[pick]) / len(pick)
             of = np.repeat(np.arange(len(pick)), np.diff(np.append(starts, len(feature))))
@@ -128,49 +134,69 @@ def fit(ids: list[np.ndarray], values: list[np.ndarray], stats: np.ndarray, labe
     return m
 
 
+def _meta(columns: list[str]) -> Column:
+    """A bucket for each column of metadata: of its value, or of its order of magnitude if it is a number; null is a value."""
+    value = lambda c: F.coalesce(F.when(F.col(c).try_cast("double").isNotNull(), F.concat(F.lit("~"), F.floor(2 * F.log2(F.abs(F.col(c).try_cast("double")) + 1)).cast("string"))).otherwise(F.col(c).cast("string")), F.lit("null"))
+    return F.array(*[F.pmod(F.xxhash64(F.lit(k), value(c)), F.lit(META_BUCKETS)) for k, c in enumerate(columns)]).cast("array<long>")
+
+
 def _features(batches):
     memo: dict[str, int] = {}
     for pdf in batches:
         got = [read_text(t, memo) for t in pdf["text"]]
-        yield pd.DataFrame({"label": pdf["label"], "ids": [x[0] for x in got], "vals": [x[1] for x in got], "stats": [np.asarray(x[2]) for x in got]})
+        yield pd.DataFrame({"label": pdf["label"], "ids": [x[0] for x in got], "vals": [x[1] for x in got], "stats": [np.asarray(x[2]) for x in got], "meta": pdf["meta"]})
+
+
+@dataclass
+class QualityModel:
+    machine: FactorisationMachine
+    meta_cols: list[str]
 
 
-def fit_quality_model(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> FactorisationMachine:
+def fit_quality_model(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text", meta_cols: list[str] = ()) -> QualityModel:
     """Fit on at most ``sample_rows`` labelled documents, those whose ids hash lowest; held-out ids are never used.
 
-    Several labels of one document are averaged; null labels count for nothing; the texts of a repeated id are all
-    used. Without labelled documents the model says 1/2 of everything.
+    Several labels of one document are averaged; null labels count for nothing; of several texts of an id the one with
+    the least hash is learned from. ``meta_cols`` are columns of ``docs`` whose values are features. Without labelled
+    documents the model says 1/2 of everything.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_id")).agg(F.avg(F.col(label_col).cast("double")).alias("label"))
     picked = known.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)  # sample_rows bounds what is broadcast and collected
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    got = texts.join(F.broadcast(picked), "_id").select("text", "label").mapInPandas(_features, "label double, ids array<long>, vals array<double>, stats array<double>").limit(2 * sample_rows).toPandas()
+    texts = docs.select(F.col(id_col).alias("_id"), F.struct(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"), _meta(list(meta_cols)).alias("meta")).alias("_t"))
+    each = texts.join(F.broadcast(picked), "_id").groupBy("_id", "label").agg(F.min("_t").alias("_t"))
+    got = each.select("label", "_t.text", "_t.meta").mapInPandas(_features, "label double, ids array<long>, vals array<double>, stats array<double>, meta array<long>").toPandas()
     key = [x.tobytes() for x in map(np.asarray, got["stats"])]  # rows come in no fixed order
     got = got.iloc[sorted(range(len(got)), key=lambda i: (key[i], got["label"].iat[i]))]
     stats = np.array([np.asarray(x) for x in got["stats"]]) if len(got) else np.zeros((0, len(STATISTICS)))
-    return fit([np.asarray(x) for x in got["ids"]], [np.asarray(x) for x in got["vals"]], stats, got["label"].to_numpy(float))
+    meta = np.array([np.asarray(x) for x in got["meta"]], np.int64).reshape(len(got), len(meta_cols))
+    return QualityModel(fit([np.asarray(x) for x in got["ids"]], [np.asarray(x) for x in got["vals"]], stats, got["label"].to_numpy(float), meta), list(meta_cols))
 
 
-def score_quality(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row, after the columns of ``docs`` named in ``keep``.
 
-    Null and empty texts are scored like any other text, from their statistics. Repeated rows are each scored.
-    Columns not named aren't read, so their names clash with nothing.
+    Null and empty texts are scored like any other text, from their statistics; very long ones are read whole. Equal
+    texts with equal metadata score the same. Repeated rows are each scored. An empty table gives an empty result.
+    Kept columns may have any names and win over columns of the result; others but the metadata aren't read.
     """
     spark: SparkSession = docs.sparkSession
-    shipped = spark.sparkContext.broadcast((model.edges, model.w0, model.w, model.v))  # of a fixed size, whatever the input
+    machine = model.machine
+    shipped = spark.sparkContext.broadcast((machine.edges, machine.w0, machine.w, machine.v))  # of a fixed size, whatever the input
+    n_meta = len(model.meta_cols)
 
     @F.pandas_udf("double")
-    def score(batches: pd.Series) -> pd.Series:
+    def score(batches: pd.Series, metas: pd.Series) -> pd.Series:
         memo: dict[str, int] = {}
         model = FactorisationMachine(*shipped.value)
         out = np.empty(len(batches))
         for at in range(0, len(batches), AT_ONCE):  # the factors of so many texts at most are in memory
             got = [read_text(t, memo) for t in batches.iloc[at : at + AT_ONCE]]
-            out[at : at + AT_ONCE] = model.score([x[0] for x in got], [x[1] for x in got], np.array([x[2] for x in got]).reshape(-1, len(STATISTICS)))
+            meta = np.array([np.asarray(x) for x in metas.iloc[at : at + AT_ONCE]], np.int64).reshape(len(got), n_meta)
+            out[at : at + AT_ONCE] = model.score([x[0] for x in got], [x[1] for x in got], np.array([x[2] for x in got]).reshape(-1, len(STATISTICS)), meta)
         return pd.Series(out)
 
     kept = keep or []
-    scored = docs.select(*[F.col(c) for c in kept], F.col(id_col).alias("_id"), score(F.col(text_col)).alias("_score"))
-    own = {"doc_id": F.col("_id"), "held_out": held_out(F.col("_id")), "score": F.col("_score"), "predicted": (F.col("_score") >= threshold).cast("int")}
-    return scored.select(*kept, *[c.alias(name) for name, c in own.items() if name not in kept])
+    scored = docs.select(F.struct(F.lit(0).alias("none"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(kept)]).alias("row"), F.col(id_col).alias("id"), score(F.col(text_col), _meta(model.meta_cols)).alias("score"))
+    own = {"doc_id": F.col("id"), "held_out": held_out(F.col("id")), "score": F.col("score"), "predicted": (F.col("score") >= threshold).cast("int")}
+    taken = {c.lower() for c in kept}
+    return scored.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(kept)], *[c.alias(name) for name, c in own.items() if name not in taken])
