@@ -2,146 +2,146 @@
 
 A naive Bayes classifier fitted on a labelled table gives every document a posterior p over domains. Rates r of
 documents, not negative and at most ``max_rate``, are then fitted so that the expected tokens of each domain,
-sum r n p, come near their targets: projected gradient steps on sum_k (tokens_k - target_k)^2 / 2 tokens_now_k. In the
-metric of the documents' tokens n the step is r - sum_k p_k (tokens_k - target_k) / tokens_now_k, and its largest
-eigenvalue is 1, so the step length 1 needs no search. A step needs one sum for each domain over all documents.
+sum r n p, match their targets: projected gradient steps on sum_k (tokens_k - target_k)^2. In the metric of the
+documents' tokens the gradient is a combination of the posteriors, r - sum_k p_k s_k, so a step is one number s_k a domain,
+scaled by the curvature sum n p_j p_k over the documents that it can move, and clipped to the bounds of the rates.
 
-The evidence of words is fitted within a language, and only words that mark a domain other than the largest give any: a
-text may lack the common words for many reasons, its language and its length among them.
+Every word of the labelled documents gives evidence, through a table of ``BUCKETS`` hashes. It is measured within a
+language, against the words of the language in all domains: a language that one domain has more of says nothing.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.shared import held_out, unit_hash, written
+from textloom.llm.shared import bound, free_names, held_out, unit_hash, written
 
 BINS = 8
-
-
-def bound(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+BUCKETS = 1 << 16
+#: So many occurrences of a word more count as if they were spread as the language's words are: rare words say little.
+PRIOR_COUNT = 10.0
 
 
 def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def _shares(text: Column, words: Column) -> list[Column]:
+def _shares(text: Column, words: Column, distinct: Column) -> list[Column]:
     """Shares of symbols, capitals and distinct words in a text, each put into one of ``BINS`` bins."""
     t = F.coalesce(text, F.lit(""))
     size = F.greatest(F.length(t), F.lit(1))
     without = lambda pattern: (size - F.greatest(F.length(F.regexp_replace(t, pattern, "")), F.lit(0))) / size
-    shares = F.sqrt(without(r"[#*$%&|<>!]")), without(r"\p{Lu}"), F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1))
+    shares = F.sqrt(without(r"[#*$%&|<>!]")), without(r"\p{Lu}"), F.size(distinct) / F.greatest(F.size(words), F.lit(1))
     return [F.least(F.floor(s * BINS), F.lit(BINS - 1)).cast("int") for s in shares]
 
 
+def _bucket(word: Column, lang: Column) -> Column:
+    """The place of a word's evidence in its language; of its evidence in any where ``lang`` is null."""
+    return F.pmod(F.xxhash64(lang, word), F.lit(BUCKETS)).cast("int")
+
+
 @dataclass
 class DomainModel:
-    """Log weights of a naive Bayes classifier; of a bounded size by ``n_words`` a language."""
+    """Log weights of a naive Bayes classifier, relative to the first domain's; of a fixed size."""
 
     domains: list[str]
-    tables: dict[str | None, tuple[list[float], dict[str, list[float]]]]  # language (None: any other), start and words
+    prior: list[float]
     bins: list[list[list[float]]]  # share, bin, domain
+    words: list[list[float]]  # for each domain but the first, the weight of each bucket
+    langs: list[str] = field(default_factory=list)
     lang_col: str | None = None
 
     def posterior(self, text: Column) -> Column:
         """``n_tokens`` and the posterior ``p`` (in the order of ``domains``) of a text, as a struct."""
         row = lambda x: F.array(*[F.lit(float(v)) for v in x])
-
-        def table_of(lang: str | None) -> Column:
-            base, words = self.tables[lang]
-            vocabulary = F.array(*[F.lit(w) for w in words]).cast("array<string>")
-            return F.struct(row(base).alias("base"), vocabulary.alias("words"), F.map_from_arrays(vocabulary, F.array(*[row(v) for v in words.values()]).cast("array<array<double>>")).alias("weights"))
-
-        own = [x for lang in self.tables if lang is not None for x in (F.lit(lang), table_of(lang))]
-        table = F.coalesce(F.element_at(F.create_map(*own), F.col(self.lang_col)), table_of(None)) if own else table_of(None)
+        # literals of text, which the optimiser turns into arrays once
+        tables = [F.split(F.lit(",".join(f"{v:.4g}" for v in ws)), ",").cast("array<double>") for ws in self.words]
+        lang = F.when(F.col(self.lang_col).isin(self.langs), F.col(self.lang_col)) if self.langs else F.lit(None).cast("string")
         plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
 
-        def from_words(words: Column, table: Column) -> Column:
-            total = table["base"]
-            for share, logs in zip(_shares(text, words), self.bins, strict=True):
+        def from_words(words: Column, distinct: Column) -> Column:
+            total = row(self.prior)
+            for share, logs in zip(_shares(text, words, distinct), self.bins, strict=True):
                 total = plus(total, F.get(F.array(*[row(x) for x in logs]), share))
-            total = F.aggregate(F.array_intersect(words, table["words"]), total, lambda acc, w: plus(acc, F.element_at(table["weights"], w)))
+            said = lambda at: F.array(F.lit(0.0), *[F.aggregate(at, F.lit(0.0), lambda acc, b: acc + F.get(t, b)) for t in tables])
+            total = plus(total, bound(F.transform(distinct, lambda w: _bucket(w, lang)), said))
             likely = lambda s: bound(F.array_max(s), lambda top: F.transform(s, lambda x: F.exp(x - top)))
             even = lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
             return F.struct(F.size(words).cast("long").alias("n_tokens"), bound(bound(total, likely), even).alias("p"))
 
-        return bound(table, lambda t: bound(_words(text), lambda words: from_words(words, t)))
+        return bound(_words(text), lambda words: bound(F.array_distinct(words), lambda distinct: from_words(words, distinct)))
 
 
-def _word_table(counted: DataFrame, totals: list[int], n_words: int, prior: list[float], lacking: bool) -> tuple[list[float], dict[str, list[float]]]:
-    """Start and log weights of the ``n_words`` words that tell the domains apart best, without those most frequent in
-    the largest domain.
+def _word_weights(read: DataFrame, domains: list[str]) -> list[list[float]]:
+    """For each domain but the first, the log weight of each bucket. read: ``lang, domain, words`` of the labelled documents.
 
-    counted: ``word`` and the documents of each domain that have it, ``n0`` and on. Unless ``lacking``, all words
-    stay and weights are shares among them, so that a text with none of them gives no evidence.
+    All occurrences are counted here, though a text's evidence is that of its distinct words: which words are distinct
+    in a short text and in a long one differs even where their words are drawn alike.
     """
-    n, scores = sum(totals), []
-    for k, own in enumerate(totals):
-        total = sum((F.col(f"n{j}") for j in range(len(totals))), F.lit(0))
-        p, q, all_ = F.col(f"n{k}") / max(1, own), (total - F.col(f"n{k}")) / max(1, n - own), total / max(1, n)
-        scores.append((p - q) * (p - q) / (all_ * (1 - all_) + 1.0 / max(1, n)) * min(max(1, own), max(1, n - own)))
-    top = counted.withColumn("_score", F.greatest(*scores) if len(scores) > 1 else scores[0]).orderBy(F.desc("_score"), "word").limit(n_words).collect()
-    start, words, main = list(prior), {}, totals.index(max(totals))
-    met = [sum(r[f"n{k}"] for r in top) for k in range(len(totals))]
-    for r in top:
-        ps = [(r[f"n{k}"] + 0.5) / (of + 1.0) for k, of in enumerate(totals)]
-        if not lacking:
-            words[r.word] = [math.log((r[f"n{k}"] + 0.5) / (met[k] + 0.5 * len(top))) for k in range(len(totals))]
-        elif max(ps) > ps[main]:
-            words[r.word] = [math.log(p / (1 - p)) for p in ps]
-            start = [b + math.log(1 - p) for b, p in zip(start, ps, strict=True)]
-    return start, words
-
-
-def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], sample_rows: int = 6000, n_words: int = 64, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", lang_col: str | None = None, least: int = 10) -> DomainModel:
-    """Fit on at most ``sample_rows`` labelled documents, those whose ids hash lowest.
+    k = range(len(domains))
+    if len(domains) < 2:
+        return []
+    here = [F.sum((F.col("domain") == d).cast("long")).alias(f"n{j}") for j, d in enumerate(domains)]
+    counted = written(read.select("lang", "domain", F.explode("words").alias("word")).groupBy("lang", "word").agg(*here), "labelled-words")
+    totals = counted.groupBy(F.col("lang").alias("_lang")).agg(*[F.sum(f"n{j}").alias(f"t{j}") for j in k])
+    beside = counted.join(totals, F.col("lang").eqNullSafe(F.col("_lang")))
+    n, t = sum((F.col(f"n{j}") for j in k), F.lit(0)), sum((F.col(f"t{j}") for j in k), F.lit(0))
+    # how much oftener a domain has the word than the language; a domain that the language lacks says nothing
+    share = [F.col(f"t{j}") / t for j in k]
+    log_p = [F.when(F.col(f"t{j}") == 0, 0.0).otherwise(F.log((F.col(f"n{j}") + PRIOR_COUNT * share[j]) / ((n + PRIOR_COUNT) * share[j]))) for j in k]
+    each = beside.select("lang", "word", n.alias("n"), *[(log_p[j] - log_p[0]).alias(f"w{j}") for j in k[1:]])
+    # a word's evidence in any language is the mean of that in each; so is that of words that share a bucket
+    none = F.lit(None).cast("string")
+    both = each.select("n", *[f"w{j}" for j in k[1:]], F.explode(F.array_distinct(F.array(_bucket(F.col("word"), F.col("lang")), _bucket(F.col("word"), none)))).alias("bucket"))
+    got = both.groupBy("bucket").agg(*[(F.sum(F.col("n") * F.col(f"w{j}")) / F.sum("n")).alias(f"w{j}") for j in k[1:]]).collect()  # BUCKETS rows at most
+    out = [[0.0] * BUCKETS for _ in k[1:]]
+    for r in got:
+        for j in k[1:]:
+            out[j - 1][r["bucket"]] = r[f"w{j}"]
+    return out
+
+
+def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], sample_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", lang_col: str | None = None) -> DomainModel:
+    """Fit on at most ``sample_rows`` labelled documents, those whose ids hash lowest, with all their words.
 
     Held-out ids, null ids, null domains and domains not named are left out; of several domains of an id the least
-    counts. Without any labelled document every domain is equally likely.
-
-    With ``lang_col`` each language that has ``least`` labelled documents of every domain has words of its own. The
-    other languages and null share words of all the labelled documents, and what a text lacks says nothing there.
+    counts, and of several texts of an id that of the least hash. Without any labelled document every domain is equally
+    likely. With ``lang_col`` the evidence of a word is that in the document's language; documents of other languages
+    and of null take its mean over languages.
     """
     known = labelled.where(F.col(domain_col).isin(domains) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_id")).agg(F.min(domain_col).alias("domain"))
     picked = known.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
-    lang = F.col(lang_col) if lang_col else F.lit(None)
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), lang.cast("string").alias("lang")).join(F.broadcast(picked), "_id")  # sample_rows bounds the broadcast
-    read = written(texts.select("domain", "lang", F.array_distinct(_words(F.col("text"))).alias("words"), F.array(*_shares(F.col("text"), _words(F.col("text")))).alias("bins")), "labelled-texts")
-    by_lang: dict[str | None, dict[str, int]] = {}
-    for r in read.groupBy("lang", "domain").agg(F.count("*").alias("n")).collect():
-        by_lang.setdefault(r.lang, {})[r.domain] = r.n
-    totals = {d: sum(t.get(d, 0) for t in by_lang.values()) for d in domains}
+    lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
+    met = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), lang.alias("lang")).join(F.broadcast(picked), "_id")  # sample_rows bounds the broadcast
+    texts = met.groupBy("_id", "domain").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "lang")).alias("_t")).select("domain", "_t.text", "_t.lang")
+    cut = texts.select("domain", "lang", "text", _words(F.col("text")).alias("all")).select("domain", "lang", "text", "all", F.array_distinct("all").alias("words"))
+    read = written(cut.select("domain", "lang", F.col("all").alias("words"), F.array(*_shares(F.col("text"), F.col("all"), F.col("words"))).alias("bins")), "labelled-texts")
+    totals = dict.fromkeys(domains, 0) | {r.domain: r.n for r in read.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     n = sum(totals.values())
+    langs = sorted(r.lang for r in read.where("lang is not null").select("lang").distinct().collect())  # sample_rows at most
     here = [F.sum((F.col("domain") == d).cast("long")).alias(f"n{k}") for k, d in enumerate(domains)]
-    prior = [math.log((totals[d] + 1) / (n + len(domains))) for d in domains]
-    known_langs = sorted(g for g, t in by_lang.items() if g is not None and all(t.get(d, 0) >= least for d in domains if totals[d]))
-    tables = {}
-    for g in [None, *known_langs]:  # at most sample_rows / least languages
-        own = read if g is None else read.where(F.col("lang") == g)
-        in_domain = totals if g is None else by_lang[g]
-        tables[g] = _word_table(own.select("domain", F.explode("words").alias("word")).groupBy("word").agg(*here), [in_domain.get(d, 0) for d in domains], n_words, prior, lacking=g is not None or lang_col is None)
     bins = read.select("domain", F.posexplode_outer("bins").alias("share", "bin")).groupBy("share", "bin").agg(*here).collect()
     table = {(r.share, r.bin): [r[f"n{k}"] for k in range(len(domains))] for r in bins}
     logs = [[[math.log((table.get((s, b), [0] * len(domains))[k] + 0.5) / (totals[d] + 0.5 * BINS)) for k, d in enumerate(domains)] for b in range(BINS)] for s in range(3)]
-    return DomainModel(list(domains), tables, logs, lang_col)
+    prior = [math.log((totals[d] + 1) / (n + len(domains))) for d in domains]
+    return DomainModel(list(domains), prior, logs, _word_weights(read, domains), langs if lang_col else [], lang_col)
 
 
 @dataclass
 class Rates:
-    """The fitted rate of a document as a function of its posterior."""
+    """The fitted rate of a document as a function of its posterior, and what the rates come to."""
 
     steps: list[list[float]]
     max_rate: float
     tokens_now: list[float]
     targets: list[float]
     tokens: list[float]
+    matched: bool = False
 
     def of(self, p: Column, start: Column | float = 1.0, first: int = 0) -> Column:
         r = F.lit(start) if isinstance(start, float) else start
@@ -150,59 +150,119 @@ class Rates:
         return r
 
 
-def fit_rates(members: DataFrame, weights: list[float], total: float | None = None, max_rate: float = 1.0, reach: float = 1.05, iterations: int = 24, tolerance: float = 1e-3) -> Rates:
+def fit_rates(members: DataFrame, weights: list[float], total: float | None = None, max_rate: float = 1.0, most_lost: float = 0.01, iterations: int = 30, tolerance: float = 5e-4) -> Rates:
     """Fit rates to ``members`` (columns ``n_tokens`` and posterior ``p``).
 
-    Targets are ``weights`` of ``total`` tokens; without a total, of so many that the domain of the largest weight
-    falls short by ``reach`` at the largest rate: its documents then keep that rate, and the others go down to their
-    shares (or keep it too where they are scarcer still). One number a domain comes to the driver each step.
+    With ``total`` the targets are ``weights`` of so many tokens. Without one they are feasible ones: the domain of the
+    largest weight keeps what it can, and each other is to have its share beside that, or all that it holds at
+    ``max_rate`` where that is less. The first gives up ``most_lost`` of its tokens for it at most: a domain that clean
+    documents are too likely of can't come down further. ``targets`` and ``tokens`` of the result tell both; ``matched`` is true if each
+    total is within ``tolerance`` of its target. Steps end there, or when none brings the totals nearer, or after
+    ``iterations``. A step that brings them no nearer is shortened, or made with the bound 1 for the curvature. Each sums a number for every two domains over all documents.
     """
-    k = len(weights)
-    scale = sum(weights)
-    weights = [w / scale for w in weights]
-    sums = lambda df, r: [float(x or 0) for x in df.agg(*[F.sum(F.col("n_tokens") * r * F.get("p", F.lit(j))) for j in range(k)]).first()]
-    now = sums(members, F.lit(1.0))
-    if total is None:
-        main = max(range(k), key=lambda j: weights[j])
-        total = reach * max_rate * now[main] / weights[main]
-    targets = [w * total for w in weights]
-    rates = Rates([], max_rate, now, targets, now)
+    k = range(len(weights))
+    weights = [w / sum(weights) for w in weights]
+    main = max(k, key=lambda j: weights[j])
+    moved = [j for j in k if total is not None or j != main]  # the domains that have steps of their own
+    p = [F.get("p", F.lit(j)) for j in k]
+    n = F.col("n_tokens")
+
+    def sums(df: DataFrame, values: list[Column]) -> list[float]:
+        return [float(x or 0) for x in df.agg(*[F.sum(v) for v in values]).first()]
+
+    def at_rates(df: DataFrame, r: Column) -> list[float]:
+        return sums(df.select("n_tokens", "p", r.alias("_rate")), [n * F.col("_rate") * x for x in p])
+
+    def aims(tokens: list[float]) -> list[float]:
+        if total is not None:
+            return [w * total for w in weights]
+        return [tokens[j] if j == main else min(weights[j] / weights[main] * tokens[main], max_rate * now[j]) for j in k]
+
+    def off(tokens: list[float]) -> list[float]:
+        return [t - target for t, target in zip(tokens, aims(tokens), strict=True)]
+
+    def cost(tokens: list[float]) -> float:
+        return sum(d * d / now[j] for j, d in enumerate(off(tokens)) if now[j] > 0)
+
+    def near(tokens: list[float]) -> bool:
+        return all(abs(d) <= tolerance * max(target, 1.0) for d, target in zip(off(tokens), aims(tokens), strict=True))
+
+    now = sums(members, [n * x for x in p])
+    rates = Rates([], max_rate, now, [], now)
     kept, first = members.withColumn("_r", F.lit(1.0)), 0
-    for at in range(iterations):
-        step = [(t - target) / n if n > 0 else 0.0 for t, target, n in zip(rates.tokens, targets, now, strict=True)]
-        rates.steps.append(step)
-        before, rates.tokens = rates.tokens, sums(kept, rates.of(F.col("p"), F.col("_r"), first))
-        if max((abs(a - b) / n for a, b, n in zip(before, rates.tokens, now, strict=True) if n > 0), default=0.0) < tolerance:
+    for _ in range(iterations):
+        if near(rates.tokens):
             break
-        if at % 8 == 7:  # the expression stays short
+        d = off(rates.tokens)
+        # documents whose rates the gradient can move: those at a bound only if it leads inwards
+        here = kept.select("n_tokens", "p", rates.of(F.col("p"), F.col("_r"), first).alias("_rate"))
+        slope = sum((p[j] * F.lit(d[j] / now[j]) for j in moved if now[j] > 0), F.lit(0.0))
+        free = F.when(((F.col("_rate") > 0) | (slope < 0)) & ((F.col("_rate") < max_rate) | (slope > 0)), n)
+        got = iter(sums(here, [free * p[i] * p[j] for i in moved for j in moved]))
+        curved = np.array([[next(got) for _ in moved] for _ in moved])
+        # a domain with nothing to move has no step, and none moves a rate by more than its posterior
+        can = np.array([curved[i, i] > 1e-6 * now[j] for i, j in enumerate(moved)])
+        whole = np.zeros(len(moved))
+        whole[can] = np.clip(np.linalg.lstsq(curved[np.ix_(can, can)], np.array([d[j] for j in moved])[can], rcond=None)[0], -1, 1)
+        plain = np.array([d[j] / max(now[j], 1e-9) for j in moved])  # the largest eigenvalue there is at most 1
+        before = rates.tokens
+        for way in (whole, whole / 3, whole / 10, whole / 30, plain / 10):
+            step = [0.0 for _ in k]
+            for j, x in zip(moved, way, strict=True):
+                step[j] = float(x)
+            rates.steps.append(step)
+            rates.tokens = at_rates(kept, rates.of(F.col("p"), F.col("_r"), first))
+            spared = total is not None or rates.tokens[main] >= (1 - most_lost) * now[main]
+            if spared and cost(rates.tokens) < cost(before) * (1 - 1e-3):
+                break
+            rates.steps.pop()
+            rates.tokens = before
+        else:
+            break
+        if len(rates.steps) - first >= 8:  # the expression stays short
             kept = written(kept.withColumn("_r", rates.of(F.col("p"), F.col("_r"), first)), "rates")
             first = len(rates.steps)
+    rates.targets, rates.matched = aims(rates.tokens), near(rates.tokens)
     return rates
 
 
-def fit_mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", lang_col: str | None = None, max_rate: float = 1.0, **options) -> tuple[DomainModel, Rates]:
-    model = fit_domains(docs, labelled, list(targets), id_col=id_col, text_col=text_col, domain_col=domain_col, lang_col=lang_col)
-    members = written(docs.select(model.posterior(F.col(text_col)).alias("_m")).select("_m.*"), "memberships")
-    return model, fit_rates(members, list(targets.values()), max_rate=max_rate, **options)
-
-
-def document_rates(docs: DataFrame, model: DomainModel, rates: Rates, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, p, rate, copies`` for every row.
-
-    ``copies`` is the rate rounded down, and one more with the probability of the rest, drawn from the id and the
-    text: the same in every run, and for repeated rows. Null and empty texts have no tokens and the rate of their
-    posterior, which rests on the classifier's priors. Of other columns of ``docs`` the model's ``lang_col`` alone is read.
+@dataclass
+class Mixture:
+    """A fitted mixture. Texts are read once, when ``members`` is written."""
+
+    model: DomainModel
+    rates: Rates
+    members: DataFrame
+    columns: list[str]
+
+    def document_rates(self) -> DataFrame:
+        """``doc_id, n_tokens, p, rate, copies`` for every row.
+
+        ``copies`` is the rate rounded down, and one more with the probability of the rest, drawn from the id and the
+        text: the same in every run, and for repeated rows.
+        """
+        rated = self.members.withColumn("rate", self.rates.of(F.col("p")))
+        copies = F.floor("rate") + (F.col("u") < F.col("rate") - F.floor("rate")).cast("int")
+        return rated.select("doc_id", "n_tokens", "p", "rate", copies.cast("int").alias("copies"), *[c for c in rated.columns if c == "row"])
+
+    def documents(self) -> DataFrame:
+        """The documents, all columns whatever their names, each row as often as its copies say."""
+        drawn = self.document_rates().where("copies >= 1")
+        if self.rates.max_rate > 1:
+            drawn = drawn.select("row", F.explode(F.sequence(F.lit(1), "copies")))
+        return drawn.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(self.columns)])
+
+
+def fit_mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", lang_col: str | None = None, max_rate: float = 1.0, keep_rows: bool = False, sample_rows: int = 6000, **options) -> Mixture:
+    """Fit the classifier and the rates (``options``: those of ``fit_rates``). ``keep_rows`` is for ``documents()``.
+
+    Null and empty texts have no tokens and the rate of their posterior, which rests on the priors. Very long texts are
+    read whole. Repeated rows each count and have one rate; documents of equal posterior do too. An empty table has an
+    empty mixture. Without ``keep_rows`` no column but the id, the text and ``lang_col`` is read.
     """
-    read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), model.posterior(F.col(text_col)).alias("_m"))
-    rated = read.select("doc_id", unit_hash(F.col("doc_id"), F.col("_text")).alias("_u"), "_m.n_tokens", "_m.p").withColumn("rate", rates.of(F.col("p")))
-    copies = F.floor("rate") + (F.col("_u") < F.col("rate") - F.floor("rate")).cast("int")
-    return rated.select("doc_id", "n_tokens", "p", "rate", copies.cast("int").alias("copies"))
-
-
-def mix(docs: DataFrame, model: DomainModel, rates: Rates, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``, all columns, each row as often as its rate says (see ``document_rates``)."""
-    rate = bound(model.posterior(F.col(text_col)), lambda m: rates.of(m["p"]))
-    drawn = docs.withColumn("_copies", bound(rate, lambda r: (F.floor(r) + (unit_hash(F.col(id_col), F.col(text_col)) < r - F.floor(r)).cast("int")).cast("int")))
-    if rates.max_rate <= 1:
-        return drawn.where("_copies >= 1").drop("_copies")
-    return drawn.withColumn("_copy", F.explode_outer(F.when(F.col("_copies") > 0, F.sequence(F.lit(1), "_copies")))).where("_copy is not null").drop("_copies", "_copy")
+    model = fit_domains(docs, labelled, list(targets), sample_rows, id_col, text_col, domain_col, lang_col)
+    (inner,) = free_names(docs, "_m")
+    kept = [F.struct(F.lit(0).alias("none"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row")] if keep_rows else []
+    read = docs.select(F.col(id_col).alias("doc_id"), unit_hash(F.col(id_col), F.col(text_col)).alias("u"), model.posterior(F.col(text_col)).alias(inner), *kept)
+    members = written(read.select("doc_id", "u", f"{inner}.n_tokens", f"{inner}.p", *["row" for _ in kept]), "memberships")
+    return Mixture(model, fit_rates(members.select("n_tokens", "p"), list(targets.values()), max_rate=max_rate, **options), members, docs.columns)

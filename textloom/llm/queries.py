@@ -37,7 +37,7 @@ def op4_language_mixture(spark: SparkSession, folder: str) -> DataFrame:
 
 def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    model = quality_classifier.fit_quality_model(docs, table(spark, folder, "labels"))
+    model = quality_classifier.fit_quality_model(docs, table(spark, folder, "labels"), meta_cols=["n_chars"])
     return quality_classifier.score_quality(docs, model)
 
 
@@ -51,10 +51,9 @@ def domain_labels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
-    model, rates = mixing.fit_mixture(docs, domain_labels(spark, folder), MIXTURE, lang_col="lang")
-    rated = mixing.document_rates(docs, model, rates)
-    return rated.select("doc_id", "n_tokens", *[F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(MIXTURE)], "rate", "copies")
+    """Targets are feasible ones: good documents keep what they can, the other domains their weights beside them."""
+    mixed = mixing.fit_mixture(table(spark, folder, "documents"), domain_labels(spark, folder), MIXTURE, lang_col="lang")
+    return mixed.document_rates().select("doc_id", "n_tokens", *[F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(MIXTURE)], "rate", "copies")
 
 
 def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
