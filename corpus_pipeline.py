@@ -13,7 +13,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
-    model = quality_classifier.fit_quality_model(docs, table(spark, sf_dir, "labels"))
+    model = quality_classifier.fit_quality_model(docs, table(spark, sf_dir, "labels"), meta_cols=["n_chars"])
     return quality_classifier.score_quality(docs, model, keep=COLUMNS).where("predicted = 1").select(*COLUMNS)
 
 
@@ -28,9 +28,8 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn at the rates that bring the domains near their target weights; none is repeated."""
-    docs = docs.select(*COLUMNS)
-    return mixing.mix(docs, *mixing.fit_mixture(docs, domain_labels(spark, sf_dir), MIXTURE, lang_col="lang"))
+    """Documents drawn at the rates that bring the domains to their target weights; none is repeated."""
+    return mixing.fit_mixture(docs.select(*COLUMNS), domain_labels(spark, sf_dir), MIXTURE, lang_col="lang", keep_rows=True).documents()
 
 
 def put_into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,6 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, one after another, each over a table that the one before wrote.
+
+    Null and empty texts and null ids are judged by every stage as its operator says; of repeated rows and groups of
+    copies one document stays, of ties the one with the least id. Very long texts are read whole. Empty tables give an
+    empty result, and columns beside those of ``COLUMNS`` aren't read.
+    """
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
