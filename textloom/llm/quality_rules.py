@@ -60,11 +60,14 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bits = F.greatest(F.ceil(F.log2(F.size(here) + 1)), F.lit(1)).cast("int")
     shift = lambda name, x, n: F.call_function(name, x, n)
 
-    def windows(w: Column) -> Column:
-        last = F.greatest(F.size(w) - 2, F.lit(0))
-        return F.transform(F.slice(w, 1, last), lambda x, i: shift("shiftleft", shift("shiftright", F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)), F.col("_bits")), F.col("_bits")) + i)
-
-    second = first.withColumn("_bits", bits).select("doc_id", *more, "word_chars", "n_symbols", "_bits", "_words", F.size("_words").alias("n_words"), F.size("_lines").alias("n_lines"), F.size(F.array_distinct("_lines")).alias("_distinct"), F.sort_array(bound(here, windows)).alias("_windows"))
+    def hashes(w: Column) -> Column:
+        return F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+
+    second = first.select("doc_id", *more, "word_chars", "n_symbols", bits.alias("_bits"), "_words", F.size("_words").alias("n_words"), F.size("_lines").alias("n_lines"), F.size(F.array_distinct("_lines")).alias("_distinct"), bound(here, hashes).alias("_hashes"))
+    packed = F.sort_array(F.transform("_hashes", lambda x, i: shift("shiftleft", shift("shiftright", x, F.col("_bits")), F.col("_bits")) + i))
+    # most texts repeat no window
+    again = F.size(F.array_distinct("_hashes")) < F.size("_hashes")
+    second = second.withColumn("_windows", F.when(again, packed).otherwise(F.array().cast("array<bigint>"))).drop("_hashes")
     place = lambda x: (x - shift("shiftleft", shift("shiftright", x, F.col("_bits")), F.col("_bits"))).cast("int")
 
     def repeated(sorted_: Column) -> Column:
