@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +20,6 @@ PUNCTUATION = "…,:;!?¿¡()[]{}<>_#*&"
 QUOTES = "'\"”“`‘´’‚„»«「」『』（）〔〕【】《》〈〉"
 CLOSING_QUOTES = "'\"”´’‚,„»」』）〕】》〉"
 PREFIXES = "§%=+" + PUNCTUATION + QUOTES + "$¢£¤¥^|~¦¨©¬®¯°±´¸×÷€₹₽"
-ENDS_BEFORE_STOP = "%°²³-+)]>}" + QUOTES
 
 _CHUNK = re.compile(r"\S+")
 _URL = re.compile(URL_OR_EMAIL)
@@ -41,60 +39,77 @@ def time_exceptions() -> dict[str, list[str] | None]:
     return out
 
 
-#: Faces kept whole.
-EMOTICONS = ":) :-) :)) (: (-: =) (= :] :-] 8) 8-) ;) ;-) (; :( :-( :(( ): )-: =( >:( :') :'-) :'( :'-( :/ :-/ =/ =| :| :-| :P :-P :p :-p :O :-O :o :-o :* :-* :3 =3 :> :x :-x :D :-D ;D =D xD XD 8D ^_^ <3 </3 o_o O_O -_- \\o/".split()
-
-
-def english_exceptions() -> dict[str, list[str] | None]:
-    """Contractions and the tokens that they stand for; None keeps a word whole."""
-    out: dict[str, list[str] | None] = {}
-
-    def add(heads: str, tails: str, words: str) -> None:
-        for head in heads.split("|"):
-            for tail, word in zip(tails.split("|"), words.split("|"), strict=True):
-                parts = [*([head] if head else []), *word.split()]
-                for cased in {str.lower, str.upper, str.capitalize}:
-                    first = parts[0].upper() if cased is str.upper else parts[0].capitalize() if cased is str.capitalize else parts[0]
-                    out[cased(head + tail)] = [first, *[p.upper() if cased is str.upper else p for p in parts[1:]]]
-
-    add("i", "'m", "am")
-    add("he|she|it", "'ll|'d|'s", "will|would|is")
-    add("i|you|we|they", "'ve|'ll|'d", "have|will|would")
-    add("you|we|they", "'re", "are")
-    add("who|what|when|where|why|how|there|that", "'ll|'d|'ve|'re|'s", "will|would|have|are|is")
-    add("could|do|does|did|had|have|has|may|might|must|need|ought|should|would|is|are|was|were", "n't", "not")
-    add("", "can't|won't|ain't|cannot|shan't|gonna|gotta|let's|y'all", "can not|will not|is not|can not|shall not|going to|got to|let 's|you all")
-    for short in "a.m. adm. bros. co. corp. d.c. dr. e.g. gen. gov. i.e. inc. jr. ltd. messrs. mr. mrs. ms. p.m. ph.d. prof. rep. rev. sen. st. vs. o'clock ma'am and/or".split():
-        out |= {short: None, short.capitalize(): None}
+def emoticons() -> set[str]:
+    """Faces kept whole: eyes, perhaps a nose or a tear, and a mouth, the other way round where that reads as a face too,
+    and two equal eyes about a mouth."""
+    out = {eyes + nose + mouth for eyes in ":;=" for nose in ("", "-", "'", "'-") for mouth in ")(][DPpOo/\\|*$"}
+    out |= {mouth + nose + eyes for eyes in ":;=" for nose in ("", "-") for mouth in ")(]["}
+    out |= {eye + mouth + eye for eye in "^oO-TxX" for mouth in "_."}
+    return out | {"<3", "</3", "8-)", "XD", "xD", "\\o/"}
+
+
+#: English verbs that lean on the word before them, and how they are then written.
+CLITICS = {"am": "'m", "are": "'re", "is": "'s", "have": "'ve", "will": "'ll", "would": "'d"}
+#: Which of them follow which words.
+LEANING = {
+    ("i",): ("am", "have", "will", "would"),
+    ("you", "we", "they"): ("are", "have", "will", "would"),
+    ("he", "she", "it", "that", "there", "here", "this", "who", "what", "where", "when", "why", "how"): ("is", "will", "would"),
+}
+#: Verbs that take a negation as they are, and those that change before it.
+NEGATED = ("are", "could", "did", "do", "does", "had", "has", "have", "is", "might", "must", "need", "should", "was", "were", "would")
+CHANGED = {"ca": "can", "wo": "will", "sha": "shall", "ai": "is"}
+#: Written together in speech.
+FUSED = {"cannot": "can not", "gonna": "going to", "gotta": "got to", "wanna": "want to", "lemme": "let me", "gimme": "give me", "let's": "let us", "y'all": "you all"}
+#: Short forms whose full stop is their own, by language.
+SHORT_FORMS = {
+    "en": "Capt Col Dr Gen Gov Hon Lt Mr Mrs Ms Prof Rev Sen Sgt St Jr Sr Bros Co Corp Inc Ltd Jan Feb Mar Apr Jun Jul Aug Sept Oct Nov Dec e.g i.e cf viz vs approx dept est".split(),
+    "de": "bzw ca Dr d.h evtl ggf Hr Fr Nr Prof S Str u.a usw vgl z.B".split(),
+    "fr": "av bd cf Dr M MM Mlle Mme p.ex St Ste".split(),
+    "es": "Av Dr Dra Lic Prof Sr Sra Srta Ud Uds p.ej".split(),
+}
+
+
+def english_contractions() -> dict[str, list[str]]:
+    """Contractions and the words that they stand for, with either apostrophe and in three casings."""
+    plain: dict[str, list[str]] = {short: full.split() for short, full in FUSED.items()}
+    for heads, verbs in LEANING.items():
+        for head in heads:
+            plain |= {head + CLITICS[v]: [head, v] for v in verbs}
+            plain[head + "'d've"] = [head, "would", "have"]
+    for written, verb in ({v: v for v in NEGATED} | CHANGED).items():
+        plain[written + "n't"] = [verb, "not"]
+    for verb in ("could", "might", "must", "should", "would"):
+        plain |= {verb + "'ve": [verb, "have"], verb + "n't've": [verb, "not", "have"]}
+    # without an apostrophe only where that is no other word
+    plain |= {w.replace("'", ""): parts for w, parts in plain.items() if parts[1:] == ["not"] and w not in ("can't", "won't", "cannot")}
+    out = {}
+    for word, parts in plain.items():
+        for cased in (str.lower, str.upper, str.capitalize):
+            own = [x.upper() for x in parts] if cased is str.upper and len(word) > 3 else [cased(parts[0]), *parts[1:]]
+            out |= {cased(word): own, cased(word).replace("'", "’"): own}
     return out
 
 
 def exceptions_for(lang: str | None) -> dict[str, list[str] | None]:
-    own = {e: None for e in EMOTICONS} | time_exceptions()
-    return own | english_exceptions() if lang in (None, "en") else own
+    """What is kept whole (None) or stands for other words in a language; null stands for English."""
+    lang = lang or "en"
+    short = {x + "." for x in SHORT_FORMS.get(lang, ())}
+    own = dict.fromkeys(emoticons() | short | {x[0].upper() + x[1:] for x in short}) | time_exceptions()
+    return own | english_contractions() if lang == "en" else own
 
 
-def _ends_with_stop(s: str) -> bool:
-    """Whether a final full stop is a token of its own."""
-    head, before = s[:-1], s[-2]
-    dots, upper, lower, digits = s.count("."), sum(c.isupper() for c in s), sum(c.islower() for c in s), sum(c.isdigit() for c in s)
-    if re.search(r"°[CFK]\Z", head):
-        return True
-    if before.isdigit() or before.islower() or before in ENDS_BEFORE_STOP:
-        return not (len(s) < 4 and upper == 1 and dots == 1 and lower < 3)
-    if before == "." or before.isalpha() and not before.isupper():
-        return True
-    if upper == 1 and dots == 1 and lower < 3 and not digits:
-        return False
-    return digits > upper or upper > dots + 1
+#: What a final full stop belongs to: single letters between stops, an initial, and a short form without vowels.
+_KEEPS_STOP = re.compile(r"(?:[^\W\d_]\.)+[^\W\d_]|[A-ZÀ-Þ]|[A-Z][b-df-hj-np-tv-xz]{1,2}")
+#: Last characters that are tokens of their own: after a digit, and after anything.
+_AFTER_DIGIT, _AFTER_ANY = frozenset("+-*/$¢£¤¥€₹"), frozenset(PUNCTUATION + CLOSING_QUOTES + "%°")
 
 
 def _ends_with_own(s: str) -> bool:
     """Whether the last character is a token of its own."""
-    last, before = s[-1], s[-2]
-    if last == ".":
-        return _ends_with_stop(s)
-    return before.isdigit() and last in "+-*/$¢£¤¥€₹" or last in PUNCTUATION or last in CLOSING_QUOTES or last in "%°"
+    if s[-1] == ".":
+        return not _KEEPS_STOP.fullmatch(s[:-1])
+    return s[-1] in _AFTER_ANY or s[-1] in _AFTER_DIGIT and s[-2].isdigit()
 
 
 def cut_chunk(chunk: str, exceptions: dict[str, list[str] | None]) -> list[tuple[int, int, str]]:
@@ -139,8 +154,20 @@ class Tokenizer:
     def __init__(self, exceptions: dict[str, list[str] | None]):
         self.exceptions, self.memo = exceptions, {}
 
-    def cut(self, text: str) -> list[tuple[int, int, str, str]]:
+    def tokens_of(self, chunk: str) -> list[tuple[int, int, str, str]]:
         """Begin, end (exclusive), value and kind of each token. An exception's tokens take a character each, the last the rest."""
+        got = []
+        for b, e, kind in cut_chunk(chunk, self.exceptions):
+            parts = self.exceptions.get(chunk[b:e]) if kind == "special" else None
+            if not parts:
+                got.append((b, e, chunk[b:e], kind))
+            else:
+                last = min(len(parts), e - b) - 1
+                got += [(b + k, b + k + 1 if k < last else e, p, kind) for k, p in enumerate(parts[: last + 1])]
+        return got
+
+    def cut(self, text: str) -> list[tuple[int, int, str, str]]:
+        """The tokens of a whole text."""
         out, memo = [], self.memo
         if len(memo) > _MEMO_LIMIT:
             memo.clear()
@@ -148,14 +175,7 @@ class Tokenizer:
             chunk, at = m[0], m.start()
             got = memo.get(chunk)
             if got is None:
-                got = []
-                for b, e, kind in cut_chunk(chunk, self.exceptions):
-                    parts = self.exceptions.get(chunk[b:e]) if kind == "special" else None
-                    if not parts:
-                        got.append((b, e, chunk[b:e], kind))
-                    else:
-                        last = min(len(parts), e - b) - 1
-                        got += [(b + k, b + k + 1 if k < last else e, p, kind) for k, p in enumerate(parts[: last + 1])]
+                got = self.tokens_of(chunk)
                 if len(chunk) <= 100:
                     memo[chunk] = got
             for b, e, value, kind in got:
@@ -163,21 +183,86 @@ class Tokenizer:
         return out
 
 
-def _as_arrow(batches: Iterator[pa.Array], cut) -> Iterator[pa.Array]:
-    """Lists of token structs, made column by column. cut: begin, end (exclusive), value and kind of a text's tokens."""
-    for texts in batches:
-        offsets, flat = [0], []
-        for text in texts.to_pylist():
-            if text:
-                flat += cut(text)
-            offsets.append(len(flat))
-        begin, end, value, kind = zip(*flat, strict=True) if flat else ((), (), (), ())
-        begin, end = pa.array(begin, pa.int32()), pa.array(end, pa.int32())
-        bounds = pa.array(offsets, pa.int32())
-        starts = np.repeat(np.array(offsets[:-1], np.int64), np.diff(offsets))
-        ix = pa.array((np.arange(len(flat)) - starts).astype(np.int32))
-        tokens = pa.StructArray.from_arrays([ix, begin, pc.subtract(end, pa.scalar(1, pa.int32())), pa.array(value, pa.string()), pa.array(kind, pa.string())], ["ix", "begin", "end", "value", "kind"])
-        yield pa.ListArray.from_arrays(bounds, tokens)
+#: Characters cut at once.
+_STRETCH = 1 << 21
+_BLANK = np.zeros(0x110000, bool)
+_BLANK[[c for c in range(0x3001) if chr(c).isspace()]] = True
+
+
+class ChunkPool:
+    """The tokens of every chunk met, one after another, so that those of a text are gathered by their places."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.tokenizer = tokenizer
+        self.clear()
+
+    def clear(self) -> None:
+        self.of: dict[str, int] = {}
+        self.first, self.count, self.begin, self.end, self.value, self.kind = [], [], [], [], [], []
+        self.arrays = None
+
+    def ids(self, chunks: list[str]) -> np.ndarray:
+        if len(self.of) > _MEMO_LIMIT:
+            self.clear()
+        get = self.of.get
+        out = [get(c) for c in chunks]
+        if None in out:
+            self.arrays = None
+            for i, known in enumerate(out):
+                if known is None:
+                    chunk = chunks[i]
+                    if chunk not in self.of:
+                        self.of[chunk] = len(self.first)
+                        tokens = self.tokenizer.tokens_of(chunk)
+                        self.first.append(len(self.begin))
+                        self.count.append(len(tokens))
+                        for b, e, v, k in tokens:
+                            self.begin.append(b)
+                            self.end.append(e)
+                            self.value.append(v)
+                            self.kind.append(k)
+                    out[i] = self.of[chunk]
+        return np.array(out, np.int64)
+
+    def gathered(self):
+        if self.arrays is None:
+            self.arrays = *(np.array(x, np.int64) for x in (self.first, self.count, self.begin, self.end)), pa.array(self.value, pa.string()), pa.array(self.kind, pa.string())
+        return self.arrays
+
+
+def _stretches(texts: list[str | None]) -> Iterator[list[str]]:
+    some, room = [], 0
+    for text in texts:
+        text = text or ""
+        if some and room + len(text) > _STRETCH:
+            yield some
+            some, room = [], 0
+        some.append(text)
+        room += len(text) + 1
+    if some:
+        yield some
+
+
+def _tokens_of_texts(texts: list[str], pool: ChunkPool) -> pa.ListArray:
+    joined = "\n".join(texts) + "\n"
+    blank = _BLANK[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    edges = np.diff(blank.view(np.int8), prepend=1)
+    starts = np.flatnonzero(edges == -1)
+    ids = pool.ids(joined.split())
+    first, count, begin, end, value, kind = pool.gathered()
+    text_starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    of = np.searchsorted(text_starts, starts, side="right") - 1
+    n = count[ids]
+    per_text = np.bincount(of, n, len(texts)).astype(np.int64)
+    offsets = np.concatenate([[0], np.cumsum(per_text)])
+    before = np.cumsum(n) - n
+    at = np.repeat(first[ids] - before, n) + np.arange(int(n.sum()))
+    moved = np.repeat(starts - text_starts[of], n)
+    ix = np.arange(len(at)) - np.repeat(offsets[:-1], per_text)
+    places = pa.array(at)
+    fields = [ix.astype(np.int32), (begin[at] + moved).astype(np.int32), (end[at] + moved - 1).astype(np.int32)]
+    tokens = pa.StructArray.from_arrays([*map(pa.array, fields), value.take(places), kind.take(places)], ["ix", "begin", "end", "value", "kind"])
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), tokens)
 
 
 def fast_tokens(text: Column, lang: str | None = "en", more_exceptions: dict[str, list[str] | None] | None = None) -> Column:
@@ -186,22 +271,40 @@ def fast_tokens(text: Column, lang: str | None = "en", more_exceptions: dict[str
 
     @F.arrow_udf(f"array<{PIECE}>")
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        return _as_arrow(batches, Tokenizer(exceptions).cut)
+        pool = ChunkPool(Tokenizer(exceptions))
+        for texts in batches:
+            made = [_tokens_of_texts(some, pool) for some in _stretches(texts.to_pylist())]
+            yield pa.concat_arrays(made) if made else _tokens_of_texts([], pool)
 
     return cut(text)
 
 
-_SPACED = re.compile("[^ ]+")
+def _spaced_texts(texts: list[str]) -> pa.ListArray:
+    joined = " ".join(texts) + " "
+    chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    edges = np.diff((chars == 32).view(np.int8), prepend=1, append=1)
+    starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+    values = [v for v in joined.split(" ") if v]
+    if len(starts):
+        kept = np.add.reduceat((~_BLANK[chars]).astype(np.int64), starts) > 0
+        starts, ends, values = starts[kept], ends[kept], [v for v, k in zip(values, kept.tolist(), strict=True) if k]
+    text_starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    of = np.searchsorted(text_starts, starts, side="right") - 1
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(texts)))]).astype(np.int32)
+    ix = np.arange(len(starts)) - offsets[of]
+    fields = [pa.array(x.astype(np.int32)) for x in (ix, starts - text_starts[of], ends - 1 - text_starts[of])]
+    tokens = pa.StructArray.from_arrays([*fields, pa.array(values, pa.string()), pa.array(["word"] * len(values), pa.string())], ["ix", "begin", "end", "value", "kind"])
+    return pa.ListArray.from_arrays(pa.array(offsets), tokens)
 
 
 def space_tokens(text: Column) -> Column:
-    """Pieces between U+0020, those of white space alone left out, with their offsets."""
-
-    pieces = lambda t: [(m.start(), m.end(), m[0], "word") for m in _SPACED.finditer(t) if not m[0].isspace()]
+    """Pieces between U+0020, those of white space alone left out, with their offsets. Null gives an empty array."""
 
     @F.arrow_udf(f"array<{PIECE}>")
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        return _as_arrow(batches, pieces)
+        for texts in batches:
+            made = [_spaced_texts(some) for some in _stretches(texts.to_pylist())]
+            yield pa.concat_arrays(made) if made else _spaced_texts([])
 
     return cut(text)
 
