@@ -8,9 +8,9 @@ def test_registries(spark):
     assert registries.languages(spark).count() == 60
     got = spark.createDataFrame([("NNS",), ("??",)], "t string").select(registries.universal_tag(F.col("t")).alias("u")).collect()
     assert [r.u for r in got] == ["NOUN", "X"]
-    registries.register_stop_words("xx", {"a", "b"})
-    assert registries.stop_words("xx") == {"a", "b"} and registries.stop_words("yy") == frozenset()
-    assert registries.stop_word_table(spark).where("lang = 'xx'").count() == 2
+    own = {"xx": {"a", "b"}, "en": {"harbour"}}
+    assert registries.stop_words("xx", own) == {"a", "b"} and registries.stop_words("yy") == frozenset() and {"the", "harbour"} <= registries.stop_words("en", own)
+    assert registries.stop_word_table(spark, own).where("lang = 'xx'").count() == 2
 
 
 def test_labels_come_near_their_words(spark):

@@ -41,7 +41,7 @@ def test_language_detectors(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     known = {k: lang for k, _, lang in rows}
     got = langid.detect(docs, langid.fit_profiles(docs, min_count=1)).collect()
-    assert len(got) == 60 and all(known[r.doc_id] == r.lang for r in got)
+    assert len(got) == 61 and all((known[r.doc_id] or "und") == r.lang for r in got)
     model = langid.fit_linear_detector(docs.where("text is not null"))
     out = model.transform(docs.where("text is not null").withColumn("_label", F.lit(0.0))).collect()
     assert sum(known[r.doc_id] == r.prediction_lang for r in out) >= 58
@@ -140,3 +140,29 @@ def test_topics_are_fitted_on_all_documents(spark):
     assert model.stages[1].getSubsamplingRate() == 1
     for topic in (0, 1):
         assert len({r.term[0] for r in vectors.describe_topics(model).collect() if r.topic == topic}) == 1
+
+
+def test_batches_tried_again_count_once(spark, tmp_path):
+    counts = lambda *rows: spark.createDataFrame(rows, "term string, n long")
+    for batch_id, batch in ((0, counts(("a", 2), ("b", 1))), (1, counts(("a", 5))), (1, counts(("a", 3), ("c", 1)))):
+        streams.merge_counts(batch, batch_id, f"{tmp_path}/counts")
+    assert {r.term: r.n for r in streams.merged_counts(spark, f"{tmp_path}/counts").collect()} == {"a": 5, "b": 1, "c": 1}
+
+
+def test_ragged_vectors_and_ties(spark):
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [3.0, 0.0]), (3, [0.0, 1.0]), (4, []), (5, [1.0]), (6, None), (7, [0.5, 0.0]), (8, [4.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = vectors.most_similar(df, df.repartition(3), 2).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in got if r.query_id == 8) == [(8, 1, 0), (8, 2, 1)] and {r.query_id for r in got} == {0, 1, 2, 3, 7, 8}
+
+
+def test_more_labels_than_a_thousand(spark):
+    rows = [([f"f{k}"], f"label{k:04}") for k in range(1100)]
+    model = perceptron.fit_perceptron(spark.createDataFrame(rows, "features array<string>, label string").coalesce(1), epochs=1)
+    assert len(model.labels) == 1100
+
+
+def test_gram_counts_equal_those_of_whole_texts(spark):
+    docs = spark.createDataFrame([("a", "One two, a b ça 12x"), ("a", ""), ("b", None), ("b", "x")], "lang string, text string")
+    whole = docs.select("lang", F.explode_outer(langid.char_ngrams(langid.normalised(F.col("text")), (1, 2, 3))).alias("gram")).where("gram is not null").groupBy("lang", "gram").agg(F.count("*").alias("n"))
+    assert sorted(map(tuple, langid.gram_counts(docs, "lang").collect())) == sorted(map(tuple, whole.collect()))

@@ -339,7 +339,7 @@ def q_char_trigrams(spark, folder):
 @register(f"""WITH g AS (SELECT doc_id, lang, substr(t, i, 3) AS gram FROM (SELECT doc_id, lang, t, unnest(range(1, greatest(length(t) - 2, 1) + 1)) AS i FROM {_SQL_NORMAL})), c AS (SELECT doc_id, lang, gram, count(*) AS n FROM g WHERE trim(gram) <> '' GROUP BY ALL),
 k AS (SELECT lang, gram, length(gram) AS s, sum(n) AS n FROM c GROUP BY lang, gram), tot AS (SELECT lang, s, sum(n) AS t FROM k GROUP BY lang, s), p AS (SELECT k.lang, gram, k.n / tot.t AS p FROM k JOIN tot ON k.lang = tot.lang AND k.s = tot.s WHERE k.n >= 5),
 grams AS (SELECT DISTINCT gram FROM p), langs AS (SELECT DISTINCT lang FROM p), full_p AS (SELECT langs.lang, grams.gram, coalesce(p.p, 0.0) AS p FROM grams CROSS JOIN langs LEFT JOIN p ON p.gram = grams.gram AND p.lang = langs.lang),
-s AS (SELECT c.doc_id, f.lang, sum(c.n * ln(f.p + 0.00005)) AS lp FROM c JOIN full_p f USING (gram) GROUP BY ALL) SELECT doc_id, arg_max(lang, lp) AS lang FROM s GROUP BY doc_id""")
+s AS (SELECT c.doc_id, f.lang, sum(c.n * ln(f.p + 0.00005)) AS lp FROM c JOIN full_p f USING (gram) GROUP BY ALL) SELECT d.doc_id, coalesce(b.lang, 'und') AS lang FROM documents d LEFT JOIN (SELECT doc_id, arg_max(lang, lp) AS lang FROM s GROUP BY doc_id) b USING (doc_id)""")
 def q_language_bayes(spark, folder):
     docs = _docs(spark, folder)
     return langid.detect(docs, langid.fit_profiles(docs, sizes=(3,)), sizes=(3,)).select("doc_id", "lang")

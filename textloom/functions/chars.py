@@ -95,7 +95,8 @@ def is_email_domain(x: Column) -> Column:
 
 LIGATURES = {
     "Ǳ": "DZ", "ǲ": "Dz", "ǳ": "dz", "Ǆ": "DŽ", "ǅ": "Dž", "ǆ": "dž", "Ǉ": "LJ", "ǈ": "Lj", "ǉ": "lj", "Ǌ": "NJ", "ǋ": "Nj", "ǌ": "nj",
-    "Ꜳ": "AA", "ꜳ": "aa", "Æ": "AE", "æ": "ae", "Ꜵ": "AO", "ꜵ": "ao", "Ĳ": "IJ", "ĳ": "ij", "Œ": "OE", "œ": "oe", "Ꝏ": "OO", "ꝏ": "oo",
+    "Ꜳ": "AA", "ꜳ": "aa", "Æ": "AE", "æ": "ae", "Ꜵ": "AO", "ꜵ": "ao", "Ꜷ": "AU", "ꜷ": "au", "Ꜹ": "AV", "ꜹ": "av", "Ꜻ": "AV", "ꜻ": "av", "Ꜽ": "AY", "ꜽ": "ay", "Ĳ": "IJ", "ĳ": "ij", "Œ": "OE", "œ": "oe", "Ꝏ": "OO", "ꝏ": "oo",
+    "Ꜩ": "TZ", "ꜩ": "tz", "ᵫ": "ue", "Ꝡ": "VY", "ꝡ": "vy", "ﬅ": "st",
     "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬆ": "st",
 }
 

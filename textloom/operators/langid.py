@@ -24,8 +24,19 @@ def char_ngrams(text: Column, sizes: tuple[int, ...] = (1, 2, 3)) -> Column:
 
 
 def gram_counts(docs: DataFrame, *keys: str, text_col: str = "text", sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    each = docs.select(*keys, F.explode_outer(char_ngrams(normalised(F.col(text_col)), sizes)).alias("gram")).where("gram is not null")
-    return each.groupBy(*keys, "gram").agg(F.count("*").alias("n"))
+    """``keys, gram, n``. Words are counted first and then cut, each with a blank on either side; beside the n-grams in
+    those a text has, of the sizes up to 3, only the ones that join the last letter of a word and the first of the next."""
+    if max(sizes) > 3:
+        each = docs.select(*keys, F.explode_outer(char_ngrams(normalised(F.col(text_col)), sizes)).alias("gram")).where("gram is not null")
+        return each.groupBy(*keys, "gram").agg(F.count("*").alias("n"))
+    as_ = lambda word, s: F.struct(F.lit(word).alias("word"), s.alias("s"))
+    words = F.array_remove(F.split(normalised(F.col(text_col)), " "), "")
+    joints = lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: as_(False, F.concat(F.right(x, F.lit(1)), F.lit(" "), F.left(F.get(w, i + 1), F.lit(1)))))
+    both = lambda w: F.concat(F.transform(w, lambda x: as_(True, x)), *([joints(w)] if 3 in sizes else []))
+    parts = docs.select(*keys, F.explode_outer(F.get(F.transform(F.array(words), both), F.lit(0))).alias("_p")).select(*keys, "_p.word", "_p.s").where("s is not null")
+    counted = parts.groupBy(*keys, "word", "s").agg(F.count("*").alias("_n"))
+    grams = F.when(F.col("word"), char_ngrams(F.concat(F.lit(" "), F.col("s"), F.lit(" ")), sizes)).otherwise(F.array("s"))
+    return counted.select(*keys, "_n", F.explode_outer(grams).alias("gram")).where("gram is not null").groupBy(*keys, "gram").agg(F.sum("_n").alias("n"))
 
 
 def fit_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", sizes: tuple[int, ...] = (1, 2, 3), min_count: int = 5) -> DataFrame:
@@ -35,13 +46,18 @@ def fit_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     return counts.where(F.col("n") >= min_count).withColumn("size", F.length("gram")).join(totals, ["lang", "size"]).select("lang", "gram", (F.col("n") / F.col("total")).alias("p"))
 
 
-def detect_all(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.5, threshold: float = 0.1, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """``doc_id, lang, log_p, p`` of languages over the threshold: every known n-gram counts, none is sampled."""
+def detect_all(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.5, threshold: float = 0.1, sizes: tuple[int, ...] = (1, 2, 3), max_languages: int = 1000) -> DataFrame:
+    """``doc_id, lang, log_p, p`` of languages over the threshold: every known n-gram counts, none is sampled.
+
+    Each language is a column, so more than ``max_languages`` are an error. Documents without a known n-gram have no row.
+    """
     counts = gram_counts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", sizes=sizes)
     floor = alpha / 10_000
     langs = profiles.select("lang").distinct()
     known = profiles.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "p"))).alias("ps"))
-    names = [r.lang for r in langs.orderBy("lang").limit(500).collect()]
+    names = [r.lang for r in langs.orderBy("lang").limit(max_languages + 1).collect()]
+    if len(names) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
     sums = [F.sum(F.col("n") * F.log(F.coalesce(F.try_element_at("ps", F.lit(x)), F.lit(0.0)) + floor)).alias(f"_{k}") for k, x in enumerate(names)]
     scored = counts.join(known, "gram").groupBy("doc_id").agg(*sums) if names else counts.groupBy("doc_id").agg(F.lit(0.0).alias("_0"))
     rows = F.array(*[F.named_struct(F.lit("lang"), F.lit(x), F.lit("log_p"), F.col(f"_{k}")) for k, x in enumerate(names)]) if names else F.array().cast("array<struct<lang:string,log_p:double>>")
@@ -51,9 +67,10 @@ def detect_all(docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", tex
 
 
 def detect(docs: DataFrame, profiles: DataFrame, **options) -> DataFrame:
-    """``doc_id, lang, p``: the likeliest language."""
-    best = detect_all(docs, profiles, **options).groupBy("doc_id").agg(F.max(F.struct("p", "lang")).alias("_b"))
-    return best.select("doc_id", F.col("_b.lang").alias("lang"), F.col("_b.p").alias("p"))
+    """``doc_id, lang, p``: the likeliest language of every document; ``und`` where no n-gram is known."""
+    best = detect_all(docs, profiles, **{**options, "threshold": -1.0}).groupBy("doc_id").agg(F.max(F.struct("p", "lang")).alias("_b"))
+    every = docs.select(F.col(options.get("id_col", "doc_id")).alias("doc_id"))
+    return every.join(best, "doc_id", "left").select("doc_id", F.coalesce("_b.lang", F.lit("und")).alias("lang"), F.coalesce("_b.p", F.lit(0.0)).alias("p"))
 
 
 def fit_linear_detector(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", buckets: int = 1 << 14, iterations: int = 30):

@@ -47,14 +47,17 @@ class Weights:
         return made
 
 
-def fit_perceptron(examples: DataFrame, epochs: int = 5, max_features: int = 2_000_000, seed: int = 7) -> Weights:
+def fit_perceptron(examples: DataFrame, epochs: int = 5, max_features: int = 2_000_000, seed: int = 7, max_labels: int = 20_000) -> Weights:
     """Fit on rows of ``features`` (array of strings) and ``label``.
 
     An epoch is one pass in every partition and one average over partitions; features beyond ``max_features``, the
-    least heavy first, are dropped when weights come together, which bounds what is sent to the executors.
+    least heavy first, are dropped when weights come together, which bounds what is sent to the executors. More labels
+    than ``max_labels`` are an error.
     """
     examples = examples.persist()
-    labels = sorted(r.label for r in examples.select("label").distinct().limit(1000).collect())
+    labels = sorted(r.label for r in examples.select("label").distinct().limit(max_labels + 1).collect())
+    if len(labels) > max_labels:
+        raise ValueError(f"more than {max_labels} labels")
     model = Weights(labels)
     for epoch in range(epochs):
         made = model.as_dict()

@@ -23,7 +23,13 @@ PENN_TO_UNIVERSAL = {
     "RB": "ADV", "RBR": "ADV", "RBS": "ADV", "WRB": "ADV", "SYM": "SYM", "UH": "INTJ", "VB": "VERB", "VBD": "VERB", "VBG": "VERB", "VBN": "VERB", "VBP": "VERB", "VBZ": "VERB",
 }
 
-_STOP_WORDS: dict[str, frozenset[str]] = {}
+#: Frequent function words, by language.
+STOP_WORDS = {
+    "en": frozenset("a an and are as at be but by for from had has have he her his i in is it its not of on or she so that the their them they this to was we were what which who will with you".split()),
+    "de": frozenset("aber als am an auch auf aus bei das dem den der des die doch ein eine einen einer es für hat ich im in ist mit nach nicht oder sich sie sind so und von war was wie wir zu zum".split()),
+    "fr": frozenset("au aux avec ce cette ces dans de des du elle en est et il ils je la le les leur lui mais ne nous on ou par pas pour qu que qui sa se ses son sur un une vous".split()),
+    "es": frozenset("a al como con de del el ella en era es esta este ha la las lo los más me mi no o para pero por que se si sin su sus un una y ya yo".split()),
+}
 
 
 def languages(spark: SparkSession) -> DataFrame:
@@ -35,14 +41,11 @@ def universal_tag(penn: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in PENN_TO_UNIVERSAL.items() for x in kv]), penn), F.lit("X"))
 
 
-def register_stop_words(lang: str, words: set[str]) -> None:
-    _STOP_WORDS[lang] = frozenset(words)
+def stop_words(lang: str, more: dict[str, set[str]] | None = None) -> frozenset[str]:
+    """The language's words and those of ``more``; none for a language in neither."""
+    return STOP_WORDS.get(lang, frozenset()) | frozenset((more or {}).get(lang, ()))
 
 
-def stop_words(lang: str) -> frozenset[str]:
-    """The registered words; none for a language without."""
-    return _STOP_WORDS.get(lang, frozenset())
-
-
-def stop_word_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(lang, w) for lang, ws in sorted(_STOP_WORDS.items()) for w in sorted(ws)], "lang string, term string")
+def stop_word_table(spark: SparkSession, more: dict[str, set[str]] | None = None) -> DataFrame:
+    """``lang, term`` of all languages."""
+    return spark.createDataFrame([(lang, w) for lang in sorted({*STOP_WORDS, *(more or {})}) for w in sorted(stop_words(lang, more))], "lang string, term string")

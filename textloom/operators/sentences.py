@@ -52,7 +52,7 @@ def fit_sentence_model(sentences: DataFrame, text_col: str = "sentence", epochs:
             texts = [t for t in pdf["text"] if t]
             for text, after in zip(texts, [*texts[1:], ""], strict=True):
                 values = [v for _, _, v, _ in tokenizer.cut(text)]
-                joined = values + [v for _, _, v, _ in tokenizer.cut(after[:60])]
+                joined = values + [v for _, _, v, _ in tokenizer.cut(after)]
                 rows += [(mark_features(joined, k), "end" if k == len(values) - 1 else "inside") for k in range(1, len(values)) if is_mark(values[k])]
             yield pd.DataFrame(rows, columns=["features", "label"])
 

@@ -52,18 +52,21 @@ def single_tag_terms(tokens: DataFrame, tag: str, more_than: int = 20) -> DataFr
     return tokens.groupBy("term").agg(F.count("*").alias("n"), F.min(tag).alias(tag), F.max(tag).alias("_most")).where((F.col("n") > more_than) & (F.col(tag) == F.col("_most"))).drop("_most")
 
 
-def n_grams(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, gram`` for each run of n words."""
-    bound = F.get(F.transform(F.array(words(F.col(text_col))), lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - n + 1, F.lit(0))), lambda x, i: F.array_join(F.slice(w, i + 1, n), " "))), F.lit(0))
+def n_grams(docs: DataFrame, *sizes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, gram`` for each run of so many words; a text is cut once for all sizes."""
+
+    def runs(w: Column) -> Column:
+        of = lambda n: lambda x, i: F.concat_ws(" ", x, *[F.get(w, i + j) for j in range(1, n)])
+        return F.concat(*[F.transform(F.slice(w, 1, F.greatest(F.size(w) - n + 1, F.lit(0))), of(n)) for n in sizes])
+
+    bound = F.get(F.transform(F.array(words(F.col(text_col))), runs), F.lit(0))
     return docs.select(F.col(id_col).alias("doc_id"), F.explode_outer(bound).alias("gram")).where("gram is not null")
 
 
 def collocations(docs: DataFrame, longest: int = 3, rare: float = 1e-5, common: float = 0.1, id_col: str = "doc_id", text_col: str = "text", stop_words: list[str] = ()) -> DataFrame:
     """``gram, n``: word chains of 2 to ``longest`` words whose count is between max(2, rare T) and common T of T words."""
     total = docs.agg(F.sum(F.size(words(F.col(text_col))))).first()[0] or 0
-    grams = n_grams(docs, 2, id_col, text_col)
-    for n in range(3, longest + 1):
-        grams = grams.unionByName(n_grams(docs, n, id_col, text_col))
+    grams = n_grams(docs, *range(2, longest + 1), id_col=id_col, text_col=text_col)
     if stop_words:
         grams = grams.where(~F.arrays_overlap(F.split("gram", " "), F.array(*[F.lit(w) for w in stop_words])))
     return grams.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n").between(max(2, math.floor(rare * total)), math.floor(common * total)))
@@ -94,9 +97,10 @@ def discard_probability(share: Column, threshold: float = 1e-4) -> Column:
 
 
 def negative_sampling(vocab: DataFrame) -> DataFrame:
-    """``term, p``: chance of a word as a negative example, as the root of its count."""
-    total = vocab.agg(F.sum(F.sqrt("n"))).first()[0] or 1.0
-    return vocab.select("term", (F.sqrt("n") / total).alias("p"))
+    """``term, p``: chance of a word as a negative example, as the root of its count. The total is a row beside each,
+    so nothing runs before the result is asked for."""
+    total = vocab.agg(F.sum(F.sqrt("n")).alias("_total")).withColumn("_one", F.lit(1))
+    return vocab.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").select("term", (F.sqrt("n") / F.col("_total")).alias("p"))
 
 
 def context_window(tokens: DataFrame, k: int = 2, *keys: str) -> DataFrame:

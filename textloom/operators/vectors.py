@@ -49,12 +49,16 @@ def most_similar(queries: DataFrame, vectors: DataFrame, k: int = 10, id_col: st
     """``query_id, vec_id, cosine, rank``: the k nearest by cosine of each of a stated set of queries, exactly.
 
     Queries go out in blocks of about ``block_rows``, one pass over the vectors each; a task keeps its own k best of
-    every query before they are shuffled. Ids are integers.
+    every query before they are shuffled. Ids are integers; of equal cosines the lower id comes first. Null and empty
+    vectors, and those of another length than the first query's, are neither queries nor neighbours.
     """
     import numpy as np
     import pandas as pd
 
-    packed = queries.select(F.col(id_col).alias("id"), F.col(vec).alias("q")).where("q is not null and id is not null")
+    packed = queries.select(F.col(id_col).alias("id"), F.col(vec).alias("q")).where("size(q) > 0 and id is not null")
+    least = packed.orderBy("id").limit(1).collect()
+    width = len(least[0].q) if least else 0
+    packed = packed.where(F.size("q") == width)
     n_blocks = max(1, -(-packed.count() // block_rows))
 
     def pass_over(block: int) -> DataFrame:
@@ -67,7 +71,6 @@ def most_similar(queries: DataFrame, vectors: DataFrame, k: int = 10, id_col: st
             ids, q = shipped.value
             held = [[] for _ in ids]
             for pdf in batches:
-                pdf = pdf[pdf["v"].notna() & pdf["id"].notna()]
                 if not len(pdf) or not len(ids):
                     continue
                 v = np.stack(pdf["v"].to_numpy()).astype(np.float32)
@@ -75,13 +78,14 @@ def most_similar(queries: DataFrame, vectors: DataFrame, k: int = 10, id_col: st
                 own = pdf["id"].to_numpy()
                 for at in range(0, len(ids), 1024):
                     score = q[at : at + 1024] @ v.T
-                    near = np.argpartition(-score, min(k, score.shape[1] - 1), axis=1)[:, : k + 1]
-                    for i, cols in enumerate(near, at):
-                        more = [(float(score[i - at, c]), int(own[c])) for c in cols if own[c] != ids[i]]
+                    # all that are as near as the last of the k + 1 nearest, so that ties are settled by id
+                    last = -np.partition(-score, min(k, score.shape[1] - 1), axis=1)[:, min(k, score.shape[1] - 1)]
+                    for i, cut in enumerate(last, at):
+                        more = [(float(score[i - at, c]), int(own[c])) for c in np.flatnonzero(score[i - at] >= cut) if own[c] != ids[i]]
                         held[i] = sorted(held[i] + more, key=lambda x: (-x[0], x[1]))[:k]
             yield pd.DataFrame([(int(i), c, s) for i, xs in zip(ids, held, strict=True) for s, c in xs], columns=["query_id", "vec_id", "cosine"])
 
-        return vectors.select(F.col(id_col).alias("id"), F.col(vec).alias("v")).mapInPandas(best, "query_id long, vec_id long, cosine double")
+        return vectors.select(F.col(id_col).alias("id"), F.col(vec).alias("v")).where((F.size("v") == width) & F.col("id").isNotNull()).mapInPandas(best, "query_id long, vec_id long, cosine double")
 
     near = pass_over(0)
     for block in range(1, n_blocks):

@@ -42,7 +42,7 @@ def read_conllu(spark: SparkSession, path: str) -> DataFrame:
 def read_wikiner(spark: SparkSession, path: str) -> DataFrame:
     """``line, words, pos, tags`` of ``word|pos|tag`` lines; I- and B- runs as B/I/L/U tags, MISC as O."""
     lines = spark.read.text(path).where(F.trim("value") != "").select(F.xxhash64("value").alias("line"), F.transform(F.split("value", " "), lambda x: F.split(x, r"\|")).alias("cells"))
-    kind = lambda c: F.when(F.get(c, F.lit(2)).rlike("^[BI]-") & ~F.get(c, F.lit(2)).endswith("MISC"), F.substring(F.get(c, F.lit(2)), 3, 100))
+    kind = lambda c: F.when(F.get(c, F.lit(2)).rlike("^[BI]-") & ~F.get(c, F.lit(2)).endswith("MISC"), F.substring(F.get(c, F.lit(2)), F.lit(3), F.length(F.get(c, F.lit(2)))))
     starts = lambda c: F.coalesce(F.get(c, F.lit(2)).startswith("B-"), F.lit(False))
     kinds, begins = F.transform("cells", kind), F.transform("cells", starts)
     made = lines.select("line", F.transform("cells", lambda c: F.get(c, F.lit(0))).alias("words"), F.transform("cells", lambda c: F.get(c, F.lit(1))).alias("pos"), kinds.alias("k"), begins.alias("b"))
@@ -75,6 +75,6 @@ def read_bilingual(spark: SparkSession, path: str) -> DataFrame:
 
 def read_categorised(spark: SparkSession, folder: str) -> DataFrame:
     """``path, split, text, labels`` of a corpus with one text a file and a list of ``path label label ...``."""
-    labels = spark.read.text(f"{folder}/cats.txt").select(F.split(F.trim("value"), r"\s+").alias("w")).select(F.get("w", F.lit(0)).alias("path"), F.slice("w", 2, 1000).alias("labels"))
+    labels = spark.read.text(f"{folder}/cats.txt").select(F.split(F.trim("value"), r"\s+").alias("w")).select(F.get("w", F.lit(0)).alias("path"), F.slice("w", F.lit(2), F.size("w")).alias("labels"))
     texts = spark.read.text([f"{folder}/training", f"{folder}/test"], wholetext=True).select(F.regexp_extract(F.input_file_name(), r"((?:training|test)/[^/]+)$", 1).alias("path"), F.col("value").alias("text"))
     return texts.join(labels, "path", "left").select("path", F.split("path", "/").getItem(0).alias("split"), "text", "labels")

@@ -65,14 +65,11 @@ def rehydrate_chunks(chunks: DataFrame, names: dict[str, str]) -> DataFrame:
     return chunks.groupBy("stream_id").applyInPandasWithState(step, "stream_id string, seq long, text string", "rest string", "append", "NoTimeout")
 
 
-def merge_counts(batch: DataFrame, table: str, key: str = "term", n: str = "n") -> None:
-    """For foreachBatch: add a batch's counts to a table of counts."""
-    spark = batch.sparkSession
-    new = batch.groupBy(key).agg(F.sum(n).alias(n))
-    if spark.catalog.tableExists(table):
-        both = spark.table(table).unionByName(new).groupBy(key).agg(F.sum(n).alias(n))
-        both.write.mode("overwrite").saveAsTable(f"{table}_next")
-        spark.table(f"{table}_next").write.mode("overwrite").saveAsTable(table)
-        spark.sql(f"DROP TABLE {table}_next")
-    else:
-        new.write.saveAsTable(table)
+def merge_counts(batch: DataFrame, batch_id: int, path: str, key: str = "term", n: str = "n") -> None:
+    """For foreachBatch: keep a batch's counts under its id. A batch that is tried again replaces what it wrote before."""
+    batch.groupBy(key).agg(F.sum(n).alias(n)).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+
+def merged_counts(spark: SparkSession, path: str, key: str = "term", n: str = "n") -> DataFrame:
+    """The counts of all batches together."""
+    return spark.read.parquet(path).groupBy(key).agg(F.sum(n).alias(n))
