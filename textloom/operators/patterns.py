@@ -8,6 +8,7 @@ the longest match at each token and goes on after it.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field, replace
 from collections.abc import Iterator
 
@@ -272,6 +273,48 @@ def find_entities(text: Column, recognizers: list[Recognizer], lang: str | None
     return find(text)
 
 
+def find_in_tokens(tokens: Column, recognizers: list[Recognizer], tags: Column | None = None, found: Column | None = None) -> Column:
+    """As ``find_entities``, over tokens that are there already, with the part of speech of each (``tags``) and the types
+    of the entities (``found``: start, end, entity_type) in which it lies; null tokens give null."""
+
+    @F.pandas_udf(f"array<{FINDING}>")
+    def find(values: pd.Series, begins: pd.Series, ends: pd.Series, tags: pd.Series, found: pd.Series) -> pd.Series:
+        matchers = [(r.entity_type, Matcher(r.patterns)) for r in recognizers]
+        out = []
+        for value, begin, end, tag, known in zip(values, begins, ends, tags, found, strict=True):
+            if value is None:
+                out.append(None)
+                continue
+            types: list[tuple[str, ...]] = [()] * len(value)
+            for f in known if known is not None else ():
+                first, after = bisect_left(list(begin), f["start"]), bisect_right(list(begin), f["end"])
+                for k in range(first, after):
+                    types[k] = (*types[k], f["entity_type"])
+            each = list(zip(value, tag if tag is not None else [None] * len(value), types, strict=True))
+            got = {(int(begin[a]), int(end[b]), kind) for kind, m in matchers for a, b in m.spot(each)}
+            out.append([{"start": a, "end": b, "entity_type": kind, "score": 1.0} for a, b, kind in sorted(got)])
+        return pd.Series(out)
+
+    part = lambda name: F.transform(tokens, lambda t: t[name])
+    kept = F.transform(found, lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"), f["entity_type"].alias("entity_type"))) if found is not None else F.lit(None).cast("array<struct<start:int,end:int,entity_type:string>>")
+    return find(part("value"), part("begin"), part("end"), tags if tags is not None else F.lit(None).cast("array<string>"), kept)
+
+
+def entities_of_tags(tokens: Column, tags: Column) -> Column:
+    """The entities that B/I/L/O/U tags of the tokens spell, as ``array<struct<start, end, entity_type, score>>``."""
+    none = F.array().cast(f"array<{FINDING}>")
+    state = lambda start, out: F.struct(start.alias("start"), out.alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        kind, letter = F.substring(x["tag"], F.lit(3), F.length(x["tag"])), F.substring(x["tag"], 1, 1)
+        start = F.when(letter.isin("B", "U"), x["begin"]).otherwise(acc["start"])
+        made = F.struct(start.cast("int").alias("start"), x["end"].cast("int").alias("end"), kind.alias("entity_type"), F.lit(1.0).cast("float").alias("score"))
+        return state(start, F.when(letter.isin("L", "U"), F.array_append(acc["out"], made.cast(FINDING))).otherwise(acc["out"]))
+
+    each = F.zip_with(tokens, tags, lambda t, g: F.struct(t["begin"].alias("begin"), t["end"].alias("end"), g.alias("tag")))
+    return F.when(tokens.isNotNull() & tags.isNotNull(), F.aggregate(each, state(F.lit(0), none), step, lambda acc: acc["out"]))
+
+
 def has_any_entity(text: Column, recognizers: list[Recognizer], lang: str | None = "en") -> Column:
     return F.size(find_entities(text, recognizers, lang)) > 0
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,15 +37,19 @@ class Weights:
         return Weights(made["labels"], made["by_feature"])
 
     def to_rows(self, spark) -> DataFrame:
-        """``feature, label, weight``, to be written as a table."""
-        return spark.createDataFrame([(f, label, float(w)) for f, ws in self.by_feature.items() for label, w in ws.items()], "feature string, label string, weight double")
+        """``feature, label, weight``, to be written as a table; a row without a feature for each label."""
+        each = [("", label, 0.0) for label in self.labels] + [(f, label, float(w)) for f, ws in self.by_feature.items() for label, w in ws.items()]
+        return spark.createDataFrame(each, "feature string, label string, weight double")
 
     @staticmethod
     def from_rows(rows: DataFrame) -> Weights:
         made = Weights()
         for r in rows.collect():
-            made.by_feature.setdefault(r.feature, {})[r.label] = r.weight
-        made.labels = sorted({label for ws in made.by_feature.values() for label in ws})
+            if r.feature:
+                made.by_feature.setdefault(r.feature, {})[r.label] = r.weight
+            else:
+                made.labels.append(r.label)
+        made.labels = sorted({*made.labels, *(label for ws in made.by_feature.values() for label in ws)})
         return made
 
 
@@ -124,6 +130,17 @@ def fit_tagger(sentences: DataFrame, words_col: str = "words", tags_col: str = "
     return fit_perceptron(sentences.select(F.col(words_col).alias("w"), F.col(tags_col).alias("t")).mapInPandas(examples, "features array<string>, label string"), epochs, seed=seed)
 
 
+def tag_words(words: list[str], scorer: Weights, single: dict[str, str], entities: bool) -> list[str]:
+    got: list[str] = []
+    for k, w in enumerate(words):
+        before, before2 = got[-1] if k else "<s>", got[-2] if k > 1 else "<s>"
+        allowed = [t for t in scorer.labels if _follows(t, before if k else "O")] if entities else None
+        got.append(single.get(w.lower()) or scorer.best(token_features(words, k, before, before2), allowed))
+    if entities and got and got[-1][:1] in ("B", "I"):
+        got[-1] = ("U" if got[-1][0] == "B" else "L") + got[-1][1:]
+    return got
+
+
 def tag(df: DataFrame, model: Weights, words_col: str = "words", into: str = "tags", single: dict[str, str] | None = None, entities: bool = False) -> DataFrame:
     """``df`` with a tag for each word, from left to right. single: words with only one tag. entities: only B/I/L/O/U
     sequences that make sense; a run that the text's end cuts off is closed."""
@@ -132,18 +149,7 @@ def tag(df: DataFrame, model: Weights, words_col: str = "words", into: str = "ta
     @F.pandas_udf("array<string>")
     def tags(words: pd.Series) -> pd.Series:
         scorer = Weights.from_dict(made)
-        out = []
-        for row in words:
-            row, got = list(row) if row is not None else [], []
-            for k, w in enumerate(row):
-                known = single.get(w.lower())
-                before, before2 = got[-1] if k else "<s>", got[-2] if k > 1 else "<s>"
-                allowed = [t for t in scorer.labels if _follows(t, before if k else "O")] if entities else None
-                got.append(known or scorer.best(token_features(row, k, before, before2), allowed))
-            if entities and got and got[-1][:1] in ("B", "I"):
-                got[-1] = ("U" if got[-1][0] == "B" else "L") + got[-1][1:]
-            out.append(got)
-        return pd.Series(out)
+        return pd.Series([tag_words(list(row) if row is not None else [], scorer, single, entities) for row in words])
 
     return df.withColumn(into, tags(F.col(words_col)))
 
@@ -224,6 +230,74 @@ def parse(df: DataFrame, model: Weights, into: str = "heads") -> DataFrame:
     return df.withColumn(into, heads("words", "tags"))
 
 
+def _sentence_starts(token_begins, span_begins) -> list[int]:
+    """The first token of each sentence; all tokens are one sentence where there are no spans."""
+    begins = list(token_begins)
+    return [0, *sorted({bisect_left(begins, b) for b in (span_begins if span_begins is not None else ())} - {0, len(begins)})] if begins else []
+
+
+def tag_documents(df: DataFrame, model: Weights, into: str = "tags", single: dict[str, str] | None = None, entities: bool = False) -> DataFrame:
+    """``df`` with a tag for each of its ``tokens``, sentence by sentence where it has ``spans``; null tokens give null."""
+    made, single = model.as_dict(), single or {}
+
+    @F.pandas_udf("array<string>")
+    def tags(words: pd.Series, begins: pd.Series, spans: pd.Series) -> pd.Series:
+        scorer = Weights.from_dict(made)
+        out = []
+        for row, at, starts in zip(words, begins, spans, strict=True):
+            if row is None:
+                out.append(None)
+                continue
+            row, got = list(row), []
+            firsts = _sentence_starts(at, starts)
+            for a, b in pairwise([*firsts, len(row)]):
+                got += tag_words(row[a:b], scorer, single, entities)
+            out.append(got)
+        return pd.Series(out)
+
+    spans = F.transform("spans", lambda s: s["begin"]) if "spans" in df.columns else F.lit(None).cast("array<int>")
+    return df.withColumn(into, tags(F.transform("tokens", lambda t: t["value"]), F.transform("tokens", lambda t: t["begin"]), spans))
+
+
+def parse_documents(df: DataFrame, model: Weights, into: str = "heads") -> DataFrame:
+    """``df`` with the head of each of its ``tokens`` (its place in the document, -1 for a root), sentence by sentence."""
+    made = model.as_dict()
+
+    @F.pandas_udf("array<int>")
+    def heads(words: pd.Series, tags: pd.Series, begins: pd.Series, spans: pd.Series) -> pd.Series:
+        scorer = Weights.from_dict(made)
+        out = []
+        for w, t, at, starts in zip(words, tags, begins, spans, strict=True):
+            if w is None or t is None:
+                out.append(None)
+                continue
+            got, firsts = [], _sentence_starts(at, starts)
+            for a, b in pairwise([*firsts, len(w)]):
+                own = parse_arcs(list(w[a:b]), list(t[a:b]), lambda f, allowed, stack, k: scorer.best(f, allowed))
+                got += [h + a if h >= 0 else -1 for h in own]
+            out.append(got)
+        return pd.Series(out)
+
+    spans = F.transform("spans", lambda s: s["begin"]) if "spans" in df.columns else F.lit(None).cast("array<int>")
+    return df.withColumn(into, heads(F.transform("tokens", lambda t: t["value"]), "tags", F.transform("tokens", lambda t: t["begin"]), spans))
+
+
+def tag_scores(df: DataFrame, gold: str = "gold", tags: str = "tags") -> DataFrame:
+    """``tag, correct, predicted, actual, precision, recall, f1`` of each tag, and with a null tag the accuracy over all tokens."""
+    pairs = df.select(F.explode(F.arrays_zip(F.col(gold).alias("g"), F.col(tags).alias("t"))).alias("_p")).select("_p.g", "_p.t")
+    each = pairs.select(F.explode(F.array(F.struct(F.col("g").alias("tag"), F.lit(1).alias("a"), F.lit(0).alias("p"), (F.col("g") == F.col("t")).cast("int").alias("c")), F.struct(F.col("t").alias("tag"), F.lit(0).alias("a"), F.lit(1).alias("p"), F.lit(0).alias("c")))).alias("_e")).select("_e.*").where("tag is not null")
+    sums = each.rollup("tag").agg(F.sum(F.coalesce("c", F.lit(0))).alias("correct"), F.sum("p").alias("predicted"), F.sum("a").alias("actual"))
+    precision, recall = F.try_divide("correct", "predicted"), F.try_divide("correct", "actual")
+    return sums.select("tag", "correct", "predicted", "actual", precision.alias("precision"), recall.alias("recall"), F.try_divide(2 * F.col("correct"), F.col("predicted") + F.col("actual")).alias("f1"))
+
+
+def attachment_scores(df: DataFrame, gold: str = "gold", heads: str = "heads") -> DataFrame:
+    """``n_tokens, attached, n_roots, right_roots, unlabelled, root_accuracy`` over all sentences, in one pass."""
+    pairs = df.select(F.explode(F.arrays_zip(F.col(gold).alias("g"), F.col(heads).alias("h"))).alias("_p")).select("_p.g", "_p.h")
+    sums = pairs.agg(F.count("*").alias("n_tokens"), F.sum((F.col("g") == F.col("h")).cast("long")).alias("attached"), F.sum((F.col("g") == -1).cast("long")).alias("n_roots"), F.sum(((F.col("g") == -1) & (F.col("h") == -1)).cast("long")).alias("right_roots"))
+    return sums.select("*", F.try_divide("attached", "n_tokens").alias("unlabelled"), F.try_divide("right_roots", "n_roots").alias("root_accuracy"))
+
+
 def is_verb_root(df: DataFrame, tags: str = "tags", heads: str = "heads") -> DataFrame:
     """``df`` with whether the root of the sentence is a verb."""
     return df.withColumn("verb_root", F.coalesce(F.get(tags, F.array_position(heads, -1).cast("int") - 1) == "VERB", F.lit(False)))

@@ -22,6 +22,16 @@ def sentence_texts(text: Column) -> Column:
     return F.filter(F.transform(F.split(marked, "\x02"), lambda s: F.trim(s)), lambda s: s != "")
 
 
+def spans_of_tokens(tokens: Column) -> Column:
+    """``array<struct<ix, begin, end>>`` by rule, of tokens: one that ends in a mark, perhaps with closing quotes, ends a
+    sentence if the next doesn't begin in lower case; the last token ends one. Null tokens give null."""
+    n = F.size(tokens)
+    value = lambda k: F.get(tokens, k)["value"]
+    ends = F.filter(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda k: (k == n - 1) | value(k).rlike("[.!?…][\"'”’)\\]]*$") & ~value(k + 1).rlike(r"^\p{Ll}"))
+    made = lambda e: F.transform(e, lambda k, i: F.struct(i.alias("ix"), F.get(tokens, F.coalesce(F.get(e, i - 1) + 1, F.lit(0)))["begin"].alias("begin"), F.get(tokens, k)["end"].alias("end")))
+    return F.when(tokens.isNotNull(), F.get(F.transform(F.array(ends), made), F.lit(0)))
+
+
 def is_mark(value: str) -> bool:
     return bool(value) and all(c in MARKS for c in value)
 

@@ -47,6 +47,12 @@ def vocabulary(tokens: DataFrame, min_count: int = 5) -> DataFrame:
     return tokens.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
 
 
+def most_frequent(vocab: DataFrame, k: int) -> DataFrame:
+    """``term, n, rank`` of the k most frequent terms, ties by name."""
+    first = vocab.orderBy(F.desc("n"), "term").limit(k)
+    return first.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "term")).cast("long"))  # of k rows
+
+
 def single_tag_terms(tokens: DataFrame, tag: str, more_than: int = 20) -> DataFrame:
     """Terms seen more than so often and always with one tag."""
     return tokens.groupBy("term").agg(F.count("*").alias("n"), F.min(tag).alias(tag), F.max(tag).alias("_most")).where((F.col("n") > more_than) & (F.col(tag) == F.col("_most"))).drop("_most")
