@@ -166,7 +166,10 @@ def q_bilou(spark, folder):
     return stats.bilou(tagged).select("doc_id", "ix", "bilou")
 
 
-@register()
+_W, _H = "[\\p{L}\\p{Nd}]+", "[-–—~]"
+
+
+@register(f"SELECT word, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(regexp_extract_all(text, '(?:^|[^\\p{{L}}\\p{{Nd}}\\pP])({_W}(?: ?{_H} ?{_W})+)', 1)) AS word FROM documents) GROUP BY word")
 def q_hyphenated(spark, folder):
     return _docs(spark, folder).select("doc_id", F.explode_outer(capture.hyphenated_words(F.col("text"))).alias("word")).where("word is not null").groupBy("word").agg(F.count("*").alias("n"))
 
@@ -228,7 +231,10 @@ def q_abbreviations(spark, folder):
     return found.select("doc_id", "a.abbreviation", "a.description")
 
 
-@register()
+_SQL_DAY = "coalesce(try_strptime(substr(expression, 1, 10), '%Y-%m-%d'), CASE WHEN regexp_matches(expression, '^[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4}$') THEN try_strptime(expression, '%d.%m.%Y') END, CASE WHEN regexp_matches(expression, '(?i)^[a-z]{3,}') THEN try_strptime(regexp_replace(regexp_replace(expression, '([0-9])(?:st|nd|rd|th)', '\\1', 'g'), '[,.]', '', 'g'), '%B %d %Y') END)"
+
+
+@register(f"SELECT doc_id, expression, CAST({_SQL_DAY} AS DATE) AS day FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{capture.DATES}', 1)) AS expression FROM documents)")
 def q_dates(spark, folder):
     found = _docs(spark, folder).select("doc_id", F.explode_outer(capture.dates(F.col("text"))).alias("expression")).where("expression is not null")
     return found.withColumn("day", capture.resolved_date(F.col("expression")))
@@ -392,7 +398,10 @@ def q_html_text(spark, folder):
     return _t(spark, folder, "pages").select("page_id", _sha(normalize.html_to_text(F.col("html"))).alias("read"))
 
 
-@register()
+_SQL_MARKED = "regexp_replace(regexp_replace(regexp_replace(text, '\\b(Dr|Mr|Mrs|Ms|Prof|St|Jr|Sr|vs|etc|e\\.g|i\\.e|No|Nr|Co|Inc|Ltd|M|Mme|z\\.B|Sra)\\.', '\\1' || chr(3), 'g'), '([.!?…]+[\"''”’)\\]]*)\\s+([^\\p{Ll}\\s])', '\\1' || chr(2) || '\\2', 'g'), '\\n+', chr(2), 'g')"
+
+
+@register(f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS BIGINT) AS ix, sha256(sentence) AS sentence FROM (SELECT doc_id, i, trim(s[i]) AS sentence FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(replace({_SQL_MARKED}, chr(3), '.'), chr(2)) AS s FROM documents))) WHERE sentence <> ''")
 def q_sentences(spark, folder):
     found = _docs(spark, folder).select("doc_id", F.posexplode_outer(sentences.sentence_texts(F.col("text"))).alias("ix", "sentence")).where("sentence is not null")
     return found.select("doc_id", F.col("ix").cast("long").alias("ix"), _sha(F.col("sentence")).alias("sentence"))
@@ -435,6 +444,147 @@ def q_pipeline_annotations(spark, folder):
     return made.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(F.size("tokens")).alias("n_tokens"), F.sum(F.size("findings")).alias("n_findings"))
 
 
+# --- pipelines and edits -----------------------------------------------------------------------------------------
+
+_SQL_SPACED = "(SELECT doc_id, list_filter(string_split(text, ' '), lambda x: NOT regexp_matches(x, '^\\s*$')) AS w FROM documents)"
+
+
+@register(f"""SELECT doc_id, CAST(count(*) AS BIGINT) AS n_sentences, sha256(string_agg(w[i], ' ' ORDER BY i)) AS last_words FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM {_SQL_SPACED})
+WHERE i = len(w) OR (regexp_matches(w[i], '[.!?…]["''”’)\\]]*$') AND NOT regexp_matches(w[i + 1], '^\\p{{Ll}}')) GROUP BY doc_id""")
+def q_sentence_spans(spark, folder):
+    """The spans of a pipeline of tokens by blanks and sentences by rule."""
+    made = plans.Pipeline().add(plans.space_tokenizer()).add(plans.rule_sentences()).transform(_docs(spark, folder))
+    ends = F.map_from_entries(F.transform("tokens", lambda t: F.struct(t["end"], t["value"])))
+    last = made.where(F.size("spans") > 0).select("doc_id", "spans", ends.alias("_by_end"))
+    each = last.select("doc_id", F.size("spans").cast("long").alias("n_sentences"), F.map_keys("_by_end").alias("_at"), F.map_values("_by_end").alias("_v"), F.transform("spans", lambda s: s["end"]).alias("_ends"))
+    kept = F.transform(F.filter(F.arrays_zip(F.col("_at").alias("a"), F.col("_v").alias("v")), lambda x: F.array_contains("_ends", x["a"])), lambda x: x["v"])
+    return each.select("doc_id", "n_sentences", _sha(F.array_join(kept, " ")).alias("last_words"))
+
+
+@register("SELECT doc_id, sha256(regexp_replace(text, '[0-9]+', '<N>', 'g')) AS put FROM documents")
+def q_replace_numbers(spark, folder):
+    """Spans of digits replaced from the right."""
+    parts = F.regexp_extract_all(F.col("text"), F.lit("([0-9]+|[^0-9]+)"), 1)
+    at = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out")), lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.when(p.rlike("^[0-9]"), F.array_append(acc["out"], F.struct(acc["at"].alias("start"), (acc["at"] + F.length(p) - 1).alias("end")))).otherwise(acc["out"]).alias("out")))
+    return _docs(spark, folder).select("doc_id", _sha(tokenize.replace_spans(F.col("text"), at["out"], lambda s: F.lit("<N>"))).alias("put"))
+
+
+@register(f"SELECT doc_id, sha256(array_to_string(list_filter(list_transform(w, lambda x: CASE WHEN regexp_matches(x, '^[-–—~]+$') THEN '-' WHEN regexp_matches(x, '^{_W}(?:{_H}{_W})+$') THEN regexp_replace(x, '{_H}', '_', 'g') WHEN regexp_matches(x, '\\pP') THEN '' ELSE x END), lambda x: x <> ''), ' ')) AS plain FROM {_SQL_SPACED}")
+def q_remove_punctuation(spark, folder):
+    put = normalize.with_replacements(normalize.remove_punctuation(tokenize.space_tokens(F.col("text"))))
+    return _docs(spark, folder).select("doc_id", _sha(tokenize.tokenized_value(put)).alias("plain"))
+
+
+@register(f"SELECT doc_id, CAST(i - 1 AS BIGINT) AS ix, w[i] AS value, CASE WHEN i > 1 THEN ' ' WHEN starts_with(text, ' ') THEN ' ' END AS previous_char FROM (SELECT doc_id, text, w, unnest(range(1, len(w) + 1)) AS i FROM {_SQL_SPACED} JOIN documents USING (doc_id))")
+def q_neighbour_characters(spark, folder):
+    each = _docs(spark, folder).select("doc_id", "text", tokenize.space_tokens(F.col("text")).alias("tokens"))
+    near = each.select("doc_id", F.inline_outer(tokenize.with_neighbours(F.col("tokens"), F.col("text")))).where("value is not null")
+    return near.select("doc_id", F.col("ix").cast("long").alias("ix"), "value", "previous_char")
+
+
+_MORE_PREDICATES = {
+    "blank": (chars.is_blank, "regexp_matches(x, '^\\s*$')"),
+    "currency": (chars.is_currency, "regexp_matches(x, '^\\p{Sc}+$')"),
+    "quote": (chars.is_quote, "regexp_matches(x, '^[\"''`‘“«‹„‚’”»›]+$')"),
+    "open_quote": (chars.is_open_quote, "regexp_matches(x, '^[\"''`‘“«‹„‚]+$')"),
+    "local_part": (chars.is_email_local_part, "regexp_matches(x, '^[A-Za-z0-9!#$%&''*+/=?^_`{|}~.-]+$')"),
+    "mail_domain": (chars.is_email_domain, "regexp_matches(x, '^[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+$')"),
+    "url_or_email": (chars.like_url_or_email, f"regexp_matches(x, '{chars.URL_OR_EMAIL}')"),
+    "url": (chars.like_url, f"regexp_matches(x, '{chars.URL_OR_EMAIL}') AND NOT regexp_matches(x, '{chars.EMAIL}')"),
+    "emoji": (chars.is_emoji, "regexp_matches(x, '^[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}]+$')"),
+}
+
+
+@register("SELECT doc_id, " + ", ".join(f"CAST(sum(CASE WHEN {sql} THEN 1 ELSE 0 END) AS BIGINT) AS {name}" for name, (_, sql) in _MORE_PREDICATES.items()) + f" FROM (SELECT doc_id, unnest(w) AS x FROM {_SQL_SPACED}) GROUP BY doc_id")
+def q_more_predicates(spark, folder):
+    pieces = _docs(spark, folder).select("doc_id", F.explode_outer(F.split("text", " ")).alias("x")).where(F.col("x").rlike(r"(?U)\S"))
+    return pieces.groupBy("doc_id").agg(*[F.sum(f(F.col("x")).cast("long")).alias(name) for name, (f, _) in _MORE_PREDICATES.items()])
+
+
+def _kinds(spark, folder, wanted: list[pii.Recognizer]):
+    found = pii.Analyzer("en", wanted).analyze(_docs(spark, folder))
+    each = found.select("doc_id", "text", F.explode_outer("findings").alias("f")).where("f is not null")
+    return each.select("doc_id", "f.entity_type", F.substring("text", F.col("f.start") + 1, F.col("f.end") - F.col("f.start") + 1).alias("found")).groupBy("entity_type", "doc_id", "found").agg(F.count("*").alias("n"))
+
+
+#: Kinds whose pattern is one token of a shape, and how SQL sees them between what tokens end at.
+_SHAPED = {"IP_ADDRESS": "(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})[.]){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})", "US_SSN": "[0-9]{3}-[0-9]{2}-[0-9]{4}", "PHONE_US": "(?:[0-9]{3}-[0-9]{3}-[0-9]{4}|[(][0-9]{3}[)] +[0-9]{3}-[0-9]{4})", "ES_NIF": "[0-9]{8}\\p{Lu}", "SG_NRIC_FIN": "\\p{Lu}[0-9]{7}\\p{Lu}"}
+
+
+@register(" UNION ALL ".join(f"SELECT '{kind}' AS entity_type, doc_id, replace(found, '  ', ' ') AS found, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '(\\s)', '\\1\\1', 'g'), '(?:^|[\\s(\"''])({pattern})(?:[.,;:!?)\"''#*%&$]*(?:\\s|$))', 1)) AS found FROM documents) GROUP BY ALL" for kind, pattern in _SHAPED.items()))
+def q_shaped_findings(spark, folder):
+    return _kinds(spark, folder, [r for r in pii.ALL if r.entity_type in _SHAPED])
+
+
+@register(f"""WITH tf AS (SELECT doc_id, term, count(*) AS tf FROM {_SQL_WORDS} GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(*) AS n FROM documents)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_terms, round(max((1 + log10(tf)) * ln(n.n / (1 + df))), 6) AS best FROM tf JOIN df USING (term), n WHERE df > floor(0.01 * n.n) GROUP BY doc_id""")
+def q_tfidf_pruned(spark, folder):
+    docs = _docs(spark, folder)
+    return stats.tf_idf(stats.exploded_words(docs), docs.count(), 0.01).groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.round(F.max("score"), 6).alias("best"))
+
+
+@register(f"SELECT shape, CAST(sum(n) AS BIGINT) AS n, array_to_string(list_sort(list(term ORDER BY term)[1:50]), ' ') AS examples FROM (SELECT term, n, {_SQL_SHAPE.replace('(x,', '(term,')} AS shape FROM (SELECT term, count(*) AS n FROM {_SQL_WORDS} GROUP BY term)) GROUP BY shape")
+def q_shape_examples(spark, folder):
+    got = stats.shape_histogram(stats.exploded_words(_docs(spark, folder)))
+    return got.select("shape", "n", F.array_join("examples", " ").alias("examples"))
+
+
+@register(f"SELECT w.doc_id, coalesce(b.spelling, w.term) AS term, CAST(count(*) AS BIGINT) AS n FROM {_SQL_WORDS} w LEFT JOIN (SELECT DISTINCT term AS word, replace(term, 'ou', 'o') AS spelling FROM (SELECT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM benchmark) WHERE contains(term, 'ou')) b ON b.word = w.term GROUP BY ALL")
+def q_spelling_map(spark, folder):
+    known = stats.exploded_words(_t(spark, folder, "benchmark"), "item_id").where(F.col("term").contains("ou")).select(F.col("term").alias("word")).distinct()
+    put = normalize.map_spelling(stats.exploded_words(_docs(spark, folder)), known.withColumn("spelling", F.replace("word", F.lit("ou"), F.lit("o"))))
+    return put.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+
+
+@register("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))")
+def q_appears_in(spark, folder):
+    """Whole benchmark items in documents; the items are few enough to go to every task, by their size on disk."""
+    docs, items = _docs(spark, folder).select("doc_id", "text"), _t(spark, folder, "benchmark").select("item_id", F.col("text").alias("item"))
+    # a document can hold an item only if it has the item's first three words in a row
+    three = lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+    begun = items.select("item_id", "item", F.get(three(stats.words(F.col("item"))), F.lit(0)).alias("_k"))
+    words = F.get(F.transform(F.array(stats.words(F.col("text"))), three), F.lit(0))
+    met = docs.select("doc_id", F.explode_outer(F.array_distinct(words)).alias("_k")).where("_k is not null").join(begun, "_k").select("doc_id", "item_id", "item").distinct()
+    return met.join(docs, "doc_id").where(text.appears_in(F.col("item"), F.col("text"))).select("doc_id", "item_id")
+
+
+@register("SELECT doc_id, sha256(left(text, 40)) AS begun, regexp_matches(lower(text), '(?s)a.*e.*i.*o') AS has_letters FROM documents")
+def q_sub_sequence(spark, folder):
+    return _docs(spark, folder).select("doc_id", _sha(F.left(F.col("text"), F.lit(40))).alias("begun"), text.is_sub_sequence(F.lit("aeio"), F.lower("text")).alias("has_letters"))
+
+
+@register("SELECT lang, source, CAST(count(*) AS BIGINT) AS n FROM (SELECT lang, source FROM documents WHERE length(text) > 10000 UNION ALL SELECT lang, source FROM documents WHERE length(text) < 100) GROUP BY ALL")
+def q_union(spark, folder):
+    docs = _docs(spark, folder)
+    return docs.where(F.length("text") > 10000).select("lang", "source").unionByName(docs.where(F.length("text") < 100).select("lang", "source")).groupBy("lang", "source").agg(F.count("*").alias("n"))
+
+
+@register("SELECT DISTINCT lang, source FROM documents EXCEPT SELECT lang, source FROM documents WHERE length(text) > 5000")
+def q_set_difference(spark, folder):
+    docs = _docs(spark, folder)
+    return docs.select("lang", "source").distinct().exceptAll(docs.where(F.length("text") > 5000).select("lang", "source").distinct())
+
+
+@register("SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CAST(round((x / m + 1) / 2 * 3) AS INTEGER)), '') AS levels FROM (SELECT vec_id, embedding::DOUBLE[] AS embedding, greatest(list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))), 1e-12) AS m FROM embeddings)")
+def q_quantised_two_bits(spark, folder):
+    vec = F.transform("embedding", lambda x: x.cast("double"))
+    top = F.array_max(F.transform(vec, lambda x: F.abs(x)))
+    level = F.transform(vectors.quantise(vec, 2), lambda x: F.round((x / top + 1) / 2 * 3).cast("int").cast("string"))
+    return _t(spark, folder, "embeddings").select("vec_id", F.array_join(level, "").alias("levels"))
+
+
+@register(f"WITH v AS (SELECT term, count(*) AS n FROM {_SQL_WORDS} GROUP BY term HAVING count(*) >= 5) SELECT term, CAST(n AS BIGINT) AS n, CAST(row_number() OVER (ORDER BY n DESC, term) AS BIGINT) AS rank FROM v QUALIFY rank <= 500")
+def q_vocabulary_order(spark, folder):
+    """The 500 most frequent terms in their order: the report is the feature."""
+    return stats.most_frequent(stats.vocabulary(stats.exploded_words(_docs(spark, folder)), 5), 500)
+
+
+@register(f"WITH g AS (SELECT lang, term, count(*) AS n FROM {_SQL_WORDS} GROUP BY ALL) SELECT lang, term, CAST(n AS BIGINT) AS n, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) AS rank FROM g) WHERE rank <= 20")
+def q_top_terms_by_language(spark, folder):
+    counted = stats.exploded_words(_docs(spark, folder), "doc_id", "text", "lang").groupBy("lang", "term").agg(F.count("*").alias("n"))
+    return stats.top_per(counted, "lang", 20, F.desc("n"), F.asc("term")).withColumn("rank", F.col("rank").cast("long"))
+
+
 # --- events ------------------------------------------------------------------------------------------------------
 
 

@@ -344,9 +344,9 @@ def tokenized_value(tokens: Column) -> Column:
 
 def with_neighbours(tokens: Column, text: Column) -> Column:
     """Tokens with the characters before and after them in the text, null at its ends."""
-    before = lambda t: F.when(t["begin"] > 0, F.substring(text, t["begin"], F.lit(1)))
-    after = lambda t: F.when(t["end"] + 1 < F.length(text), F.substring(text, t["end"] + 2, F.lit(1)))
-    return F.transform(tokens, lambda t: F.struct(t["ix"].alias("ix"), t["value"].alias("value"), before(t).alias("previous_char"), after(t).alias("next_char")))
+    # of the characters as an array: a substring would count from the text's start each time
+    near = lambda c: F.transform(tokens, lambda t: F.struct(t["ix"].alias("ix"), t["value"].alias("value"), F.get(c, t["begin"] - 1).alias("previous_char"), F.get(c, t["end"] + 1).alias("next_char")))
+    return F.get(F.transform(F.array(F.split(text, "")), near), F.lit(0))
 
 
 def remove_overlapping(tokens: DataFrame, *keys: str) -> DataFrame:
