@@ -153,12 +153,6 @@ def translation_pairs(dictionary: DataFrame, source: DataFrame, target: DataFram
     return met.orderBy("ix").limit(limit).select("word", "translation", "source", "target")
 
 
-def fit_word_vectors(docs: DataFrame, words_col: str = "words", dim: int = 64, min_count: int = 5, window: int = 5, seed: int = 7):
-    from pyspark.ml.feature import Word2Vec
-
-    return Word2Vec(vectorSize=dim, minCount=min_count, windowSize=window, maxIter=1, seed=seed, inputCol=words_col, outputCol="vector").fit(docs)
-
-
 def fit_topics(docs: DataFrame, words_col: str = "words", topics: int = 20, vocabulary: int = 20_000, iterations: int = 20, seed: int = 7):
     """A pipeline model of counts and latent Dirichlet allocation; the vector of a document is in ``topics``.
 
