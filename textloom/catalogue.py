@@ -449,16 +449,15 @@ def q_pipeline_annotations(spark, folder):
 _SQL_SPACED = "(SELECT doc_id, list_filter(string_split(text, ' '), lambda x: NOT regexp_matches(x, '^\\s*$')) AS w FROM documents)"
 
 
-@register(f"""SELECT doc_id, CAST(count(*) AS BIGINT) AS n_sentences, sha256(string_agg(w[i], ' ' ORDER BY i)) AS last_words FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM {_SQL_SPACED})
-WHERE i = len(w) OR (regexp_matches(w[i], '[.!?…]["''”’)\\]]*$') AND NOT regexp_matches(w[i + 1], '^\\p{{Ll}}')) GROUP BY doc_id""")
+@register("""WITH p AS (SELECT doc_id, w[i] AS x, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents))),
+t AS (SELECT doc_id, x, i, sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(x) - 1 AS b FROM p), k AS (SELECT doc_id, x, b, b + length(x) - 1 AS e, lead(x) OVER win AS next, lag(x) OVER win AS previous FROM t WHERE NOT regexp_matches(x, '^\\s*$') WINDOW win AS (PARTITION BY doc_id ORDER BY i)),
+m AS (SELECT *, next IS NULL OR (regexp_matches(x, '[.!?…]["''”’)\\]]*$') AND NOT regexp_matches(next, '^\\p{Ll}')) AS ends, previous IS NULL OR (regexp_matches(previous, '[.!?…]["''”’)\\]]*$') AND NOT regexp_matches(x, '^\\p{Ll}')) AS begins FROM k)
+SELECT doc_id, CAST(count(*) FILTER (ends) AS BIGINT) AS n_sentences, CAST(sum(b) FILTER (begins) AS BIGINT) AS sum_begin, CAST(sum(e) FILTER (ends) AS BIGINT) AS sum_end FROM m GROUP BY doc_id""")
 def q_sentence_spans(spark, folder):
     """The spans of a pipeline of tokens by blanks and sentences by rule."""
     made = plans.Pipeline().add(plans.space_tokenizer()).add(plans.rule_sentences()).transform(_docs(spark, folder))
-    ends = F.map_from_entries(F.transform("tokens", lambda t: F.struct(t["end"], t["value"])))
-    last = made.where(F.size("spans") > 0).select("doc_id", "spans", ends.alias("_by_end"))
-    each = last.select("doc_id", F.size("spans").cast("long").alias("n_sentences"), F.map_keys("_by_end").alias("_at"), F.map_values("_by_end").alias("_v"), F.transform("spans", lambda s: s["end"]).alias("_ends"))
-    kept = F.transform(F.filter(F.arrays_zip(F.col("_at").alias("a"), F.col("_v").alias("v")), lambda x: F.array_contains("_ends", x["a"])), lambda x: x["v"])
-    return each.select("doc_id", "n_sentences", _sha(F.array_join(kept, " ")).alias("last_words"))
+    total = lambda name: F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s[name])
+    return made.where(F.size("spans") > 0).select("doc_id", F.size("spans").cast("long").alias("n_sentences"), total("begin").alias("sum_begin"), total("end").alias("sum_end"))
 
 
 @register("SELECT doc_id, sha256(regexp_replace(text, '[0-9]+', '<N>', 'g')) AS put FROM documents")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def normalised(text: Column) -> Column:
     """Lower case, white space joined, links, mail addresses and words with digits left out, a blank at either end."""
-    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\S*(?:://|@)\S*|\S*[0-9]\S*", " ")
+    # word by word: one pattern over the text would try each word from each of its characters
+    bare = F.array_join(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: ~w.rlike("://|@|[0-9]")), " ")
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(bare, r"[^\p{L}]+", " ")), F.lit(" "))
 
 
