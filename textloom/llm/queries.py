@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontamination, edit_counts, language_mixture, line_dedup, mixing, near_duplicates, quality_classifier, quality_rules, sharding, url_filters
+from textloom.llm import decontamination, edit_counts, language_mixture, lexical_search, line_dedup, mixing, near_duplicates, quality_classifier, quality_rules, sharding, url_filters
 from textloom.llm.shared import table
 
 
@@ -74,9 +74,33 @@ def op10_edit_aware_counts(spark: SparkSession, folder: str) -> DataFrame:
     return edit_counts.recount(table(spark, folder, "documents"))
 
 
+def op11_pipelined_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2].isdigit()}
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _terms(column: str) -> str:
+    return rf"regexp_extract_all(translate({column}, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+_SEARCH = f"""
+WITH cut AS (SELECT doc_id, {_terms("text")} AS terms FROM documents WHERE text IS NOT NULL),
+whole AS (SELECT count(*) AS n_docs, sum(len(terms)) AS n_terms FROM cut WHERE len(terms) > 0),
+held AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM cut) GROUP BY ALL),
+frequency AS (SELECT term, count(*) AS df FROM held GROUP BY term),
+asked AS (SELECT DISTINCT item_id, unnest({_terms("text")}) AS term FROM benchmark),
+scored AS (
+  SELECT item_id, doc_id, sum(CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // CAST(n_terms AS BIGINT)))))::BIGINT AS score
+  FROM asked JOIN frequency USING (term) JOIN held USING (term), whole GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_pipelined_search": _SEARCH}

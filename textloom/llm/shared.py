@@ -25,14 +25,14 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder.setdefault(app, "file://" + tempfile.mkdtemp(prefix="textloom-"))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: its lineage ends there.
 
-    Unlike ``checkpoint()`` this computes the rows once, and a lost executor costs nothing that was written.
+    ``partition_by`` names a column that has a folder for each of its values. Unlike ``checkpoint()`` this computes the rows once, and a lost executor costs nothing that was written.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/textloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=partition_by)
     table = spark.read.schema(df.schema).parquet(path)
     _paths[table] = path
     return table
