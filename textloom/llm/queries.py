@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontamination, edit_counts, fingerprints, language_mixture, lexical_search, line_dedup, mixing, near_duplicates, quality_classifier, quality_rules, sharding, url_filters
+from textloom.llm import decontamination, edit_counts, fingerprints, language_mixture, lexical_search, line_dedup, mixing, near_duplicates, quality_classifier, quality_rules, sharding, token_alignment, url_filters
 from textloom.llm.shared import table
 
 
@@ -78,6 +78,10 @@ def op11_pipelined_search(spark: SparkSession, folder: str) -> DataFrame:
     return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return token_alignment.align_tokens(table(spark, folder, "documents"))
+
+
 def op13_multiset_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.compare_edits(table(spark, folder, "documents"))
 
