@@ -101,8 +101,8 @@ def build_index(docs: DataFrame, owners: int = OWNERS, id_col: str = "doc_id", t
     return written(read.mapInArrow(inverted, schema), "lexical-index", partition_by="owner")
 
 
-def _bundles(items: DataFrame, bundle_items: int, owners: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, int]:
-    """``bundle, slot, item_id`` of each id; ``bundle, term, owner, slots``; and how many bundles there are."""
+def _bundles(items: DataFrame, bundle_items: int, owners: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """``bundle, slot, item_id`` of each id; ``bundle, term, owner, slots``; ``owner, term``; and how many bundles there are."""
     read = items.select(F.col(id_col).alias("item_id"), F.col(text_col).cast("binary").alias("text"))
     id_type = read.schema["item_id"].dataType.simpleString()
 
@@ -120,7 +120,7 @@ def _bundles(items: DataFrame, bundle_items: int, owners: int, id_col: str, text
     slot = (F.row_number().over(Window.partitionBy("bundle").orderBy("item_id")) - 1).alias("slot")
     slots = written(ids.select("item_id", bundle).select("item_id", "bundle", slot), "item-slots")
     beside = terms.join(slots, terms["item_id"].eqNullSafe(slots["item_id"]))
-    return slots, beside.groupBy("bundle", "term", "owner").agg(F.collect_list("slot").alias("slots")), n
+    return slots, beside.groupBy("bundle", "term", "owner").agg(F.collect_list("slot").alias("slots")), terms.select("owner", "term").distinct(), n
 
 
 def _flat(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -199,8 +199,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = 10, owners: int = OWNERS,
     index = build_index(docs, owners, id_col, text_col)
     heads = index.where("owner = -1")
     n_docs, n_terms = heads.select(F.explode("ns").alias("n")).where("n > 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    slots, terms, n_bundles = _bundles(items, bundle_items, owners, item_id_col, item_text_col)
-    asked = terms.select("term", "owner").distinct()
+    slots, terms, asked, n_bundles = _bundles(items, bundle_items, owners, item_id_col, item_text_col)
     df = index.where("owner >= 0").select("owner", "term", "n_docs").join(asked, ["owner", "term"]).groupBy("term").agg(F.sum("n_docs").alias("df"))
     weight = F.floor(1000 * F.log((2.0 * n_docs + 2) / (2 * F.col("df") + 1))).cast("long")
     weighted = written(terms.join(df, "term").select("bundle", "term", "owner", "slots", weight.alias("weight")).where("weight > 0"), "item-terms")
