@@ -21,14 +21,15 @@ def cut(s, lang="en"):
 
 def test_tokenizer_cases():
     assert cut("Dr. Who isn't here (yet).") == ["Dr.", "Who", "is", "not", "here", "(", "yet", ")", "."]
-    assert cut("see http://a.b.com/c, or me@x.org.") == ["see", "http://a.b.com/c,", "or", "me@x.org", "."] or cut("see http://a.b.com/c, or me@x.org.")[-2:] == ["me@x.org", "."]
+    assert cut("see http://a.b.com/c, or me@x.org.") == ["see", "http://a.b.com/c", ",", "or", "me@x.org", "."]
+    assert cut("(http://a.com/x) http://a.org/b_(c)! http://a.com/?q=1.") == ["(", "http://a.com/x", ")", "http://a.org/b_(c)", "!", "http://a.com/?q=1", "."]
     assert cut("+31 2057") == ["+", "31", "2057"]
     assert cut("417-20-8835 K12-M78") == ["417-20-8835", "K12-M78"]
     assert cut("U.S. and USA.") == ["U.S.", "and", "USA", "."]
     assert cut("they'd've come, couldn’t they? DON'T") == ["they", "would", "have", "come", ",", "could", "not", "they", "?", "DO", "NOT"]
-    assert cut("z.B. usw. J. 20°C. end.", "de") == ["z.B.", "usw.", "J.", "20", "°", "C.", "end", "."] or cut("z.B. end.", "de") == ["z.B.", "end", "."]
+    assert cut("z.B. usw. J. 20°C. end.", "de") == ["z.B.", "usw.", "J.", "20°C", ".", "end", "."]
     assert cut(":'-( =] (; ^_^ <3") == [":'-(", "=]", "(;", "^_^", "<3"]
-    assert cut("wait... 5am :-)") == ["wait", ".", ".", ".", "5", "a.m.", ":-)"] or cut(":-)") == [":-)"]
+    assert cut("wait... 5am :-)") == ["wait", ".", ".", ".", "5", "a.m.", ":-)"]
 
 
 @settings(max_examples=200, deadline=None)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import chars, text
-from textloom.operators import capture, langid, normalize, pii, sentences, spot, stats, tokenize, vectors
+from textloom.operators import capture, langid, merging, normalize, pii, sentences, spot, stats, tokenize, vectors
 from textloom.plans import pipeline as plans
 from textloom.sources import readers
 
@@ -259,12 +259,61 @@ def q_spot_words(spark, folder):
     return spot.link_entities(_docs(spark, folder), entries, ("target_uid",)).groupBy("doc_id", "gram", "target_uid").agg(F.count("*").alias("n"))
 
 
-@register()
+#: The words of documents with their entries: of overlapping ones the first, then the longer. Where pairs of words that are
+#: entries follow one another without a gap, every second of them counts, from the first on.
+_SQL_CAPTURED = f"""e AS (SELECT * FROM {_SQL_ENTRIES} WHERE NOT regexp_matches(entry, '^[0-9 ]+$')),
+w AS (SELECT doc_id, ix, term, lead(term) OVER (PARTITION BY doc_id ORDER BY ix) AS following FROM {_SQL_WORDS}),
+m AS (SELECT w.*, two.target_uid AS uid_2, one.target_uid AS uid_1, two.entry IS NOT NULL AS pair FROM w LEFT JOIN e two ON two.entry = w.term || ' ' || w.following LEFT JOIN e one ON one.entry = w.term),
+r AS (SELECT *, ix - row_number() OVER (PARTITION BY doc_id, pair ORDER BY ix) AS run FROM m),
+k AS (SELECT *, pair AND row_number() OVER (PARTITION BY doc_id, pair, run ORDER BY ix) % 2 = 1 AS takes FROM r),
+c AS (SELECT *, coalesce(lag(takes) OVER (PARTITION BY doc_id ORDER BY ix), false) AS covered FROM k),
+captured AS (SELECT doc_id, ix, CASE WHEN takes THEN ix + 1 ELSE ix END AS last, CASE WHEN takes THEN term || ' ' || following ELSE term END AS value, CASE WHEN takes THEN uid_2 ELSE uid_1 END AS uid FROM c WHERE NOT covered)"""
+
+
+@register(f"WITH {_SQL_CAPTURED} SELECT value AS gram, uid AS target_uid, CAST(count(*) AS BIGINT) AS n_mentions, CAST(count(DISTINCT doc_id) AS BIGINT) AS n_docs FROM captured WHERE uid IS NOT NULL GROUP BY ALL")
 def q_linked_entities(spark, folder):
     entries = spot.dictionary(_entries(spark, folder))
     return spot.link_entities(_docs(spark, folder), entries, ("target_uid",)).groupBy("gram", "target_uid").agg(F.count("*").alias("n_mentions"), F.countDistinct("doc_id").alias("n_docs"))
 
 
+def _with_ranges(spark, folder) -> DataFrame:
+    """``doc_id, values, ranges``: the words of each document, and the dictionary's entries in them."""
+    entries = spot.dictionary(_entries(spark, folder))
+    found = spot.link_entities(_docs(spark, folder), entries, ("target_uid",))
+    span = F.struct(F.col("at").cast("int").alias("first"), (F.col("at") + F.col("n") - 1).cast("int").alias("last"), F.col("target_uid").alias("entity_type"))
+    of_doc = found.groupBy("doc_id").agg(F.collect_list(span).alias("ranges"))
+    return _docs(spark, folder).select("doc_id", stats.words(F.col("text")).alias("values")).join(of_doc, "doc_id", "left")
+
+
+@register(f"""WITH {_SQL_CAPTURED} SELECT doc_id, CAST(count(*) AS BIGINT) AS n_items, CAST(count(uid) AS BIGINT) AS n_entities, sha256(string_agg(replace(value, ' ', '_'), ' ' ORDER BY ix)) AS joined FROM captured GROUP BY doc_id""")
+def q_merged_tokens(spark, folder):
+    """The stream of words and entities: entities in place of their words, joined by underscores."""
+    items = merging.merged(F.col("values"), F.col("ranges"), merging.underscored)
+    made = _with_ranges(spark, folder).select("doc_id", items.alias("items")).where(F.size("items") > 0)
+    n_entities = F.size(F.filter("items", lambda x: x["entity_type"].isNotNull()))
+    return made.select("doc_id", F.size("items").cast("long").alias("n_items"), n_entities.cast("long").alias("n_entities"), _sha(merging.joined_value(F.col("items"))).alias("joined"))
+
+
+_SQL_UNITED = f"{_SQL_CAPTURED}, united AS (SELECT doc_id, ix AS first, ix AS last, term, false AS merged FROM c UNION ALL SELECT doc_id, ix, last, value, true FROM captured WHERE uid IS NOT NULL)"
+
+
+@register(f"WITH {_SQL_UNITED} SELECT term, CAST(count(DISTINCT doc_id) AS BIGINT) AS df FROM united GROUP BY term")
+def q_united_frequency(spark, folder):
+    return merging.united_frequency(merging.united_terms(_with_ranges(spark, folder)))
+
+
+@register(f"""WITH {_SQL_UNITED}, tf AS (SELECT doc_id, term, count(*) AS tf FROM united GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(*) AS n FROM documents),
+s AS (SELECT doc_id, term, CAST(round((1 + log10(tf)) * ln(n.n / (1 + df)) * 1000000) AS BIGINT) AS micro FROM tf JOIN df USING (term), n),
+each AS (SELECT doc_id, unnest(CASE WHEN merged THEN range(first, last + 1) ELSE [first] END) AS ix, merged, micro FROM united JOIN s USING (doc_id, term))
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_tokens, CAST(sum(micro) AS BIGINT) AS total, max(micro) AS most FROM (SELECT doc_id, ix, micro, row_number() OVER (PARTITION BY doc_id, ix ORDER BY merged DESC) AS k FROM each) WHERE k = 1 GROUP BY doc_id""")
+def q_tfidf_write_back(spark, folder):
+    """Each word's weight in its document, that of the entity where it is in one; in millionths."""
+    held = _with_ranges(spark, folder)
+    made = merging.write_back(merging.united_terms(held), _docs(spark, folder).count())
+    micro = F.transform("frequencies", lambda x: F.round(x * 1_000_000).cast("long"))
+    return made.select("doc_id", micro.alias("m")).select("doc_id", F.size("m").cast("long").alias("n_tokens"), F.aggregate("m", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.array_max("m").alias("most"))
+
+
 @register(f"SELECT term, CAST(count(*) AS BIGINT) AS n FROM {_SQL_WORDS} w WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS t FROM benchmark) b WHERE b.t = w.term) GROUP BY term")
 def q_stop_word_anti(spark, folder):
     common = stats.exploded_words(_t(spark, folder, "benchmark"), "item_id").select("term").distinct()

@@ -112,6 +112,11 @@ def _ends_with_own(s: str) -> bool:
     return s[-1] in _AFTER_ANY or s[-1] in _AFTER_DIGIT and s[-2].isdigit()
 
 
+def _trails(s: str) -> bool:
+    """Whether the last character of an address is the sentence's: a mark, a quote, or a bracket that the address doesn't open."""
+    return s[-1] in SENTENCE + "," + QUOTES or s[-1] in ")]}>" and s.count("([{<"[")]}>".index(s[-1])]) < s.count(s[-1])
+
+
 def cut_chunk(chunk: str, exceptions: dict[str, list[str] | None]) -> list[tuple[int, int, str]]:
     """Tokens of a run of non-blank characters: begin, end (exclusive) and kind (word, url, emoji, special)."""
     out, tail = [], []
@@ -121,7 +126,7 @@ def cut_chunk(chunk: str, exceptions: dict[str, list[str] | None]) -> list[tuple
         if s in exceptions:
             out.append((b, e, "special"))
             break
-        if _URL.match(s):
+        if _URL.match(s) and not _trails(s):
             out.append((b, e, "url"))
             break
         if face := _EMOJI.match(s):

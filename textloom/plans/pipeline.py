@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import capture, patterns, perceptron, pii, sentences, tokenize
+from textloom.operators import capture, merging, patterns, perceptron, pii, sentences, tokenize
 from textloom.operators.perceptron import Weights
+from textloom.schema import FINDING
 
 #: Columns that stages read.
 READ = ("text", "tokens", "spans", "tags")
@@ -60,11 +61,26 @@ def fold_to_ascii(lang=None) -> Stage:
     return Stage("fold_to_ascii", "normalizer", lambda df: df.withColumn("text", T.fold_to_ascii(F.col("text"))), lang)
 
 
-def fast_tokenizer(lang=None, special_cases: tuple[str, ...] = (), langs: tuple[str, ...] = ()) -> Stage:
-    """With ``langs`` one pass over the documents of all these languages, each by its own exceptions."""
+def fast_tokenizer(lang=None, special_cases: tuple[str, ...] = (), langs: tuple[str, ...] = (), addresses: bool = False) -> Stage:
+    """With ``langs`` one pass over the documents of all these languages, each by its own exceptions. With ``addresses``
+    the tokens that are URLs or mail addresses are ``entities`` too."""
     more = dict.fromkeys(special_cases)
     cut = lambda df: tokenize.fast_tokens_by_language(F.col("text"), F.col("lang"), list(langs), more) if langs else F.when(F.col("text").isNotNull(), tokenize.fast_tokens(F.col("text"), lang or "en", more))
-    return Stage("fast_tokenizer", "tokenizer", lambda df: df.withColumn("tokens", cut(df)), lang, {"special_cases": list(special_cases), "langs": list(langs)})
+
+    def apply(df: DataFrame) -> DataFrame:
+        made = df.withColumn("tokens", cut(df))
+        if not addresses:
+            return made
+        own = F.transform(F.filter("tokens", lambda t: t["kind"] == "url"), lambda t: F.struct(t["begin"].alias("start"), t["end"].alias("end"), F.lit(merging.ADDRESS).alias("entity_type"), F.lit(1.0).cast("float").alias("score")).cast(FINDING))
+        return made.withColumn("entities", F.array_sort(F.array_distinct(F.concat(F.coalesce("entities", F.array().cast(f"array<{FINDING}>")), own))) if "entities" in df.columns else own)
+
+    return Stage("fast_tokenizer", "tokenizer", apply, lang, {"special_cases": list(special_cases), "langs": list(langs), "addresses": addresses}, (merging.ADDRESS,) if addresses else ())
+
+
+def merged_tokens(lang=None, col: str = "entities") -> Stage:
+    """``captured``: the stream of tokens and entities, of which entities take the place of their tokens."""
+    ranges = merging.token_ranges(F.col("tokens"), F.col(col))
+    return Stage("merged_tokens", "correction", lambda df: df.withColumn("captured", merging.merged(F.transform("tokens", lambda t: t["value"]), ranges)), lang, {"col": col})
 
 
 def space_tokenizer(lang=None) -> Stage:
@@ -143,7 +159,7 @@ def neuralyzer(forget: dict[str, list[patterns.Pattern]] | None = None, add: dic
 
 
 #: Stages that a manifest can name.
-FACTORIES = {f.__name__: f for f in (lower_case, upper_case, clean, fold_to_ascii, fast_tokenizer, space_tokenizer, personal_data, abbreviations, rule_sentences, sentence_detector, tagger, entity_tagger, parser)}
+FACTORIES = {f.__name__: f for f in (lower_case, upper_case, clean, fold_to_ascii, fast_tokenizer, space_tokenizer, personal_data, abbreviations, rule_sentences, sentence_detector, tagger, entity_tagger, parser, merged_tokens)}
 
 
 @dataclass(frozen=True)
@@ -182,7 +198,7 @@ class Pipeline:
         def told(s: Stage) -> Stage:
             known = tuple(s.options.get("special_cases", ()))
             more = tuple(sorted(cases - set(known)))
-            return fast_tokenizer(s.lang, known + more, tuple(s.options["langs"])) if s.name == "fast_tokenizer" and more else s
+            return fast_tokenizer(s.lang, known + more, tuple(s.options["langs"]), s.options["addresses"]) if s.name == "fast_tokenizer" and more else s
 
         return replace(self, stages=tuple(map(told, self.stages)))
 
