@@ -127,9 +127,9 @@ def _edited(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     placed = rows.where("doc_id is not null")
     links = next_ids(docs, id_col, text_col)
-    # merged joins at every size: the texts are dealt by id once, for giving and for taking
+    # merged joins at every size: the texts are dealt by id once, for giving and for taking (of the same columns)
     wanted = links.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("to_id"), F.floor(F.col("n_chars") / 2).cast("int").alias("most")).hint("merge")
-    given = placed.join(wanted, "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.expr("left(text, most)").alias("begun"), "to_id")).alias("given"))
+    given = placed.join(wanted, "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.expr("left(text, most)").alias("begun"), "to_id", "row")).alias("given"))
     taken = given.select(F.col("given.to_id").alias("doc_id"), F.col("doc_id").alias("next_id"), F.col("given.begun").alias("begun")).hint("merge")
     return placed.join(taken, "doc_id", "left").select("doc_id", "next_id", "row", "text", "begun")
 
