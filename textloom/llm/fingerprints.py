@@ -124,13 +124,15 @@ def next_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def _edited(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc_id, next_id, row, text, begun`` of each row: ``begun`` is what the next document's text begins with."""
-    placed = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id is not null")
+    # names that the source can't have: a column kept under its own name is one thing in one branch of a plan and another
+    # in the other, and the two joins below would each deal the texts
+    placed = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).where("_doc is not null")
     links = next_ids(docs, id_col, text_col)
-    # merged joins at every size: the texts are dealt by id once, for giving and for taking (of the same columns)
-    wanted = links.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("to_id"), F.floor(F.col("n_chars") / 2).cast("int").alias("most")).hint("merge")
-    given = placed.join(wanted, "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.expr("left(text, most)").alias("begun"), "to_id")).alias("given"))
-    taken = given.select(F.col("given.to_id").alias("doc_id"), F.col("doc_id").alias("next_id"), F.col("given.begun").alias("begun")).hint("merge")
-    return placed.join(taken, "doc_id", "left").select("doc_id", "next_id", F.monotonically_increasing_id().alias("row"), "text", "begun")
+    # merged joins at every size: the texts are dealt by id once, for giving and for taking
+    wanted = links.select(F.col("next_id").alias("_doc"), F.col("doc_id").alias("to_id"), F.floor(F.col("n_chars") / 2).cast("int").alias("most")).hint("merge")
+    given = placed.join(wanted, "_doc").groupBy("_doc").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), F.expr("left(_text, most)").alias("begun"), "to_id")).alias("given"))
+    taken = given.select(F.col("given.to_id").alias("_doc"), F.col("_doc").alias("next_id"), F.col("given.begun").alias("begun")).hint("merge")
+    return placed.join(taken, "_doc", "left").select(F.col("_doc").alias("doc_id"), "next_id", F.monotonically_increasing_id().alias("row"), F.col("_text").alias("text"), "begun")
 
 
 def _edit_sums(rows: DataFrame) -> DataFrame:
