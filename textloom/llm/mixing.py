@@ -25,6 +25,8 @@ BINS = 8
 BUCKETS = 1 << 16
 #: So many occurrences of a word more count as if they were spread as the language's words are: rare words say little.
 PRIOR_COUNT = 10.0
+#: So many labelled documents more of a language count as if they were spread over the domains as all are.
+PRIOR_DOCS = 5.0
 
 
 def _words(text: Column) -> Column:
@@ -55,6 +57,7 @@ class DomainModel:
     words: list[list[float]]  # for each domain but the first, the weight of each bucket
     langs: list[str] = field(default_factory=list)
     lang_col: str | None = None
+    lang_priors: list[list[float]] = field(default_factory=list)  # in the order of langs
 
     def posterior(self, text: Column) -> Column:
         """``n_tokens`` and the posterior ``p`` (in the order of ``domains``) of a text, as a struct."""
@@ -66,6 +69,9 @@ class DomainModel:
 
         def from_words(words: Column, distinct: Column) -> Column:
             total = row(self.prior)
+            if self.lang_priors:
+                own = F.create_map(*[x for g, p in zip(self.langs, self.lang_priors, strict=True) for x in (F.lit(g), row(p))])
+                total = F.coalesce(F.try_element_at(own, lang), total)
             for share, logs in zip(_shares(text, words, distinct), self.bins, strict=True):
                 total = plus(total, F.get(F.array(*[row(x) for x in logs]), share))
             said = lambda at: F.array(F.lit(0.0), *[F.aggregate(at, F.lit(0.0), lambda acc, b: acc + F.get(t, b)) for t in tables])
@@ -123,13 +129,18 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], sample
     read = written(cut.select("domain", "lang", F.col("all").alias("words"), F.array(*_shares(F.col("text"), F.col("all"), F.col("words"))).alias("bins")), "labelled-texts")
     totals = dict.fromkeys(domains, 0) | {r.domain: r.n for r in read.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     n = sum(totals.values())
-    langs = sorted(r.lang for r in read.where("lang is not null").select("lang").distinct().collect())  # sample_rows at most
+    of_lang: dict[str, dict[str, int]] = {}
+    for r in read.where("lang is not null").groupBy("lang", "domain").agg(F.count("*").alias("n")).collect():  # sample_rows at most
+        of_lang.setdefault(r.lang, {})[r.domain] = r.n
+    langs = sorted(of_lang)
     here = [F.sum((F.col("domain") == d).cast("long")).alias(f"n{k}") for k, d in enumerate(domains)]
     bins = read.select("domain", F.posexplode_outer("bins").alias("share", "bin")).groupBy("share", "bin").agg(*here).collect()
     table = {(r.share, r.bin): [r[f"n{k}"] for k in range(len(domains))] for r in bins}
     logs = [[[math.log((table.get((s, b), [0] * len(domains))[k] + 0.5) / (totals[d] + 0.5 * BINS)) for k, d in enumerate(domains)] for b in range(BINS)] for s in range(3)]
     prior = [math.log((totals[d] + 1) / (n + len(domains))) for d in domains]
-    return DomainModel(list(domains), prior, logs, _word_weights(read, domains), langs if lang_col else [], lang_col)
+    share = [math.exp(x) for x in prior]
+    lang_priors = [[math.log((of_lang[g].get(d, 0) + PRIOR_DOCS * share[k]) / (sum(of_lang[g].values()) + PRIOR_DOCS)) for k, d in enumerate(domains)] for g in langs]
+    return DomainModel(list(domains), prior, logs, _word_weights(read, domains), langs if lang_col else [], lang_col, lang_priors if lang_col else [])
 
 
 @dataclass
@@ -155,15 +166,15 @@ def fit_rates(members: DataFrame, weights: list[float], total: float | None = No
 
     With ``total`` the targets are ``weights`` of so many tokens. Without one they are feasible ones: the domain of the
     largest weight keeps what it can, and each other is to have its share beside that, or all that it holds at
-    ``max_rate`` where that is less. The first gives up ``most_lost`` of its tokens for it at most: a domain that clean
-    documents are too likely of can't come down further. ``targets`` and ``tokens`` of the result tell both; ``matched`` is true if each
-    total is within ``tolerance`` of its target. Steps end there, or when none brings the totals nearer, or after
+    ``max_rate`` where that is less. That the first holds its total is an equation of each step like the others, so
+    that documents likely of it are spared; no step is taken that costs it more than ``most_lost`` of its tokens in all.
+    ``targets`` and ``tokens`` of the result tell how far the others come; ``matched`` is true if each total is within ``tolerance`` of its target. Steps end there, or when none brings the totals nearer, or after
     ``iterations``. A step that brings them no nearer is shortened, or made with the bound 1 for the curvature. Each sums a number for every two domains over all documents.
     """
     k = range(len(weights))
     weights = [w / sum(weights) for w in weights]
     main = max(k, key=lambda j: weights[j])
-    moved = [j for j in k if total is not None or j != main]  # the domains that have steps of their own
+    moved = list(k)
     p = [F.get("p", F.lit(j)) for j in k]
     n = F.col("n_tokens")
 
