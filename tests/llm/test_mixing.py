@@ -5,6 +5,8 @@ from collections import defaultdict
 
 import numpy as np
 
+import pytest
+
 from textloom.llm import mixing as M
 from textloom.llm import queries
 
@@ -100,10 +102,14 @@ def test_weights_and_posteriors_equal_a_plain_classifier(spark):
     got = {r.doc_id: r.m for r in docs.select("doc_id", model.posterior(docs.text).alias("m")).collect()}
     wide = model.bins
     bins = {r.doc_id: r.b for r in docs.select("doc_id", M.F.array(*M._shares(docs.text, M._words(docs.text), M.F.array_distinct(M._words(docs.text)))).alias("b")).collect()}
+    n_kind = {g: [sum(r[3] == k and (r[2] == g or g is ...) for r in learned) for k in kinds] for g in (*langs, ...)}
+    overall = [(n + 1) / (sum(n_kind[...]) + 2) for n in n_kind[...]]
+    assert [math.exp(x) for x in model.prior] == pytest.approx(overall)
+    prior = {g: overall if g is None else [(n + M.PRIOR_DOCS * p) / (sum(n_kind[g]) + M.PRIOR_DOCS) for n, p in zip(n_kind[g], overall)] for g in langs}
     for d, text, lang, _ in rows:
         words = set(text.split())
         said = sum(mean(x) if lang is None else weight.get((lang, x), (0, 0))[0] for x in words)
-        log = [model.prior[k] + sum(wide[s][b][k] for s, b in enumerate(bins[d])) for k in (0, 1)]
+        log = [math.log(prior[lang][k]) + sum(wide[s][b][k] for s, b in enumerate(bins[d])) for k in (0, 1)]
         p = 1 / (1 + math.exp(log[0] - log[1] - said))
         assert got[d].n_tokens == len(text.split()) and abs(got[d].p[1] - p) < 5e-3, (d, got[d], p)
 
