@@ -122,17 +122,20 @@ def next_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return ranges.select("doc_id", "n_chars", "part", below.alias("below")).join(ring, "part").select("doc_id", F.coalesce("below", "before").alias("next_id"), "n_chars")
 
 
-def _edited(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, next_id, row, text, begun`` of each row: ``begun`` is what the next document's text begins with."""
+def _edited(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, row, text, begun`` of each row, ``begun`` being what the next document's text begins with; and ``doc_id,
+    next_exact, next_like``, the vectors of the next document."""
     # names that the source can't have: a column kept under its own name is one thing in one branch of a plan and another
-    # in the other, and the two joins below would each deal the texts
+    # in the other, and the joins below would each deal the texts
     placed = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).where("_doc is not null")
     links = next_ids(docs, id_col, text_col)
     # merged joins at every size: the texts are dealt by id once, for giving and for taking
     wanted = links.select(F.col("next_id").alias("_doc"), F.col("doc_id").alias("to_id"), F.floor(F.col("n_chars") / 2).cast("int").alias("most")).hint("merge")
-    given = placed.join(wanted, "_doc").groupBy("_doc").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), F.expr("left(_text, most)").alias("begun"), "to_id")).alias("given"))
-    taken = given.select(F.col("given.to_id").alias("_doc"), F.col("_doc").alias("next_id"), F.col("given.begun").alias("begun")).hint("merge")
-    return placed.join(taken, "_doc", "left").select(F.col("_doc").alias("doc_id"), "next_id", F.monotonically_increasing_id().alias("row"), F.col("_text").alias("text"), "begun")
+    given = placed.join(wanted, "_doc").groupBy("_doc").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), F.col("_text").alias("text"), "most", "to_id")).alias("_g")).select("_g.*")
+    taken = given.select(F.col("to_id").alias("_doc"), F.expr("left(text, most)").alias("begun")).hint("merge")
+    vectors = paragraph_sums(given.select("to_id", F.explode(paragraphs_of(F.col("text"))).alias("paragraph")), ["to_id"])
+    rows = placed.join(taken, "_doc", "left").select(F.col("_doc").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("_text").alias("text"), "begun")
+    return rows, vectors.select(F.col("to_id").alias("doc_id"), F.col("exact").alias("next_exact"), F.col("like").alias("next_like"))
 
 
 def _edit_sums(rows: DataFrame) -> DataFrame:
@@ -140,13 +143,13 @@ def _edit_sums(rows: DataFrame) -> DataFrame:
     n = F.length("text")
     kept = F.expr("left(text, length(text) - length(text) div 2)")
     new = F.concat(kept, F.coalesce(F.expr("left(begun, length(text) div 2)"), F.lit("")))
-    cut = rows.select("doc_id", "next_id", "row", n.cast("long").alias("n_chars"), F.xxhash64("text").alias("h"), paragraphs_of(F.col("text")).alias("old"), F.size(paragraphs_of(kept)).alias("line"), new.alias("edited"))
-    cut = cut.select("doc_id", "next_id", "row", "n_chars", "h", F.sha2("edited", 256).alias("edited_sha256"), "old", "line", paragraphs_of(F.col("edited")).alias("new"))
+    cut = rows.select("doc_id", "row", n.cast("long").alias("n_chars"), paragraphs_of(F.col("text")).alias("old"), F.size(paragraphs_of(kept)).alias("line"), new.alias("edited"))
+    cut = cut.select("doc_id", "row", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "old", "line", paragraphs_of(F.col("edited")).alias("new"))
     # whole paragraphs before the one that is cut stay; parts are 0 for what stays, 1 for what goes and 2 for what comes
     marked = lambda part, paragraphs: F.transform(paragraphs, lambda p: F.struct(F.lit(part).alias("part"), p.alias("paragraph")))
     rest = lambda name: F.slice(name, F.col("line"), F.greatest(F.size(name) - F.col("line") + 1, F.lit(0)))
     each = F.explode(F.concat(marked(0, F.slice("old", F.lit(1), F.col("line") - 1)), marked(1, rest("old")), marked(2, rest("new"))))
-    keys = ["doc_id", "row", "next_id", "n_chars", "h", "edited_sha256"]
+    keys = ["doc_id", "row", "n_chars", "edited_sha256"]
     sums = paragraph_sums(cut.select(*keys, each.alias("_p")).select(*keys, "_p.part", "_p.paragraph"), [*keys, "part"])
     of = lambda part, name: F.max(F.when(F.col("part") == part, F.col(name)))
     parts = sums.groupBy(*keys).agg(*[of(p, c).alias(f"_{c}{p}") for p in range(3) for c in ("exact", "like")])
@@ -167,22 +170,19 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     long texts are read whole. Other columns aren't read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    without = rows.where("doc_id is null").select("doc_id", F.col("doc_id").alias("next_id"), "row", "text", F.lit("").alias("begun"))
-    short = lambda c: F.col(c).cast("array<int>").alias(c)
-    both = [_edit_sums(_edited(docs, id_col, text_col)), _edit_sums(without)]
-    done = written(both[0].unionByName(both[1]).select("doc_id", "row", "next_id", "n_chars", "h", "edited_sha256", "exact", short("like"), "edited_exact", short("edited_like")), "fingerprints")
-    of_next = done.where("doc_id is not null").groupBy(F.col("doc_id").alias("next_id")).agg(F.min(F.struct("h", "exact", "like")).alias("next"))
-    joined = done.join(of_next.hint("merge"), "next_id", "left")
-    wide = lambda c: F.col(c).cast("array<long>")
-    near = lambda exact, like: likeness(wide("like"), like, (F.col("exact") == exact) & (wide("like") == like))
+    without = rows.where("doc_id is null").select("doc_id", "row", "text", F.lit("").alias("begun"))
+    edited, vectors = _edited(docs, id_col, text_col)
     empty = F.array(*[F.conv(F.substring(F.sha2(F.lit(""), 512), 8 * k + 1, 8), 16, 10).cast("long") for k in range(EXACT_LANES)])
-    next_like = F.coalesce(wide("next.like"), F.array_repeat(F.lit(0).cast("long"), LIKE_LANES))
-    return joined.select(
+    none = F.array_repeat(F.lit(0).cast("long"), LIKE_LANES)
+    placed = _edit_sums(edited).join(vectors.hint("merge"), "doc_id")
+    done = placed.unionByName(_edit_sums(without).select("*", empty.alias("next_exact"), none.alias("next_like")))
+    near = lambda exact, like: likeness(F.col("like"), F.col(like), (F.col("exact") == F.col(exact)) & (F.col("like") == F.col(like)))
+    return done.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        fingerprint(F.col("exact"), wide("like")).alias("fingerprint"),
-        fingerprint(F.col("edited_exact"), wide("edited_like")).alias("edited_fingerprint"),
-        near(F.col("edited_exact"), wide("edited_like")).alias("near_edited"),
-        near(F.coalesce("next.exact", empty), next_like).alias("near_next"),
+        fingerprint(F.col("exact"), F.col("like")).alias("fingerprint"),
+        fingerprint(F.col("edited_exact"), F.col("edited_like")).alias("edited_fingerprint"),
+        near("edited_exact", "edited_like").alias("near_edited"),
+        near("next_exact", "next_like").alias("near_next"),
     )
