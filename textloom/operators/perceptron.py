@@ -102,12 +102,14 @@ def fit_perceptron(examples: DataFrame, epochs: int = 5, max_features: int = 2_0
     return model
 
 
-def token_features(words: list[str], at: int, before: str, before2: str) -> list[str]:
-    """What a tagger knows about a word: itself, its ends, its look, its neighbours and the last two tags."""
+def token_features(words: list[str], at: int, before: str, before2: str, known: list | None = None) -> list[str]:
+    """What a tagger knows about a word: itself, its ends, its look, its neighbours and the last two tags; with ``known``
+    also the kinds of dictionary entry that it and its neighbours are in (as ``spot.known_types`` gives them)."""
     get = lambda k: words[k].lower() if 0 <= k < len(words) else "<s>" if k < 0 else "</s>"
     w = words[at]
     look = "number" if any(c.isdigit() for c in w) else "upper" if w.isupper() else "title" if w[:1].isupper() else "hyphen" if "-" in w else "lower"
-    return ["bias", f"w={w.lower()}", f"s3={w[-3:].lower()}", f"s2={w[-2:].lower()}", f"p1={w[:1]}", f"look={look}", f"t1={before}", f"t2={before2}|{before}", f"t1w={before}|{w.lower()}", f"w-1={get(at - 1)}", f"w-2={get(at - 2)}", f"w+1={get(at + 1)}", f"w+2={get(at + 2)}", f"s-1={get(at - 1)[-3:]}", f"s+1={get(at + 1)[-3:]}"]
+    listed = [f"g{k:+d}={kind}" for k in (-1, 0, 1) if known and 0 <= at + k < len(known) for kind in (known[at + k] if known[at + k] is not None else ())]
+    return listed + ["bias", f"w={w.lower()}", f"s3={w[-3:].lower()}", f"s2={w[-2:].lower()}", f"p1={w[:1]}", f"look={look}", f"t1={before}", f"t2={before2}|{before}", f"t1w={before}|{w.lower()}", f"w-1={get(at - 1)}", f"w-2={get(at - 2)}", f"w+1={get(at + 1)}", f"w+2={get(at + 2)}", f"s-1={get(at - 1)[-3:]}", f"s+1={get(at + 1)[-3:]}"]
 
 
 def _follows(tag: str, before: str) -> bool:
@@ -116,42 +118,47 @@ def _follows(tag: str, before: str) -> bool:
     return (tag[:1] in ("I", "L") and tag[1:] == before[1:]) if inside else tag[:1] not in ("I", "L")
 
 
-def fit_tagger(sentences: DataFrame, words_col: str = "words", tags_col: str = "tags", epochs: int = 5, seed: int = 7) -> Weights:
-    """Fit a tagger (parts of speech, or entities as B/I/L/O/U tags) on arrays of words and their tags."""
+def fit_tagger(sentences: DataFrame, words_col: str = "words", tags_col: str = "tags", epochs: int = 5, seed: int = 7, known_col: str | None = None) -> Weights:
+    """Fit a tagger (parts of speech, or entities as B/I/L/O/U tags) on arrays of words and their tags, and of the
+    dictionary's kinds of each word (``known_col``) if there are any."""
 
     def examples(batches):
         for pdf in batches:
             rows = []
-            for words, tags in zip(pdf["w"], pdf["t"], strict=True):
-                tags = list(tags)
-                rows += [(token_features(list(words), k, tags[k - 1] if k else "<s>", tags[k - 2] if k > 1 else "<s>"), tags[k]) for k in range(len(tags))]
+            for words, tags, known in zip(pdf["w"], pdf["t"], pdf["k"], strict=True):
+                tags, known = list(tags), list(known) if known is not None else None
+                rows += [(token_features(list(words), k, tags[k - 1] if k else "<s>", tags[k - 2] if k > 1 else "<s>", known), tags[k]) for k in range(len(tags))]
             yield pd.DataFrame(rows, columns=["features", "label"])
 
-    return fit_perceptron(sentences.select(F.col(words_col).alias("w"), F.col(tags_col).alias("t")).mapInPandas(examples, "features array<string>, label string"), epochs, seed=seed)
+    return fit_perceptron(sentences.select(F.col(words_col).alias("w"), F.col(tags_col).alias("t"), _known(known_col).alias("k")).mapInPandas(examples, "features array<string>, label string"), epochs, seed=seed)
 
 
-def tag_words(words: list[str], scorer: Weights, single: dict[str, str], entities: bool) -> list[str]:
+def _known(column: str | None):
+    return F.col(column) if column else F.lit(None).cast("array<array<string>>")
+
+
+def tag_words(words: list[str], scorer: Weights, single: dict[str, str], entities: bool, known: list | None = None) -> list[str]:
     got: list[str] = []
     for k, w in enumerate(words):
         before, before2 = got[-1] if k else "<s>", got[-2] if k > 1 else "<s>"
         allowed = [t for t in scorer.labels if _follows(t, before if k else "O")] if entities else None
-        got.append(single.get(w.lower()) or scorer.best(token_features(words, k, before, before2), allowed))
+        got.append(single.get(w.lower()) or scorer.best(token_features(words, k, before, before2, known), allowed))
     if entities and got and got[-1][:1] in ("B", "I"):
         got[-1] = ("U" if got[-1][0] == "B" else "L") + got[-1][1:]
     return got
 
 
-def tag(df: DataFrame, model: Weights, words_col: str = "words", into: str = "tags", single: dict[str, str] | None = None, entities: bool = False) -> DataFrame:
+def tag(df: DataFrame, model: Weights, words_col: str = "words", into: str = "tags", single: dict[str, str] | None = None, entities: bool = False, known_col: str | None = None) -> DataFrame:
     """``df`` with a tag for each word, from left to right. single: words with only one tag. entities: only B/I/L/O/U
     sequences that make sense; a run that the text's end cuts off is closed."""
     made, single = model.as_dict(), single or {}
 
     @F.pandas_udf("array<string>")
-    def tags(words: pd.Series) -> pd.Series:
+    def tags(words: pd.Series, known: pd.Series) -> pd.Series:
         scorer = Weights.from_dict(made)
-        return pd.Series([tag_words(list(row) if row is not None else [], scorer, single, entities) for row in words])
+        return pd.Series([tag_words(list(row) if row is not None else [], scorer, single, entities, list(k) if k is not None else None) for row, k in zip(words, known, strict=True)])
 
-    return df.withColumn(into, tags(F.col(words_col)))
+    return df.withColumn(into, tags(F.col(words_col), _known(known_col)))
 
 
 def _moves(stack: list[int], left: int) -> list[str]:
@@ -236,27 +243,28 @@ def _sentence_starts(token_begins, span_begins) -> list[int]:
     return [0, *sorted({bisect_left(begins, b) for b in (span_begins if span_begins is not None else ())} - {0, len(begins)})] if begins else []
 
 
-def tag_documents(df: DataFrame, model: Weights, into: str = "tags", single: dict[str, str] | None = None, entities: bool = False) -> DataFrame:
-    """``df`` with a tag for each of its ``tokens``, sentence by sentence where it has ``spans``; null tokens give null."""
+def tag_documents(df: DataFrame, model: Weights, into: str = "tags", single: dict[str, str] | None = None, entities: bool = False, known_col: str | None = None) -> DataFrame:
+    """``df`` with a tag for each of its ``tokens``, sentence by sentence where it has ``spans``; null tokens give null.
+    ``known_col`` has the dictionary's kinds of each token, if the model was fitted with them."""
     made, single = model.as_dict(), single or {}
 
     @F.pandas_udf("array<string>")
-    def tags(words: pd.Series, begins: pd.Series, spans: pd.Series) -> pd.Series:
+    def tags(words: pd.Series, begins: pd.Series, spans: pd.Series, known: pd.Series) -> pd.Series:
         scorer = Weights.from_dict(made)
         out = []
-        for row, at, starts in zip(words, begins, spans, strict=True):
+        for row, at, starts, kinds in zip(words, begins, spans, known, strict=True):
             if row is None:
                 out.append(None)
                 continue
             row, got = list(row), []
             firsts = _sentence_starts(at, starts)
             for a, b in pairwise([*firsts, len(row)]):
-                got += tag_words(row[a:b], scorer, single, entities)
+                got += tag_words(row[a:b], scorer, single, entities, list(kinds)[a:b] if kinds is not None else None)
             out.append(got)
         return pd.Series(out)
 
     spans = F.transform("spans", lambda s: s["begin"]) if "spans" in df.columns else F.lit(None).cast("array<int>")
-    return df.withColumn(into, tags(F.transform("tokens", lambda t: t["value"]), F.transform("tokens", lambda t: t["begin"]), spans))
+    return df.withColumn(into, tags(F.transform("tokens", lambda t: t["value"]), F.transform("tokens", lambda t: t["begin"]), spans, _known(known_col)))
 
 
 def parse_documents(df: DataFrame, model: Weights, into: str = "heads") -> DataFrame:

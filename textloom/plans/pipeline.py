@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import capture, merging, patterns, perceptron, pii, sentences, tokenize
+from textloom.operators import capture, merging, patterns, perceptron, pii, sentences, spot, tokenize
 from textloom.operators.perceptron import Weights
 from textloom.schema import FINDING
 
@@ -111,12 +111,17 @@ def tagger(lang=None, *, model: Weights) -> Stage:
     return Stage("tagger", "tagger", lambda df: perceptron.tag_documents(df, model), lang, models={"model": model})
 
 
-def entity_tagger(lang=None, *, model: Weights) -> Stage:
-    """``entities`` by a model over B/I/L/O/U tags, beside those that are there."""
+def entity_tagger(lang=None, *, model: Weights, gazetteer: DataFrame | None = None) -> Stage:
+    """``entities`` by a model over B/I/L/O/U tags, beside those that are there. With a ``gazetteer`` (``gram, n_words,
+    type``, as ``spot.dictionary`` gives it) the model sees the kinds of entry that each token is in."""
 
     def apply(df: DataFrame) -> DataFrame:
         found = patterns.entities_of_tags(F.col("tokens"), F.col("_entity_tags"))
-        held = perceptron.tag_documents(df, model, "_entity_tags", entities=True)
+        if gazetteer is None:
+            held = perceptron.tag_documents(df, model, "_entity_tags", entities=True)
+        else:
+            listed = spot.known_types(df.withColumn("_values", F.transform("tokens", lambda t: t["value"])), gazetteer, into="_known", words_col="_values")
+            held = perceptron.tag_documents(listed, model, "_entity_tags", entities=True, known_col="_known").drop("_known", "_values")
         both = F.array_sort(F.array_distinct(F.concat(F.coalesce("entities", F.array().cast("array<struct<start:int,end:int,entity_type:string,score:float>>")), found))) if "entities" in df.columns else found
         return held.withColumn("entities", both).drop("_entity_tags")
 
