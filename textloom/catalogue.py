@@ -136,12 +136,15 @@ _PREDICATES = {
     "email": (chars.like_email, f"regexp_matches(x, '^{_EMAIL}$')"),
     "ligatures": (chars.has_ligatures, "regexp_matches(x, '[ÆæŒœﬁﬂ]')"),
 }
+#: Forms that the tables lack, put after each text so that every predicate is true of something.
+_RARE = " ﬁn Œuvre  € “ \" http://a.org/b 😀"
 _SQL_PIECES = "(SELECT doc_id, unnest(list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '')) AS x FROM documents)"
+_SQL_PIECES_AND_RARE = _SQL_PIECES.replace("replace(text,", f"replace(text || '{_RARE}',")
 
 
-@register("SELECT doc_id, CAST(count(*) AS BIGINT) AS n, " + ", ".join(f"CAST(sum(CASE WHEN {sql} THEN 1 ELSE 0 END) AS BIGINT) AS {name}" for name, (_, sql) in _PREDICATES.items()) + f" FROM {_SQL_PIECES} GROUP BY doc_id")
+@register("SELECT doc_id, CAST(count(*) AS BIGINT) AS n, " + ", ".join(f"CAST(sum(CASE WHEN {sql} THEN 1 ELSE 0 END) AS BIGINT) AS {name}" for name, (_, sql) in _PREDICATES.items()) + f" FROM {_SQL_PIECES_AND_RARE} GROUP BY doc_id")
 def q_predicates(spark, folder):
-    pieces = _docs(spark, folder).select("doc_id", F.explode_outer(F.array_remove(F.split(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), " "), "")).alias("x")).where("x is not null")
+    pieces = _docs(spark, folder).select("doc_id", F.explode_outer(F.array_remove(F.split(F.replace(F.concat("text", F.lit(_RARE)), F.lit("\n"), F.lit(" ")), " "), "")).alias("x")).where("x is not null")
     return pieces.groupBy("doc_id").agg(F.count("*").alias("n"), *[F.sum(f(F.col("x")).cast("long")).alias(name) for name, (f, _) in _PREDICATES.items()])
 
 
@@ -523,11 +526,11 @@ def q_remove_punctuation(spark, folder):
     return _docs(spark, folder).select("doc_id", _sha(tokenize.tokenized_value(put)).alias("plain"))
 
 
-@register(f"SELECT doc_id, CAST(i - 1 AS BIGINT) AS ix, w[i] AS value, CASE WHEN i > 1 THEN ' ' WHEN starts_with(text, ' ') THEN ' ' END AS previous_char FROM (SELECT doc_id, text, w, unnest(range(1, len(w) + 1)) AS i FROM {_SQL_SPACED} JOIN documents USING (doc_id))")
+@register(f"SELECT doc_id, CAST(i - 1 AS BIGINT) AS ix, w[i] AS value, CASE WHEN i > 1 THEN ' ' WHEN starts_with(text, ' ') THEN ' ' END AS previous_char, CASE WHEN i < len(w) THEN ' ' WHEN ends_with(text, ' ') THEN ' ' END AS next_char FROM (SELECT doc_id, text, w, unnest(range(1, len(w) + 1)) AS i FROM {_SQL_SPACED} JOIN documents USING (doc_id))")
 def q_neighbour_characters(spark, folder):
     each = _docs(spark, folder).select("doc_id", "text", tokenize.space_tokens(F.col("text")).alias("tokens"))
     near = each.select("doc_id", F.inline_outer(tokenize.with_neighbours(F.col("tokens"), F.col("text")))).where("value is not null")
-    return near.select("doc_id", F.col("ix").cast("long").alias("ix"), "value", "previous_char")
+    return near.select("doc_id", F.col("ix").cast("long").alias("ix"), "value", "previous_char", "next_char")
 
 
 _MORE_PREDICATES = {
@@ -543,9 +546,9 @@ _MORE_PREDICATES = {
 }
 
 
-@register("SELECT doc_id, " + ", ".join(f"CAST(sum(CASE WHEN {sql} THEN 1 ELSE 0 END) AS BIGINT) AS {name}" for name, (_, sql) in _MORE_PREDICATES.items()) + f" FROM (SELECT doc_id, unnest(w) AS x FROM {_SQL_SPACED}) GROUP BY doc_id")
+@register("SELECT doc_id, " + ", ".join(f"CAST(sum(CASE WHEN {sql} THEN 1 ELSE 0 END) AS BIGINT) AS {name}" for name, (_, sql) in _MORE_PREDICATES.items()) + f" FROM (SELECT doc_id, unnest(string_split(text || '{_RARE}', ' ')) AS x FROM documents) GROUP BY doc_id")
 def q_more_predicates(spark, folder):
-    pieces = _docs(spark, folder).select("doc_id", F.explode_outer(F.split("text", " ")).alias("x")).where(F.col("x").rlike(r"(?U)\S"))
+    pieces = _docs(spark, folder).select("doc_id", F.explode_outer(F.split(F.concat("text", F.lit(_RARE)), " ")).alias("x")).where("x is not null")
     return pieces.groupBy("doc_id").agg(*[F.sum(f(F.col("x")).cast("long")).alias(name) for name, (f, _) in _MORE_PREDICATES.items()])
 
 
@@ -586,19 +589,13 @@ def q_spelling_map(spark, folder):
 
 @register("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))")
 def q_appears_in(spark, folder):
-    """Whole benchmark items in documents; the items are few enough to go to every task, by their size on disk."""
-    docs, items = _docs(spark, folder).select("doc_id", "text"), _t(spark, folder, "benchmark").select("item_id", F.col("text").alias("item"))
-    # a document can hold an item only if it has the item's first three words in a row
-    three = lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
-    begun = items.select("item_id", "item", F.get(three(stats.words(F.col("item"))), F.lit(0)).alias("_k"))
-    words = F.get(F.transform(F.array(stats.words(F.col("text"))), three), F.lit(0))
-    met = docs.select("doc_id", F.explode_outer(F.array_distinct(words)).alias("_k")).where("_k is not null").join(begun, "_k").select("doc_id", "item_id", "item").distinct()
-    return met.join(docs, "doc_id").where(text.appears_in(F.col("item"), F.col("text"))).select("doc_id", "item_id")
+    """Benchmark items in documents, wherever they begin and end."""
+    return stats.appearances(_docs(spark, folder), _t(spark, folder, "benchmark")).select("doc_id", "item_id")
 
 
-@register("SELECT doc_id, sha256(left(text, 40)) AS begun, regexp_matches(lower(text), '(?s)a.*e.*i.*o') AS has_letters FROM documents")
+@register("SELECT doc_id, sha256(text) AS whole, regexp_matches(lower(text), '(?s)a.*e.*i.*o') AS has_letters FROM documents")
 def q_sub_sequence(spark, folder):
-    return _docs(spark, folder).select("doc_id", _sha(F.left(F.col("text"), F.lit(40))).alias("begun"), text.is_sub_sequence(F.lit("aeio"), F.lower("text")).alias("has_letters"))
+    return _docs(spark, folder).select("doc_id", _sha(F.col("text")).alias("whole"), text.is_sub_sequence(F.lit("aeio"), F.lower("text")).alias("has_letters"))
 
 
 @register("SELECT lang, source, CAST(count(*) AS BIGINT) AS n FROM (SELECT lang, source FROM documents WHERE length(text) > 10000 UNION ALL SELECT lang, source FROM documents WHERE length(text) < 100) GROUP BY ALL")

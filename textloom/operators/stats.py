@@ -78,6 +78,26 @@ def collocations(docs: DataFrame, longest: int = 3, rare: float = 1e-5, common:
     return grams.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n").between(max(2, math.floor(rare * total)), math.floor(common * total)))
 
 
+def appearances(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``doc_id, item_id`` of each item whose whole text stands somewhere in a document's, whatever the case; an item may
+    begin and end inside a word.
+
+    What lies between an item's first and last word are whole words of the document too, so items of five words or more
+    are met by the three words after the first one and then compared; shorter ones are compared with each document (a
+    nested join with the items as the side that Spark sends round). Ids are expected to be different. Null texts match nothing, an empty item
+    every document with a text.
+    """
+    three = lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+    bound_ = lambda w: F.get(F.transform(F.array(w), three), F.lit(0))
+    asked = items.select(F.col(item_id_col).alias("item_id"), F.lower(item_text_col).alias("_item"), words(F.col(item_text_col)).alias("_w")).where("_item is not null")
+    own = docs.select(F.col(id_col).alias("doc_id"), F.lower(text_col).alias("_text"))
+    long = asked.where(F.size("_w") >= 5).select("item_id", "_item", F.get(bound_(F.col("_w")), F.lit(1)).alias("_k"))
+    met = docs.select(F.col(id_col).alias("doc_id"), F.explode_outer(F.array_distinct(bound_(words(F.col(text_col))))).alias("_k")).where("_k is not null").join(long, "_k").select("doc_id", "item_id", "_item").distinct()
+    short = asked.where(F.size("_w") < 5).select("item_id", "_item")
+    found = met.join(own, "doc_id").where(F.contains("_text", "_item")).select("doc_id", "item_id")
+    return found.unionByName(own.join(short, F.contains("_text", "_item")).select("doc_id", "item_id"))
+
+
 def shape_histogram(tokens: DataFrame, examples: int = 50, compact: bool = False) -> DataFrame:
     """``shape, n, examples``: at most so many distinct terms of each shape, the first ones in order."""
     per_term = tokens.groupBy("term").agg(F.count("*").alias("n")).withColumn("shape", shape(F.col("term"), compact))
