@@ -300,6 +300,18 @@ def find_in_tokens(tokens: Column, recognizers: list[Recognizer], tags: Column |
     return find(part("value"), part("begin"), part("end"), tags if tags is not None else F.lit(None).cast("array<string>"), kept)
 
 
+def literal_tokens(patterns: list[Pattern]) -> set[str] | None:
+    """Tokens, in lower case, of which a text must have one if any of the patterns is to match: of each alternative the
+    smallest set that it can't do without. None if some alternative needs no token in particular."""
+    out: set[str] = set()
+    for units in (a for p in patterns for a in p.alternatives):
+        needed = [{v.lower() for v in test[1]} for u in units if not u.may_miss and not u.negated for test in u.tests if test[0] == "token"]
+        if not needed:
+            return None
+        out |= min(needed, key=len)
+    return out
+
+
 def entities_of_tags(tokens: Column, tags: Column) -> Column:
     """The entities that B/I/L/O/U tags of the tokens spell, as ``array<struct<start, end, entity_type, score>>``."""
     none = F.array().cast(f"array<{FINDING}>")

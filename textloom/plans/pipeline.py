@@ -149,20 +149,57 @@ def pattern_spotter(entity_type: str, *spotted: patterns.Pattern, lang=None, int
 
 
 def neuralyzer(forget: dict[str, list[patterns.Pattern]] | None = None, add: dict[str, list[patterns.Pattern]] | None = None, lang=None, col: str = "findings") -> Stage:
-    """Corrections that run last: entities of a type are added where its patterns match, then taken away where others do."""
+    """Corrections that run last: entities of a type are added where its patterns match, then taken away where others do.
+
+    Over tokens that are there already nothing is cut again, and it has two phases: only documents that have a token
+    which the patterns can't do without are matched.
+    """
     adding = [patterns.Recognizer(t, ps) for t, ps in (add or {}).items()]
     forgetting = [patterns.Recognizer(t, ps) for t, ps in (forget or {}).items()]
 
+    def found(df: DataFrame, recognizers: list[patterns.Recognizer]):
+        none = F.filter(F.col(col), lambda f: F.lit(False))
+        if not recognizers:
+            return none
+        if "tokens" not in df.columns:
+            return patterns.find_entities(F.col("text"), recognizers, lang or "en")
+        needed = patterns.literal_tokens([p for r in recognizers for p in r.patterns])
+        may = F.lit(True) if needed is None else F.arrays_overlap(F.transform("tokens", lambda t: F.lower(t["value"])), F.array(*[F.lit(v) for v in sorted(needed)]).cast("array<string>"))
+        return F.coalesce(patterns.find_in_tokens(F.when(may, F.col("tokens")), recognizers, F.col("tags") if "tags" in df.columns else None), none)
+
     def apply(df: DataFrame) -> DataFrame:
-        more = patterns.find_entities(F.col("text"), adding, lang or "en") if adding else F.filter(F.col(col), lambda f: F.lit(False))
-        less = patterns.find_entities(F.col("text"), forgetting, lang or "en") if forgetting else F.filter(F.col(col), lambda f: F.lit(False))
         same = lambda f: F.exists("_less", lambda x: (x["start"] == f["start"]) & (x["end"] == f["end"]) & (x["entity_type"] == f["entity_type"]))
-        held = df.withColumn("_more", more).withColumn("_less", less)
+        held = df.withColumn("_more", found(df, adding)).withColumn("_less", found(df, forgetting))
         return held.withColumn(col, F.filter(F.array_sort(F.array_distinct(F.concat(col, "_more"))), lambda f: ~same(f))).drop("_more", "_less")
 
     return Stage("neuralyzer", "correction", apply, lang)
 
 
+@dataclass
+class Corrections:
+    """What was taught, by language (``None``: any) and type, to be put into any pipeline as its last stages."""
+
+    taught: dict[str | None, dict[str, dict[str, list[patterns.Pattern]]]] = field(default_factory=dict)
+
+    def teach(self, what: str, lang: str | None, entity_type: str, pattern: patterns.Pattern) -> Corrections:
+        """``what`` is ``add`` or ``forget``."""
+        if what not in ("add", "forget"):
+            raise ValueError(f"can't {what}")
+        self.taught.setdefault(lang, {"add": {}, "forget": {}})[what].setdefault(entity_type, []).append(pattern)
+        return self
+
+    def clear(self, lang: str | None) -> Corrections:
+        self.taught.pop(lang, None)
+        return self
+
+    def applied_to(self, made: Pipeline, col: str = "findings") -> Pipeline:
+        """The pipeline with these corrections and no earlier ones."""
+        made = made.remove("neuralyzer")
+        for lang, both in sorted(self.taught.items(), key=lambda x: x[0] or ""):
+            made = made.add(neuralyzer(both["forget"], both["add"], lang, col))
+        return made
+
+
 #: Stages that a manifest can name.
 FACTORIES = {f.__name__: f for f in (lower_case, upper_case, clean, fold_to_ascii, fast_tokenizer, space_tokenizer, personal_data, abbreviations, rule_sentences, sentence_detector, tagger, entity_tagger, parser, merged_tokens)}
 
