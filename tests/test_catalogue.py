@@ -8,7 +8,7 @@ import __spark_entry__
 from textloom import catalogue
 
 FOLDER = "/root/testdata/sf0.001"
-SOME = ["q_clean_lower", "q_fold_ascii", "q_title_case", "q_space_tokens", "q_predicates", "q_shape_histogram", "q_bilou", "q_hash_emails", "q_cloak_names", "q_spot_words", "q_tfidf_top", "q_collocations", "q_language_bayes", "q_most_similar", "q_event_windows", "q_hyphenated", "q_sentences", "q_sentence_spans", "q_shaped_findings", "q_more_predicates", "q_appears_in", "q_shape_examples"]
+SOME = ["q_clean_lower", "q_fold_ascii", "q_title_case", "q_space_tokens", "q_predicates", "q_shape_histogram", "q_bilou", "q_hash_emails", "q_cloak_names", "q_spot_words", "q_tfidf_top", "q_collocations", "q_language_bayes", "q_most_similar", "q_event_windows", "q_hyphenated", "q_sentences", "q_sentence_spans", "q_shaped_findings", "q_more_predicates", "q_appears_in", "q_shape_examples", "q_linked_entities", "q_merged_tokens", "q_united_frequency", "q_tfidf_write_back", "q_neighbour_characters"]
 
 
 def plain(v):

@@ -552,17 +552,21 @@ def q_more_predicates(spark, folder):
     return pieces.groupBy("doc_id").agg(*[F.sum(f(F.col("x")).cast("long")).alias(name) for name, (f, _) in _MORE_PREDICATES.items()])
 
 
+#: Numbers of kinds that the tables lack, put after each text.
+_RARE_NUMBERS = " 417-20-8835 48213907K T5730218C 10.20.30.40 (417) 555-0138"
+
+
 def _kinds(spark, folder, wanted: list[pii.Recognizer]):
-    found = pii.Analyzer("en", wanted).analyze(_docs(spark, folder))
+    found = pii.Analyzer("en", wanted).analyze(_docs(spark, folder).withColumn("text", F.concat("text", F.lit(_RARE_NUMBERS))))
     each = found.select("doc_id", "text", F.explode_outer("findings").alias("f")).where("f is not null")
     return each.select("doc_id", "f.entity_type", F.substring("text", F.col("f.start") + 1, F.col("f.end") - F.col("f.start") + 1).alias("found")).groupBy("entity_type", "doc_id", "found").agg(F.count("*").alias("n"))
 
 
 #: Kinds whose pattern is one token of a shape, and how SQL sees them between what tokens end at.
-_SHAPED = {"IP_ADDRESS": "(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})[.]){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})", "US_SSN": "[0-9]{3}-[0-9]{2}-[0-9]{4}", "PHONE_US": "(?:[0-9]{3}-[0-9]{3}-[0-9]{4}|[(][0-9]{3}[)] +[0-9]{3}-[0-9]{4})", "ES_NIF": "[0-9]{8}\\p{Lu}", "SG_NRIC_FIN": "\\p{Lu}[0-9]{7}\\p{Lu}"}
+_SHAPED = {"IP_ADDRESS": "(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})[.]){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})", "US_SSN": "[0-9]{3}-[0-9]{2}-[0-9]{4}", "PHONE_US": "(?:[0-9]{3}-[0-9]{3}-[0-9]{4}|[(][0-9]{3}[)] +[0-9]{3}-[0-9]{4})", "ES_NIF": "(?:[0-9]{8}\\p{Lu}|\\p{Lu}[0-9]{7}\\p{Lu})", "SG_NRIC_FIN": "\\p{Lu}[0-9]{7}\\p{Lu}"}
 
 
-@register(" UNION ALL ".join(f"SELECT '{kind}' AS entity_type, doc_id, replace(found, '  ', ' ') AS found, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '(\\s)', '\\1\\1', 'g'), '(?:^|[\\s(\"''])({pattern})(?:[.,;:!?)\"''#*%&$]*(?:\\s|$))', 1)) AS found FROM documents) GROUP BY ALL" for kind, pattern in _SHAPED.items()))
+@register(" UNION ALL ".join(f"SELECT '{kind}' AS entity_type, doc_id, replace(found, '  ', ' ') AS found, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text || '{_RARE_NUMBERS}', '(\\s)', '\\1\\1', 'g'), '(?:^|[\\s(\"''])({pattern})(?:[.,;:!?)\"''#*%&$]*(?:\\s|$))', 1)) AS found FROM documents) GROUP BY ALL" for kind, pattern in _SHAPED.items()))
 def q_shaped_findings(spark, folder):
     return _kinds(spark, folder, [r for r in pii.ALL if r.entity_type in _SHAPED])
 
