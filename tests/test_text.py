@@ -32,6 +32,11 @@ def test_tokenizer_cases():
     assert cut("wait... 5am :-)") == ["wait", ".", ".", ".", "5", "a.m.", ":-)"]
 
 
+def test_sequences_of_emoji_are_one_token():
+    family, keycap, flag, england, dark = "👨‍👩‍👧‍👦", "1️⃣", "🇧🇷", "🏴\U000e0067\U000e0062\U000e0065\U000e006e\U000e0067\U000e007f", "👍🏿"
+    assert cut(family + keycap + flag + england + dark + "❤️ok 12") == [family, keycap, flag, england, dark, "❤️", "ok", "12"]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab1.,-'\"()!?@/:é 😀\n\t$", max_size=40))
 def test_tokens_lie_in_the_text_in_order(s):

@@ -124,7 +124,7 @@ def like_url(x: Column) -> Column:
 
 def is_emoji(x: Column) -> Column:
     """The whole token is one emoji: a pictograph with its modifiers, joined ones, a flag or a key cap."""
-    one = r"(?:[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{2190}-\x{21FF}\x{2B00}-\x{2BFF}\x{231A}-\x{23FF}][\x{FE0F}\x{1F3FB}-\x{1F3FF}]*)"
+    one = r"(?:[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{2190}-\x{21FF}\x{2B00}-\x{2BFF}\x{231A}-\x{23FF}][\x{FE0F}\x{1F3FB}-\x{1F3FF}]*[\x{E0020}-\x{E007F}]*)"
     return _is(x, rf"^(?:{one}(?:\x{{200D}}{one})*|[\x{{1F1E6}}-\x{{1F1FF}}]{{2}}|[0-9#*]\x{{FE0F}}?\x{{20E3}})$")
 
 

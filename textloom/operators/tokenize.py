@@ -23,7 +23,9 @@ PREFIXES = "§%=+" + PUNCTUATION + QUOTES + "$¢£¤¥^|~¦¨©¬®¯°±´¸×
 
 _CHUNK = re.compile(r"\S+")
 _URL = re.compile(URL_OR_EMAIL)
-_EMOJI = re.compile("(?:[\U0001f1e6-\U0001f1ff]{2}|[\U0001f300-\U0001faff☀-➿⬀-⯿⌚-⏿][️\U0001f3fb-\U0001f3ff]*(?:‍[\U0001f300-\U0001faff☀-➿][️\U0001f3fb-\U0001f3ff]*)*)")
+#: A pictograph with its modifiers and tags, several joined by U+200D, a flag of two letters, or a key cap.
+_PICTURE = "[\U0001f300-\U0001faff\u2600-\u27bf\u2b00-\u2bff\u231a-\u23ff][\ufe0f\U0001f3fb-\U0001f3ff]*[\U000e0020-\U000e007f]*"
+_EMOJI = re.compile(f"(?:[\U0001f1e6-\U0001f1ff]{{2}}|[0-9#*]\ufe0f?\u20e3|{_PICTURE}(?:\u200d{_PICTURE})*)")
 _WHOLE = re.compile(rf"(?:[{SENTENCE}]+|[{HYPHEN}]+|[$+<=>^`|~¢-©¬®-±´¸×÷€₹]+)\Z")
 _INFIX = re.compile(r"(?<=\w)(?:\.{2,}|-{2,}|_{2,}|…+)(?=\w)|(?<=[^\W\d_A-Z])\.(?=[A-Z])|\.(?=[^\w.])|:(?!//)|[" + re.escape("…,;!?¿¡()[]{}<>#*&=|^$£€¥\"“”«»„") + "]")
 _MEMO_LIMIT = 500_000
