@@ -74,6 +74,31 @@ def test_rates_match_totals_as_plain_projected_gradient_does(spark):
     assert sum(right) > 0.95 * len(right)
 
 
+def test_plans_do_not_repeat_the_word_weights(spark, monkeypatch):
+    _, docs, known = corpus_tables(spark)
+    texts, kept = {}, M.written
+    monkeypatch.setattr(M, "written", lambda df, name, *a: [texts.setdefault(name, df._jdf.queryExecution().toString()), kept(df, name, *a)][1])
+    mixed = M.fit_mixture(docs.select("doc_id", "text", "_m"), known, {"good": 0.9, "toxic": 0.1}, keep_rows=True)
+    assert len(texts["memberships"]) < 100_000
+    # the weights' projection is merged with that of the posteriors, so no row carries the weights
+    assert "scalar-subquery" in texts["memberships"].split("== Optimized Logical Plan ==")[1].split("lambdafunction")[0]
+    posterior = {(r.doc_id, r.text): r.m.p for r in docs.select("doc_id", "text", mixed.model.posterior(docs.text).alias("m")).collect()}
+    got = mixed.members.select("doc_id", "row.c1", "p").collect()
+    assert len(got) == 605 and all(posterior[r.doc_id, r.c1] == r.p for r in got)
+
+
+def test_the_steps_tried_share_one_pass(spark):
+    n = [(float(k % 7 + 1), [k % 10 / 10, 1 - k % 10 / 10]) for k in range(200)]
+    members = spark.createDataFrame(n, "n_tokens double, p array<double>")
+    sc = spark.sparkContext
+    sc.setJobGroup("steps", "steps")
+    rates = M.fit_rates(members, [0.5, 0.5], total=1e7)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert not rates.matched
+    # two sums for each step and for the end, of at most two jobs each
+    assert len(sc.statusTracker().getJobIdsForGroup("steps")) <= 2 * (1 + 2 * (len(rates.steps) + 1)) + len(rates.steps) // 8
+
+
 def test_targets_out_of_reach_are_told(spark):
     _, docs, known = corpus_tables(spark)
     rates = M.fit_mixture(docs, known, {"good": 0.5, "toxic": 0.5}, total=1e7).rates

@@ -16,7 +16,7 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.shared import bound, free_names, held_out, unit_hash, written
@@ -59,28 +59,39 @@ class DomainModel:
     lang_col: str | None = None
     lang_priors: list[list[float]] = field(default_factory=list)  # in the order of langs
 
-    def posterior(self, text: Column) -> Column:
-        """``n_tokens`` and the posterior ``p`` (in the order of ``domains``) of a text, as a struct."""
+    def word_table(self, spark: SparkSession) -> DataFrame:
+        """``words`` as one row: a struct with an array for each domain but the first."""
+        kind = ", ".join(f"w{j}: array<double>" for j in range(1, len(self.words) + 1))
+        return spark.createDataFrame([((0, *self.words),)], f"words struct<none: int{kind and ', ' + kind}>", verifySchema=False)
+
+    def posterior(self, text: Column, words: Column | None = None) -> Column:
+        """``n_tokens`` and the posterior ``p`` (in the order of ``domains``) of a text, as a struct.
+
+        words: a column with the struct of ``word_table``. Else the weights stand in the expression, where each text of
+        a plan repeats them (some 2 MB for two tables).
+        """
         row = lambda x: F.array(*[F.lit(float(v)) for v in x])
-        # literals of text, which the optimiser turns into arrays once
-        tables = [F.split(F.lit(",".join(f"{v:.4g}" for v in ws)), ",").cast("array<double>") for ws in self.words]
+        if words is None:
+            # literals of text, which the optimiser turns into arrays once
+            words = F.struct(F.lit(0).alias("none"), *[F.split(F.lit(",".join(f"{v:.4g}" for v in ws)), ",").cast("array<double>").alias(f"w{j}") for j, ws in enumerate(self.words, 1)])
         lang = F.when(F.col(self.lang_col).isin(self.langs), F.col(self.lang_col)) if self.langs else F.lit(None).cast("string")
         plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
 
-        def from_words(words: Column, distinct: Column) -> Column:
+        def from_words(words: Column, distinct: Column, weights: Column) -> Column:
             total = row(self.prior)
             if self.lang_priors:
                 own = F.create_map(*[x for g, p in zip(self.langs, self.lang_priors, strict=True) for x in (F.lit(g), row(p))])
                 total = F.coalesce(F.try_element_at(own, lang), total)
             for share, logs in zip(_shares(text, words, distinct), self.bins, strict=True):
                 total = plus(total, F.get(F.array(*[row(x) for x in logs]), share))
-            said = lambda at: F.array(F.lit(0.0), *[F.aggregate(at, F.lit(0.0), lambda acc, b: acc + F.get(t, b)) for t in tables])
+            said = lambda at: F.array(F.lit(0.0), *[F.aggregate(at, F.lit(0.0), lambda acc, b: acc + F.get(weights[f"w{j}"], b)) for j in range(1, len(self.words) + 1)])
             total = plus(total, bound(F.transform(distinct, lambda w: _bucket(w, lang)), said))
             likely = lambda s: bound(F.array_max(s), lambda top: F.transform(s, lambda x: F.exp(x - top)))
             even = lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
             return F.struct(F.size(words).cast("long").alias("n_tokens"), bound(bound(total, likely), even).alias("p"))
 
-        return bound(_words(text), lambda words: bound(F.array_distinct(words), lambda distinct: from_words(words, distinct)))
+        # the weights stand once in the expression, so that the optimiser merges a projection that gives them with this one
+        return bound(words, lambda weights: bound(_words(text), lambda all_: bound(F.array_distinct(all_), lambda distinct: from_words(all_, distinct, weights))))
 
 
 def _word_weights(read: DataFrame, domains: list[str]) -> list[list[float]]:
@@ -104,12 +115,11 @@ def _word_weights(read: DataFrame, domains: list[str]) -> list[list[float]]:
     # a word's evidence in any language is the mean of that in each; so is that of words that share a bucket
     none = F.lit(None).cast("string")
     both = each.select("n", *[f"w{j}" for j in k[1:]], F.explode(F.array_distinct(F.array(_bucket(F.col("word"), F.col("lang")), _bucket(F.col("word"), none)))).alias("bucket"))
-    got = both.groupBy("bucket").agg(*[(F.sum(F.col("n") * F.col(f"w{j}")) / F.sum("n")).alias(f"w{j}") for j in k[1:]]).collect()  # BUCKETS rows at most
-    out = [[0.0] * BUCKETS for _ in k[1:]]
-    for r in got:
-        for j in k[1:]:
-            out[j - 1][r["bucket"]] = r[f"w{j}"]
-    return out
+    got = both.groupBy("bucket").agg(*[(F.sum(F.col("n") * F.col(f"w{j}")) / F.sum("n")).alias(f"w{j}") for j in k[1:]]).toArrow()  # BUCKETS rows at most
+    out = np.zeros((len(domains) - 1, BUCKETS))
+    for j in k[1:]:
+        out[j - 1, got["bucket"].to_numpy()] = [float(f"{x:.4g}") for x in got[f"w{j}"].to_numpy()]  # sums differ a little with the order of rows
+    return out.tolist()
 
 
 def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], sample_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", lang_col: str | None = None) -> DomainModel:
@@ -157,9 +167,12 @@ class Rates:
     def of(self, p: Column, start: Column | float = 1.0, first: int = 0) -> Column:
         r = F.lit(start) if isinstance(start, float) else start
         for g in self.steps[first:]:
-            r = F.least(F.lit(self.max_rate), F.greatest(F.lit(0.0), r - sum((F.get(p, F.lit(k)) * F.lit(x) for k, x in enumerate(g)), F.lit(0.0))))
+            r = self.after(r, p, g)
         return r
 
+    def after(self, r: Column, p: Column, step: list[float]) -> Column:
+        return F.least(F.lit(self.max_rate), F.greatest(F.lit(0.0), r - sum((F.get(p, F.lit(k)) * F.lit(x) for k, x in enumerate(step)), F.lit(0.0))))
+
 
 def fit_rates(members: DataFrame, weights: list[float], total: float | None = None, max_rate: float = 1.0, most_lost: float = 0.01, iterations: int = 30, tolerance: float = 5e-4) -> Rates:
     """Fit rates to ``members`` (columns ``n_tokens`` and posterior ``p``).
@@ -181,8 +194,11 @@ def fit_rates(members: DataFrame, weights: list[float], total: float | None = No
     def sums(df: DataFrame, values: list[Column]) -> list[float]:
         return [float(x or 0) for x in df.agg(*[F.sum(v) for v in values]).first()]
 
-    def at_rates(df: DataFrame, r: Column) -> list[float]:
-        return sums(df.select("n_tokens", "p", r.alias("_rate")), [n * F.col("_rate") * x for x in p])
+    def after_each(here: DataFrame, steps: list[list[float]]) -> list[list[float]]:
+        """The totals after each of several steps, in one pass."""
+        tried = here.select("n_tokens", "p", *[rates.after(F.col("_rate"), F.col("p"), g).alias(f"_r{i}") for i, g in enumerate(steps)])
+        got = sums(tried, [n * F.col(f"_r{i}") * x for i in range(len(steps)) for x in p])
+        return [got[i * len(p) : (i + 1) * len(p)] for i in range(len(steps))]
 
     def aims(tokens: list[float]) -> list[float]:
         if total is not None:
@@ -216,18 +232,17 @@ def fit_rates(members: DataFrame, weights: list[float], total: float | None = No
         whole = np.zeros(len(moved))
         whole[can] = np.clip(np.linalg.lstsq(curved[np.ix_(can, can)], np.array([d[j] for j in moved])[can], rcond=None)[0], -1, 1)
         plain = np.array([d[j] / max(now[j], 1e-9) for j in moved])  # the largest eigenvalue there is at most 1
-        before = rates.tokens
+        steps = []
         for way in (whole, whole / 3, whole / 10, whole / 30, plain / 10):
-            step = [0.0 for _ in k]
+            steps.append([0.0 for _ in k])
             for j, x in zip(moved, way, strict=True):
-                step[j] = float(x)
-            rates.steps.append(step)
-            rates.tokens = at_rates(kept, rates.of(F.col("p"), F.col("_r"), first))
-            spared = total is not None or rates.tokens[main] >= (1 - most_lost) * now[main]
-            if spared and cost(rates.tokens) < cost(before) * (1 - 1e-3):
+                steps[-1][j] = float(x)
+        for step, tokens in zip(steps, after_each(here, steps), strict=True):
+            spared = total is not None or tokens[main] >= (1 - most_lost) * now[main]
+            if spared and cost(tokens) < cost(rates.tokens) * (1 - 1e-3):
+                rates.steps.append(step)
+                rates.tokens = tokens
                 break
-            rates.steps.pop()
-            rates.tokens = before
         else:
             break
         if len(rates.steps) - first >= 8:  # the expression stays short
@@ -272,8 +287,9 @@ def fit_mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float],
     empty mixture. Without ``keep_rows`` no column but the id, the text and ``lang_col`` is read.
     """
     model = fit_domains(docs, labelled, list(targets), sample_rows, id_col, text_col, domain_col, lang_col)
-    (inner,) = free_names(docs, "_m")
+    inner, words = free_names(docs, "_m", "_words")
     kept = [F.struct(F.lit(0).alias("none"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row")] if keep_rows else []
-    read = docs.select(F.col(id_col).alias("doc_id"), unit_hash(F.col(id_col), F.col(text_col)).alias("u"), model.posterior(F.col(text_col)).alias(inner), *kept)
+    weighed = docs.withColumn(words, model.word_table(docs.sparkSession).scalar())
+    read = weighed.select(F.col(id_col).alias("doc_id"), unit_hash(F.col(id_col), F.col(text_col)).alias("u"), model.posterior(F.col(text_col), F.col(words)).alias(inner), *kept)
     members = written(read.select("doc_id", "u", f"{inner}.n_tokens", f"{inner}.p", *["row" for _ in kept]), "memberships")
     return Mixture(model, fit_rates(members.select("n_tokens", "p"), list(targets.values()), max_rate=max_rate, **options), members, docs.columns)

@@ -12,6 +12,7 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,7 +145,16 @@ def _features(batches):
     memo: dict[str, int] = {}
     for pdf in batches:
         got = [read_text(t, memo) for t in pdf["text"]]
-        yield pd.DataFrame({"label": pdf["label"], "ids": [x[0] for x in got], "vals": [x[1] for x in got], "stats": [np.asarray(x[2]) for x in got], "meta": pdf["meta"]})
+        yield pd.DataFrame({"label": pdf["label"], "ids": [x[0].astype(np.int32) for x in got], "vals": [x[1] for x in got], "stats": [np.asarray(x[2]) for x in got], "meta": pdf["meta"]})
+
+
+def _rows(lists: pa.ChunkedArray) -> list[np.ndarray]:
+    """The rows of a column of lists of numbers, as parts of its buffers."""
+    out = []
+    for chunk in lists.chunks:
+        ends, flat = chunk.offsets.to_numpy(), chunk.values.to_numpy()
+        out += [flat[a:b] for a, b in zip(ends, ends[1:])]
+    return out
 
 
 @dataclass
@@ -164,12 +174,15 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, label_col: str = "qual
     picked = known.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)  # sample_rows bounds what is broadcast and collected
     texts = docs.select(F.col(id_col).alias("_id"), F.struct(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"), _meta(list(meta_cols)).alias("meta")).alias("_t"))
     each = texts.join(F.broadcast(picked), "_id").groupBy("_id", "label").agg(F.min("_t").alias("_t"))
-    got = each.select("label", "_t.text", "_t.meta").mapInPandas(_features, "label double, ids array<long>, vals array<double>, stats array<double>, meta array<long>").toPandas()
-    key = [x.tobytes() for x in map(np.asarray, got["stats"])]  # rows come in no fixed order
-    got = got.iloc[sorted(range(len(got)), key=lambda i: (key[i], got["label"].iat[i]))]
-    stats = np.array([np.asarray(x) for x in got["stats"]]) if len(got) else np.zeros((0, len(STATISTICS)))
-    meta = np.array([np.asarray(x) for x in got["meta"]], np.int64).reshape(len(got), len(meta_cols))
-    return QualityModel(fit([np.asarray(x) for x in got["ids"]], [np.asarray(x) for x in got["vals"]], stats, got["label"].to_numpy(float), meta), list(meta_cols))
+    # Arrow's own buffers: lists of Python numbers would take ten times as much of the driver's memory
+    got = each.select("label", "_t.text", "_t.meta").mapInPandas(_features, "label double, ids array<int>, vals array<double>, stats array<double>, meta array<long>").toArrow()
+    ids, values, stats, meta = (_rows(got[c]) for c in ("ids", "vals", "stats", "meta"))
+    label = got["label"].to_numpy()
+    key = [x.tobytes() for x in stats]
+    order = sorted(range(len(label)), key=lambda i: (key[i], label[i]))  # rows come in no fixed order
+    stats = np.array([stats[i] for i in order]).reshape(-1, len(STATISTICS))
+    meta = np.array([meta[i] for i in order], np.int64).reshape(len(order), len(meta_cols))
+    return QualityModel(fit([ids[i] for i in order], [values[i] for i in order], stats, label[order].astype(float), meta), list(meta_cols))
 
 
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
