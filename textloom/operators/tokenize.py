@@ -28,7 +28,8 @@ _PICTURE = "[\U0001f300-\U0001faff\u2600-\u27bf\u2b00-\u2bff\u231a-\u23ff][\ufe0
 _EMOJI = re.compile(f"(?:[\U0001f1e6-\U0001f1ff]{{2}}|[0-9#*]\ufe0f?\u20e3|{_PICTURE}(?:\u200d{_PICTURE})*)")
 _WHOLE = re.compile(rf"(?:[{SENTENCE}]+|[{HYPHEN}]+|[$+<=>^`|~¢-©¬®-±´¸×÷€₹]+)\Z")
 _INFIX = re.compile(r"(?<=\w)(?:\.{2,}|-{2,}|_{2,}|…+)(?=\w)|(?<=[^\W\d_A-Z])\.(?=[A-Z])|\.(?=[^\w.])|:(?!//)|[" + re.escape("…,;!?¿¡()[]{}<>#*&=|^$£€¥\"“”«»„") + "]")
-_MEMO_LIMIT = 500_000
+#: Chunks that a worker remembers in all.
+_MEMO_LIMIT = 200_000
 
 
 def time_exceptions() -> dict[str, list[str] | None]:
@@ -121,6 +122,8 @@ def _trails(s: str) -> bool:
 
 def cut_chunk(chunk: str, exceptions: dict[str, list[str] | None]) -> list[tuple[int, int, str]]:
     """Tokens of a run of non-blank characters: begin, end (exclusive) and kind (word, url, emoji, special)."""
+    if chunk.isalnum():  # no address, no picture, no mark
+        return [(0, len(chunk), "special" if chunk in exceptions else "word")]
     out, tail = [], []
     b, e = 0, len(chunk)
     while b < e:
@@ -280,12 +283,38 @@ def fast_tokens(text: Column, lang: str | None = "en", more_exceptions: dict[str
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pool = ChunkPool(Tokenizer(exceptions))
         for texts in batches:
-            made = [_tokens_of_texts(some, pool) for some in _stretches(texts.to_pylist())]
-            yield pa.concat_arrays(made) if made else _tokens_of_texts([], pool)
+            for some in _stretches(texts.to_pylist()):  # each goes back by itself, so that a worker holds the tokens of one
+                yield _tokens_of_texts(some, pool)
 
     return cut(text)
 
 
+def _tokens_by_language(batches: Iterator[tuple[pa.Array, pa.Array]], by_lang: dict[str, dict]) -> Iterator[pa.ListArray]:
+    """The tokens of texts with their languages, one stretch after another, so that a worker holds the tokens of one; the
+    chunks remembered are those of all languages together."""
+    langs = list(by_lang)
+    pools = {x: ChunkPool(Tokenizer(exceptions)) for x, exceptions in by_lang.items()}
+    for all_texts, all_langs in batches:
+        done = 0
+        for some in _stretches(all_texts.to_pylist()):
+            of = [langs[0] if x is None else x for x in all_langs.slice(done, len(some)).to_pylist()]
+            null = all_texts.slice(done, len(some)).is_null().to_pylist()
+            done += len(some)
+            if sum(len(pool.of) for pool in pools.values()) > _MEMO_LIMIT:
+                for pool in pools.values():
+                    pool.clear()
+            order, made = [], []
+            for x, pool in pools.items():
+                own = [i for i, y in enumerate(of) if y == x and not null[i]]
+                order += own
+                if own:
+                    made.append(_tokens_of_texts([some[i] for i in own], pool))
+            at = np.full(len(some), -1, np.int64)
+            at[order] = np.arange(len(order))
+            all_ = pa.concat_arrays(made) if made else _tokens_of_texts([], pools[langs[0]])
+            yield all_.take(pa.array(at, mask=at < 0))
+
+
 def fast_tokens_by_language(text: Column, lang: Column, langs: list[str], more_exceptions: dict[str, list[str] | None] | None = None) -> Column:
     """``fast_tokens`` by the exceptions of each text's language, in one pass; null text, and one in a language that is
     not among ``langs``, gives null. A null language takes the first of ``langs``."""
@@ -293,18 +322,7 @@ def fast_tokens_by_language(text: Column, lang: Column, langs: list[str], more_e
 
     @F.arrow_udf(f"array<{PIECE}>")
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        pools = {x: ChunkPool(Tokenizer(exceptions)) for x, exceptions in by_lang.items()}
-        for texts, of in batches:
-            texts, of = texts.to_pylist(), [langs[0] if x is None else x for x in of.to_pylist()]
-            order, made = [], []
-            for x, pool in pools.items():
-                own = [i for i, y in enumerate(of) if y == x and texts[i] is not None]
-                order += own
-                made += [_tokens_of_texts(some, pool) for some in _stretches([texts[i] for i in own])]
-            at = np.full(len(texts), -1, np.int64)
-            at[order] = np.arange(len(order))
-            all_ = pa.concat_arrays(made) if made else _tokens_of_texts([], pools[langs[0]])
-            yield all_.take(pa.array(at, mask=at < 0))
+        return _tokens_by_language(batches, by_lang)
 
     return cut(text, lang)
 
