@@ -29,7 +29,7 @@ _EMOJI = re.compile(f"(?:[\U0001f1e6-\U0001f1ff]{{2}}|[0-9#*]\ufe0f?\u20e3|{_PIC
 _WHOLE = re.compile(rf"(?:[{SENTENCE}]+|[{HYPHEN}]+|[$+<=>^`|~¢-©¬®-±´¸×÷€₹]+)\Z")
 _INFIX = re.compile(r"(?<=\w)(?:\.{2,}|-{2,}|_{2,}|…+)(?=\w)|(?<=[^\W\d_A-Z])\.(?=[A-Z])|\.(?=[^\w.])|:(?!//)|[" + re.escape("…,;!?¿¡()[]{}<>#*&=|^$£€¥\"“”«»„") + "]")
 #: Chunks that a worker remembers in all.
-_MEMO_LIMIT = 200_000
+_MEMO_LIMIT = 100_000
 
 
 def time_exceptions() -> dict[str, list[str] | None]:
@@ -194,7 +194,7 @@ class Tokenizer:
 
 
 #: Characters cut at once.
-_STRETCH = 1 << 21
+_STRETCH = 1 << 19
 _BLANK = np.zeros(0x110000, bool)
 _BLANK[[c for c in range(0x3001) if chr(c).isspace()]] = True
 
