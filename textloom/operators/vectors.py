@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.tables import Scope
+
 
 def subwords(word: Column, least: int = 3, most: int = 6, buckets: int = 2_000_000) -> Column:
     """Buckets of the character n-grams of ``<word>``."""
@@ -156,13 +158,18 @@ def translation_pairs(dictionary: DataFrame, source: DataFrame, target: DataFram
 def fit_topics(docs: DataFrame, words_col: str = "words", topics: int = 20, vocabulary: int = 20_000, iterations: int = 20, seed: int = 7):
     """A pipeline model of counts and latent Dirichlet allocation; the vector of a document is in ``topics``.
 
-    Every iteration reads all documents, so steps start large (``learningOffset`` 1).
+    Every iteration reads all documents, so steps start large (``learningOffset`` 1). What it reads are the counts, written
+    once as a table: from the documents themselves words would be cut and counted anew in each iteration.
     """
-    from pyspark.ml import Pipeline
+    from pyspark.ml import PipelineModel
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
 
-    return Pipeline(stages=[CountVectorizer(inputCol=words_col, outputCol="counts", vocabSize=vocabulary, minDF=2), LDA(featuresCol="counts", topicDistributionCol="topics", k=topics, maxIter=iterations, optimizer="online", subsamplingRate=1.0, learningOffset=1.0, seed=seed)]).fit(docs)
+    counter = CountVectorizer(inputCol=words_col, outputCol="counts", vocabSize=vocabulary, minDF=2).fit(docs)
+    with Scope(docs.sparkSession) as scope:
+        counts = scope.write(counter.transform(docs).select("counts"), "topics-counts")
+        lda = LDA(featuresCol="counts", topicDistributionCol="topics", k=topics, maxIter=iterations, optimizer="online", subsamplingRate=1.0, learningOffset=1.0, seed=seed).fit(counts)
+    return PipelineModel(stages=[counter, lda])
 
 
 def describe_topics(model, terms: int = 10) -> DataFrame:
