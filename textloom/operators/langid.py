@@ -258,22 +258,138 @@ def detect(docs: DataFrame, profiles: DataFrame, **options) -> DataFrame:
     return every.join(best, "doc_id", "left").select("doc_id", F.coalesce("_b.lang", F.lit("und")).alias("lang"), F.coalesce("_b.p", F.lit(0.0)).alias("p"))
 
 
-def fit_linear_detector(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", buckets: int = 1 << 14, iterations: int = 30):
-    """A pipeline model over hashed character 2- to 4-grams; its predictions are in ``prediction_lang``."""
-    from pyspark.ml import Pipeline
+def murmur3(data: bytes, seed: int = 42) -> int:
+    """The hash that Spark's HashingTF takes, as a signed number."""
+    h, whole = seed, len(data) & ~3
+    turn = lambda x, r: (x << r | x >> 32 - r) & 0xFFFFFFFF
+    for i in range(0, whole, 4):
+        k = int.from_bytes(data[i : i + 4], "little") * 0xCC9E2D51 & 0xFFFFFFFF
+        h = turn(h ^ turn(k, 15) * 0x1B873593 & 0xFFFFFFFF, 13) * 5 + 0xE6546B64 & 0xFFFFFFFF
+    if data[whole:]:
+        k = int.from_bytes(data[whole:], "little") * 0xCC9E2D51 & 0xFFFFFFFF
+        h ^= turn(k, 15) * 0x1B873593 & 0xFFFFFFFF
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & 0xFFFFFFFF
+    h = (h ^ h >> 13) * 0xC2B2AE35 & 0xFFFFFFFF
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+class HashedPool(WordPool):
+    """The words of every chunk met, with the buckets of their n-grams of 2 to 4; no word is left out."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.bucket_of = buckets, {}
+        super().__init__((2, 3, 4), {})
+
+    def full(self) -> bool:
+        return len(self.of) > min(_REMEMBERED, 30_000)  # a word has some twenty n-grams
+
+    def clear(self) -> None:
+        super().clear()
+        self.bucket_of.clear()
+        self.heads, self.tails, self.ends = {}, {}, {}
+
+    def place(self, gram: str) -> int:
+        at = self.bucket_of.get(gram)
+        if at is None:
+            at = self.bucket_of[gram] = murmur3(gram.encode()) % self.buckets
+        return at
+
+    def _word(self, word: str) -> int:
+        known = len(self.head)
+        at = super()._word(word)
+        if at == known:  # a new one: what joints need of it
+            self.head[at] = self.heads.setdefault((word + " ")[:2], len(self.heads))
+            self.tail[at] = self.tails.setdefault((" " + word)[-2:], len(self.tails))
+        return at
+
+    def _add(self, chunk: bytes) -> int:
+        text = chunk.decode()
+        self.first.append(len(self.entry))
+        letters = text if text.isalpha() else "".join(c if c.isalpha() else " " for c in text)
+        self.entry += [self._word(w) for w in letters.split(" ") if w]
+        self.count.append(len(self.entry) - self.first[-1])
+        return self.of.setdefault(chunk, len(self.first) - 1)
+
+    def counts(self, texts: list[bytes]) -> np.ndarray:
+        """Texts by buckets: how many n-grams of each text fall into each bucket."""
+        words, text = self.words_of(texts)
+        total = np.zeros(len(texts) * self.buckets)
+
+        def add(of: np.ndarray, buckets: np.ndarray, n: np.ndarray) -> None:
+            total[:] += np.bincount(of * self.buckets + buckets, n, len(total))
+
+        grams, owner = np.array(self.grams, np.int64), np.array(self.owner, np.int64)
+        size = np.bincount(owner, minlength=len(self.head))
+        first = np.cumsum(size) - size
+        pairs, n = np.unique(text * max(1, len(self.head)) + words, return_counts=True)
+        of, word = np.divmod(pairs, max(1, len(self.head)))
+        at = np.repeat(first[word] - (np.cumsum(size[word]) - size[word]), size[word]) + np.arange(int(size[word].sum()))
+        add(np.repeat(of, size[word]), grams[at], np.repeat(n, size[word]).astype(float))
+        same = text[1:] == text[:-1]
+        keys = np.array(self.tail, np.int64)[words[:-1][same]] << 32 | np.array(self.head, np.int64)[words[1:][same]]
+        each, which = np.unique(keys, return_inverse=True)
+        tails, heads = list(self.tails), list(self.heads)
+        joined = [(tails[k >> 32], heads[k & 0xFFFFFFFF]) for k in each.tolist()]
+        for made in (lambda t, h: f"{t[1]} {h[0]}", lambda t, h: f"{t} {h[0]}", lambda t, h: f"{t[1]} {h}"):
+            if joined:
+                add(text[1:][same], np.array([self.place(made(t, h)) for t, h in joined], np.int64)[which], np.ones(len(which)))
+        # with fewer than four characters a text is an n-gram itself for each longer size
+        n_words = np.bincount(text, minlength=len(texts))
+        for k in np.flatnonzero(n_words == 0).tolist():
+            total[k * self.buckets + self.place("  ")] += 3
+        one = np.flatnonzero(n_words[text] == 1)
+        for k, w in zip(text[one].tolist(), words[one].tolist(), strict=True):
+            if size[w] == 3:  # of a letter with its blanks: two n-grams of 2, one of 3
+                total[k * self.buckets + grams[first[w] + 2]] += 1
+        return total.reshape(len(texts), self.buckets)
+
+
+def hashed_ngrams(text: Column, buckets: int) -> Column:
+    """The vector that ``HashingTF`` has of a lower-cased text's n-grams of 2 to 4 characters, all but letters being blanks."""
+    from pyspark.ml.linalg import VectorUDT
+
+    @F.arrow_udf(VectorUDT())
+    def made(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        pool = HashedPool(buckets)
+        some_rows = max(1, (1 << 21) // buckets)
+        for batch in batches:
+            values = batch.to_pylist()
+            for at in range(0, len(values), some_rows):
+                if pool.full():
+                    pool.clear()
+                total = pool.counts(values[at : at + some_rows])
+                row, bucket = np.nonzero(total)
+                cut = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(total)))]).astype(np.int32))
+                indices, numbers = pa.ListArray.from_arrays(cut, pa.array(bucket.astype(np.int32))), pa.ListArray.from_arrays(cut, pa.array(total[row, bucket]))
+                yield pa.StructArray.from_arrays([pa.array(np.zeros(len(total), np.int8)), pa.array(np.full(len(total), buckets, np.int32)), indices, numbers], ["type", "size", "indices", "values"])
+
+    return made(F.lower(F.coalesce(text, F.lit(""))).cast("binary"))
+
+
+class LinearDetector:
+    """Labels of hashed character n-grams by a linear model; its predictions are in ``prediction_lang``."""
+
+    def __init__(self, model, labels: list[str], text_col: str, buckets: int):
+        self.model, self.labels, self.text_col, self.buckets = model, labels, text_col, buckets
+
+    def transform(self, docs: DataFrame) -> DataFrame:
+        from pyspark.ml.feature import IndexToString
+
+        made = self.model.transform(docs.withColumn("_features", hashed_ngrams(F.col(self.text_col), self.buckets)))
+        return IndexToString(inputCol="prediction", outputCol="prediction_lang", labels=self.labels).transform(made)
+
+
+def fit_linear_detector(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", buckets: int = 1 << 14, iterations: int = 30) -> LinearDetector:
+    """A model over hashed character 2- to 4-grams; its predictions are in ``prediction_lang``."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import HashingTF, IndexToString, SQLTransformer, StringIndexer
+    from pyspark.ml.feature import StringIndexer
 
     labels = StringIndexer(inputCol=lang_col, outputCol="_label", handleInvalid="skip", stringOrderType="alphabetAsc").fit(docs)
-    grams = "flatten(transform(sequence(2, 4), n -> transform(sequence(1, greatest(size(_c) - n + 1, 1)), i -> array_join(slice(_c, i, n), ''))))"
-    text = f"concat(' ', trim(regexp_replace(lower(coalesce({text_col}, '')), '[^\\\\p{{L}}]+', ' ')), ' ')"
-    stages = [
-        SQLTransformer(statement=f"SELECT *, transform(array(split({text}, '')), _c -> {grams})[0] AS _grams FROM __THIS__"),
-        HashingTF(inputCol="_grams", outputCol="_features", numFeatures=buckets),
-        LogisticRegression(featuresCol="_features", labelCol="_label", maxIter=iterations, regParam=1e-4),
-        IndexToString(inputCol="prediction", outputCol="prediction_lang", labels=labels.labels),
-    ]
-    return Pipeline(stages=stages).fit(labels.transform(docs))
+    held = labels.transform(docs).select("_label", hashed_ngrams(F.col(text_col), buckets).alias("_features"))
+    model = LogisticRegression(featuresCol="_features", labelCol="_label", maxIter=iterations, regParam=1e-4).fit(held)
+    return LinearDetector(model, labels.labels, text_col, buckets)
 
 
 def gated(lang: Column, wanted: str | None, new: Column, old: Column) -> Column:
