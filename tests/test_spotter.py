@@ -38,3 +38,12 @@ def test_matcher_runs_only_where_a_match_can_begin(monkeypatch):
     text = "plain words, and more of them. " * 1000
     assert [len(x) for x in spotter.findings([text, text + "10.20.30.40"]).to_pylist()] == [0, 1]
     assert len(runs) == 1
+
+
+def test_shapes_are_made_only_of_values_as_long_as_one_that_is_asked_for(monkeypatch):
+    made = []
+    monkeypatch.setattr(patterns, "shape_of", lambda v, whole=patterns.shape_of: made.append(v) or whole(v))
+    wanted = [r for r in pii.ALL if r.entity_type in ("US_SSN", "PHONE_US", "ES_NIF", "SG_NRIC_FIN")]
+    spotter = patterns.Spotter(wanted, tokenize.Tokenizer(tokenize.exceptions_for("en")))
+    assert len(spotter.findings(["many words of 12 or 1234 letters 48213907K " * 50]).to_pylist()[0]) == 50
+    assert set(made) == {"48213907K"}
